@@ -4,8 +4,8 @@ Each document is its set of distinct k-word shingles (lower-cased A-Z, words bet
 shingle of all of them. Sets are embedded as T minwise tokens. Each of TREES independent trees sends every set to the
 node of one of its tokens; a node of at most LEAF sets is compared exhaustively, and a larger one branches by BRANCH
 more tokens, level by level, until its parts are small. Documents that share frequent passages only are parted that
-way. Sets that share nearly everything never part, so each large node first links its sets to its smallest one; nodes
-whose sets are all linked already are closed. What is still large after LEVELS levels is compared in blocks.
+way. Sets that share nearly everything never part, so nodes of more than STAR first link their sets to their smallest
+one; nodes whose sets are all linked already are closed. What is still large after LEVELS levels is compared in blocks.
 
 A pair of similarity 0.75 misses all 8 roots with probability 0.25^8 = 1.5e-5. Candidates must agree in half of the T
 tokens (4.6 standard deviations below 0.75) and have sizes in the ratio of the threshold; each is then confirmed on
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut, matching
 from .shingles import shingles_of, words_of
 
-T, TREES, BRANCH, LEVELS, LEAF = 64, 8, 4, 6, 24
+T, TREES, BRANCH, LEVELS, LEAF, STAR = 64, 8, 3, 6, 128, 8
 AGREE = T // 2
 _STEPS = np.random.default_rng(20240229).integers(1, 1 << 63, size=T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = [list(np.random.default_rng(900 + t).permutation([c for c in range(T) if c != t])) for t in range(TREES)]
@@ -96,7 +96,7 @@ def _compare(threshold: float):
         cid = [cid[i] for i in order]
         sig = rows["sig"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, T)[order]
         n = rows["n"].to_numpy()[order]
-        label = [rows["label"][i].as_py() for i in order]
+        label = rows["label"].to_numpy()[order]
         side = rows["side"].to_numpy()[order]
         out: tuple[list, list] = ([], [])
         for i in range(len(cid) - 1):
@@ -167,61 +167,69 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
-    """Rows of large nodes, each sent on by BRANCH more tokens of its tree."""
+    """node, tree, cid, label of rows of large nodes (with sig), each sent on by BRANCH more tokens of its tree."""
     coords = F.array(*[F.array(*[F.lit(int(c)) for c in _ORDER[t][BRANCH * (level - 1) : BRANCH * level]]) for t in range(TREES)])
     more = rows.withColumn("c", F.explode(F.get(coords, "tree")))
-    return more.withColumn("node", F.xxhash64("node", "c", F.get("sig", "c"))).drop("c")
+    return more.select(F.xxhash64("node", "c", F.get("sig", "c")).alias("node"), "tree", "cid", "label")
 
 
-def _measured(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (node, tree, cid, label) of nodes with two labels or more, with size, pivot and whether that is all."""
-    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("cid").alias("pivot"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    return rows.join(nodes.where("size > 1 and l0 != l1").drop("l0", "l1"), "node")
+def _open(rows: DataFrame, *more) -> DataFrame:
+    """Rows of nodes that hold two labels or more, with the node's size and what else is asked for."""
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"), *more)
+    return rows.join(nodes.where("l0 != l1").drop("l0", "l1"), "node")
+
+
+def _stars(rows: DataFrame, attrs: DataFrame, threshold: float) -> DataFrame:
+    """For each set in nodes of more than STAR, the likeliest link to the smallest set of one of them."""
+    likely, agree = _similar(threshold)
+    pairs = rows.where(f"size > {STAR} and cid != pivot").select("cid", "pivot").distinct()
+    pairs = pairs.join(attrs, "cid").join(attrs.toDF("pivot", "n_b", "sig_b"), "pivot").where(likely)
+    best = pairs.groupBy("cid").agg(F.max(F.struct(agree.alias("agree"), "pivot")).alias("best"))
+    return best.select(F.least("cid", "best.pivot").alias("a"), F.greatest("cid", "best.pivot").alias("b")).distinct()
 
 
 def link(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(signed, edges): every row's doc_id, cid and n; and the confirmed links between different sets."""
+    """(signed, edges): every row's doc_id, cid and n; and the confirmed links between different sets.
+
+    Between the levels rows are narrow (node, tree, cid, label); tokens are joined to what is left of them.
+    """
     signed = cut(signatures(docs, k))
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("cid", "n").agg(F.min("doc_id").alias("doc"))
-    tokens = signed.select("cid", "doc_id", "sig")
-    classes = cut(classes.join(tokens, (classes.cid == tokens.cid) & (classes.doc == tokens.doc_id)).select(classes.cid, "n", "doc", "sig").dropDuplicates(["cid"]))
+    firsts = signed.where("n > 0 and doc_id is not null").groupBy("cid", "n").agg(F.min("doc_id").alias("doc"))
+    tokens = signed.select(F.col("cid").alias("own"), "doc_id", "sig")
+    classes = cut(firsts.join(tokens, (F.col("cid") == F.col("own")) & (F.col("doc") == F.col("doc_id"))).select("cid", "n", "doc", "sig").dropDuplicates(["cid"]))
+    attrs = classes.select("cid", "n", "sig")
 
     roots = classes.select("cid", F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "token"))
-    rows = roots.select(F.xxhash64("tree", "token").alias("node"), "tree", "cid", F.col("cid").alias("label"))
-    attrs = classes.select("cid", "n", "sig")
-    rows = cut(_measured(rows, classes).join(attrs, "cid"))
-    leaves = rows.where(F.col("size") <= LEAF).withColumn("side", F.lit(0))
-    large = rows.where(F.col("size") > LEAF)
+    rows = roots.select(F.xxhash64("tree", "token").alias("node"), "tree", "cid", F.xxhash64("cid").alias("label"))
+    rows = cut(_open(rows, F.min("cid").alias("pivot")))
 
     linked = None
-    if not large.isEmpty():
-        likely, agree = _similar(threshold)
-        stars = large.where("cid != pivot").select("cid", "pivot", "n", "sig").dropDuplicates(["cid", "pivot"])
-        stars = stars.join(attrs.toDF("pivot", "n_b", "sig_b"), "pivot").where(likely)
-        stars = stars.groupBy("cid").agg(F.max(F.struct(agree.alias("agree"), "pivot")).alias("best")).select(F.least("cid", "best.pivot").alias("a"), F.greatest("cid", "best.pivot").alias("b")).distinct()
-        stars = cut(stars)
-        if not stars.isEmpty():
-            linked = _verified(stars, classes, docs, threshold, k)
-            roots = components(linked)
-            large = large.drop("label").join(roots, "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root")
-
+    stars = cut(_stars(rows, attrs, threshold))
+    if not stars.isEmpty():
+        linked = _verified(stars, classes, docs, threshold, k)
+        known = components(linked)
+        rows = rows.drop("label", "size", "pivot").join(known, "cid", "left").select("node", "tree", "cid", F.xxhash64(F.coalesce("root", "cid")).alias("label"))
+        rows = cut(_open(rows))
+
+    kept = ["node", "tree", "cid", "label"]
+    leaves = rows.where(F.col("size") <= LEAF).select(*kept, F.lit(0).alias("side"))
+    large = rows.where(F.col("size") > LEAF)
     for level in range(1, LEVELS):
         if large.isEmpty():
             break
-        below = _children(large, level).select("node", "tree", "cid", "label", "n", "sig")
-        rows = cut(_measured(below, classes))
-        leaves = leaves.unionByName(rows.where(F.col("size") <= LEAF).withColumn("side", F.lit(0)).select(leaves.columns))
+        rows = cut(_open(_children(large.join(attrs, "cid"), level)))
+        leaves = leaves.unionByName(rows.where(F.col("size") <= LEAF).select(*kept, F.lit(0).alias("side")))
         large = rows.where(F.col("size") > LEAF)
     else:
-        leaves = leaves.unionByName(_blocks(large).select(leaves.columns))
+        leaves = leaves.unionByName(_blocks(large).select(*kept, "side"))
 
-    edges = _verified(cut(_leaf_pairs(leaves, threshold)), classes, docs, threshold, k)
+    edges = _verified(cut(_leaf_pairs(leaves.join(attrs, "cid"), threshold)), classes, docs, threshold, k)
     return signed, edges if linked is None else edges.union(linked)
 
 
 def _blocks(large: DataFrame) -> DataFrame:
-    """Nodes that no level parts, as pairs of blocks of about LEAF sets: every pair of sets meets once or twice."""
-    n = F.ceil(F.col("size") / LEAF).cast("int")
+    """Nodes that no level parts, as pairs of blocks of about half a LEAF: every two sets meet in one node."""
+    n = F.ceil(F.col("size") / (LEAF // 2)).cast("int")
     own = F.pmod(F.xxhash64("cid"), n).cast("int")
     dealt = large.withColumn("blocks", n).withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
