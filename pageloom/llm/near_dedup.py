@@ -7,8 +7,8 @@ more tokens, level by level, until its parts are small. Documents that share fre
 way. Sets that share nearly everything never part, so nodes of more than STAR first link their sets to their smallest
 one; nodes whose sets are all linked already are closed. What is still large after LEVELS levels is compared in blocks.
 
-A pair of similarity 0.75 misses all 8 roots with probability 0.25^8 = 1.5e-5. Candidates must agree in half of the T
-tokens (4.6 standard deviations below 0.75) and have sizes in the ratio of the threshold; each is then confirmed on
+A pair of similarity 0.75 misses all 8 roots with probability 0.25^8 = 1.5e-5. Candidates must agree in AGREE of the T
+tokens (3.5 standard deviations below 0.75) and have sizes in the ratio of the threshold; each is then confirmed on
 both full sets. Equal sets are one class throughout and are never paired.
 
 Null or blank texts have no shingles and are linked with nothing. Rows without doc_id are returned with a null
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut, matching
 from .shingles import shingles_of, words_of
 
-T, TREES, BRANCH, LEVELS, LEAF, STAR = 64, 8, 3, 6, 128, 8
-AGREE = T // 2
+T, TREES, BRANCH, LEVELS, LEAF, STAR = 64, 8, 2, 6, 512, 8
+AGREE = 36
 _STEPS = np.random.default_rng(20240229).integers(1, 1 << 63, size=T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = [list(np.random.default_rng(900 + t).permutation([c for c in range(T) if c != t])) for t in range(TREES)]
 
