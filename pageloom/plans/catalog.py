@@ -1,2 +1,478 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Queries over the driver's tables, one or more per operator, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import config as C
+from ..functions import text as T
+from ..operators import answer as A
+from ..operators import forms, geometry, layout, passages, search
+from ..sources import tsv
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql is not None:
+            _oracles[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_oracles)
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# Fixtures: the same derivation on both sides
+
+_STOP = "[" + ",".join(f"'{w}'" for w in C.STOP_WORDS) + "]"
+_STEM = "case " + " ".join(f"when length(w) > {len(s) + 3} and ends_with(w, '{s}') then substr(w, 1, length(w) - {len(s)})" for s in C.SUFFIXES) + " else w end"
+
+
+def _words_sql(text: str) -> str:
+    return f"list_transform(list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1 and not list_contains({_STOP}, w)), lambda w: {_STEM})"
+
+
+_CHUNKS = """chunks as (
+  select doc_id, ix - 1 as chunk_ix, trim(line, ' ') as text from (
+    select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as ix from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))
+  where trim(line, ' ') <> '')"""
+_QUESTIONS = """questions as (
+  select b.item_id * 1000000 + d.doc_id as q_id, d.doc_id, b.question from documents d
+  join (select item_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') as question from benchmark) b on contains(d.text, b.question))"""
+
+
+def chunks_of(spark, d):
+    return passages.line_chunks(read(spark, d, "documents"))
+
+
+def questions_of(spark, d):
+    """First eight words of each benchmark passage, asked of the documents that contain them."""
+    b = read(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("question"))
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    few = b.count() <= 100_000
+    return docs.join(F.broadcast(b) if few else b, F.contains("text", "question")).select((F.col("item_id") * 1000000 + F.col("doc_id")).alias("q_id"), "doc_id", "question")
+
+
+_TERMS = f"""{_CHUNKS}, toks as (select doc_id, chunk_ix, unnest({_words_sql("text")}) as token from chunks),
+terms as (select doc_id, chunk_ix, token, count(*)::bigint as tf from toks group by all)"""
+
+
+@query(f"with {_TERMS} select doc_id, chunk_ix, token, tf from terms")
+def term_freq(spark, d):
+    return search.postings(chunks_of(spark, d))
+
+
+@query(f"with {_TERMS} select doc_id, token, count(*)::bigint as df from terms group by all")
+def doc_freq(spark, d):
+    return search.doc_freq(search.postings(chunks_of(spark, d)))
+
+
+@query(f"with {_CHUNKS} select doc_id, count(*)::bigint as n_chunks, round(greatest(avg(len({_words_sql('text')})), 1.0), 6) as avg_len from chunks group by doc_id")
+def bm25_stats(spark, d):
+    return search.chunk_stats(chunks_of(spark, d)).withColumn("avg_len", F.round("avg_len", 6))
+
+
+_BM25 = f"""{_TERMS}, {_QUESTIONS},
+asked as (select q_id, doc_id, token, count(*) as times from (select q_id, doc_id, unnest({_words_sql("question")}) as token from questions) group by all),
+stats as (select doc_id, count(*) as n, greatest(avg(len({_words_sql("text")})), 1.0) as av from chunks group by doc_id),
+lens as (select doc_id, chunk_ix, sum(tf) as len from terms group by all),
+dfs as (select doc_id, token, count(*) as df from terms group by all),
+hit as (select q_id, t.doc_id, t.chunk_ix, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / av))) as score
+  from terms t join asked a on a.doc_id = t.doc_id and a.token = t.token join dfs f on f.doc_id = t.doc_id and f.token = t.token
+  join lens l on l.doc_id = t.doc_id and l.chunk_ix = t.chunk_ix join stats s on s.doc_id = t.doc_id group by all),
+kw as (select q.q_id, q.doc_id, c.chunk_ix, coalesce(score, 0.0) as score from questions q join chunks c on c.doc_id = q.doc_id
+  left join hit h on h.q_id = q.q_id and h.chunk_ix = c.chunk_ix)"""
+
+
+@query(f"with {_BM25} select q_id, doc_id, chunk_ix, round(score, 6) as score from kw")
+def bm25_scores(spark, d):
+    return search.bm25(chunks_of(spark, d), questions_of(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {_BM25} select * from (select q_id, chunk_ix, round(score, 6) as score, row_number() over (partition by q_id order by round(score, 6) desc, chunk_ix) as rank from kw) where rank <= 8")
+def bm25_topk(spark, d):
+    rows = search.bm25(chunks_of(spark, d), questions_of(spark, d)).withColumn("score", F.round("score", 6))
+    return search.ranks(rows, "rank").withColumn("rank", F.col("rank") + 1).where("rank <= 8").select("q_id", "chunk_ix", "score", "rank")
+
+
+_VEC = f"""{_BM25}, vec as (select q.q_id, q.doc_id, c.chunk_ix,
+  len(list_intersect(list_distinct({_words_sql("question")}), list_distinct({_words_sql("text")})))::double / greatest(len(list_distinct({_words_sql("question")})), 1) as score
+  from questions q join chunks c on c.doc_id = q.doc_id),
+fused as (select k.q_id, k.chunk_ix, 1.0 / (60 + v.r) + case when k.top > 0 then 1.0 / (60 + k.r) else 0 end as fused
+  from (select *, row_number() over (partition by q_id order by round(score, 6) desc, chunk_ix) - 1 as r, max(round(score, 6)) over (partition by q_id) as top from kw) k
+  join (select *, row_number() over (partition by q_id order by round(score, 6) desc, chunk_ix) - 1 as r from vec) v on v.q_id = k.q_id and v.chunk_ix = k.chunk_ix)"""
+
+
+@query(f"with {_VEC} select q_id, chunk_ix, round(fused, 9) as fused from fused")
+def rrf_fusion(spark, d):
+    c, q = chunks_of(spark, d), questions_of(spark, d)
+    return search.rrf(search.bm25(c, q), search.lexical_similarity(c, q)).select("q_id", "chunk_ix", F.round("fused", 9).alias("fused"))
+
+
+@query(f"with {_VEC} select * from (select q_id, chunk_ix, row_number() over (partition by q_id order by round(fused, 9) desc, chunk_ix) as rank from fused) where rank <= 8")
+def top_chunks(spark, d):
+    c, q = chunks_of(spark, d), questions_of(spark, d)
+    return search.top_chunks(search.rrf(search.bm25(c, q), search.lexical_similarity(c, q))).select("q_id", "chunk_ix", "rank")
+
+
+@query("""with s as (select q.vec_id as q_id, v.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::double * v.embedding[i]::double)), 6) as score
+  from embeddings q join embeddings v on v.label = q.label where q.vec_id % 20 = 0)
+select * from (select q_id, vec_id, score, row_number() over (partition by q_id order by score desc, vec_id) as rank from s) where rank <= 8""")
+def cosine_topk(spark, d):
+    e = read(spark, d, "embeddings").withColumnRenamed("label", "scope")
+    return search.similarity_topk(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), "scope", F.col("embedding").alias("q")), e.select("vec_id", "scope", F.col("embedding").alias("v")), 8)
+
+
+@query("select vec_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) as norm, round(u[1], 6) as first from (select vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as u from embeddings)")
+def unit_vectors(spark, d):
+    n = F.sqrt(search.dot("embedding", "embedding"))
+    e = read(spark, d, "embeddings").withColumn("n", n).withColumn("u", F.transform("embedding", lambda x: x.cast("double") / F.col("n")))
+    return e.select("vec_id", F.round(F.sqrt(search.dot("u", "u")), 6).alias("norm"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
+
+
+@query(f"with {_CHUNKS} select doc_id, chunk_ix, text from chunks")
+def paragraph_chunks(spark, d):
+    return chunks_of(spark, d).select("doc_id", "chunk_ix", "text")
+
+
+_CUT = """cuts as (select doc_id, chunk_ix, ix - 1 as pos, s as sentence from (select doc_id, chunk_ix, unnest(ss) as s, generate_subscripts(ss, 1) as ix
+  from (select doc_id, chunk_ix, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0b\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)) as ss from chunks)) where s <> '')"""
+
+
+@query(f"with {_CHUNKS}, {_CUT} select * from cuts")
+def sentence_split_simple(spark, d):
+    return passages.simple_sentences(chunks_of(spark, d))
+
+
+@query(f"with {_CHUNKS}, {_CUT} select doc_id, sentence, chunk_ix from (select *, row_number() over (partition by doc_id, sentence order by chunk_ix, pos) as rn from cuts) where rn = 1")
+def dedup_sentences(spark, d):
+    return search.dedup_first(passages.simple_sentences(chunks_of(spark, d)), ["doc_id", "sentence"], ["chunk_ix", "pos"]).select("doc_id", "sentence", "chunk_ix")
+
+
+@query()
+def sentences_full(spark, d):
+    return passages.sentences(chunks_of(spark, d))
+
+
+@query()
+def page_chunks(spark, d):
+    """Chunks of documents whose lines are paragraphs and whose first line is a heading."""
+    pages = read(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), F.concat(F.lit("# "), F.regexp_replace("text", "\n", "\n\n")).alias("text"))
+    return passages.chunks(pages)
+
+
+@query()
+def answer(spark, d):
+    return A.answer(chunks_of(spark, d), questions_of(spark, d))
+
+
+# Text predicates and functions
+
+_VOCAB = "select distinct w from (select unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+')) as w from documents) where w <> ''"
+
+
+@query(f"select w as word, {_STEM} as stem from ({_VOCAB})")
+def stem(spark, d):
+    w = read(spark, d, "documents").select(F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{N}_]+")).alias("word")).where("word != ''").distinct()
+    return w.select("word", T.stem(F.col("word")).alias("stem"))
+
+
+@query(f"select w as word from ({_VOCAB}) where length(w) > 1 and not list_contains({_STOP}, w)")
+def stopword_filter(spark, d):
+    w = read(spark, d, "documents").select(F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{N}_]+")).alias("word")).where("word != ''").distinct()
+    return w.where((F.length("word") > 1) & ~F.col("word").isin(*C.STOP_WORDS))
+
+
+_IN = lambda words: "[" + ",".join(f"'{w}'" for w in words) + "]"
+_COUNT = lambda words: f"len(list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda w: list_contains({_IN(words)}, w)))"
+
+
+@query(f"select doc_id, g + u as german, e as english, case when g + u > e then 'de' else 'en' end as marked from (select doc_id, {_COUNT(C.GERMAN)} as g, len(regexp_extract_all(text, '[äöüßÄÖÜ]')) as u, {_COUNT(C.ENGLISH)} as e from documents)")
+def language_markers(spark, d):
+    t = F.col("text")
+    return read(spark, d, "documents").select("doc_id", (T.count_words(t, C.GERMAN) + F.regexp_count(t, F.lit("[äöüßÄÖÜ]"))).alias("german"), T.count_words(t, C.ENGLISH).alias("english"), T.language_markers(t, F.lit("Latin")).alias("marked"))
+
+
+_FORM = """form as (
+  select c_nationkey as doc_id, c_custkey as ix, 1 + c_custkey % 3 as page, unnest(['Name: ' || c_name, 'SEGMENT: ' || c_mktsegment, 'Amended per ' || c_name || ' of ' || c_mktsegment, c_mktsegment, '• ' || c_name]) as text from customer)"""
+
+
+def form_lines(spark, d):
+    c = read(spark, d, "customer")
+    parts = F.array(F.concat(F.lit("Name: "), "c_name"), F.concat(F.lit("SEGMENT: "), "c_mktsegment"), F.concat(F.lit("Amended per "), "c_name", F.lit(" of "), "c_mktsegment"), F.col("c_mktsegment"), F.concat(F.lit("• "), "c_name"))
+    return c.select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("ix"), (1 + F.col("c_custkey") % 3).alias("page"), F.explode(parts).alias("text"))
+
+
+_LABEL = "regexp_extract(text, '^([^:：]*)[:：]', 1)"
+_VALUE = "trim(regexp_extract(text, '(?s)^[^:：]*[:：](.*)$', 1))"
+_ROW = f"(regexp_matches(text, '[:：]') and length({_LABEL}) <= 40 and regexp_matches({_LABEL}, '\\p{{L}}') and {_VALUE} <> '' and length({_VALUE}) <= 60)"
+_BARE = "(length(text) <= 60 and regexp_matches(text, '\\p{L}') and not regexp_matches(text, '[:：]') and not regexp_matches(text, '[.!?؟;,،]\\s*$'))"
+
+
+@query(f"with {_FORM} select doc_id, ix, text, {_LABEL} as label, {_VALUE} as value, {_ROW} as is_row, {_BARE} as bare, starts_with(text, '• ') as bullet, regexp_matches(text, '(?i)({C.AMENDMENT})') as amends from form")
+def label_value_rows(spark, d):
+    t = F.col("text")
+    return form_lines(spark, d).select("doc_id", "ix", "text", T.label_of(t).alias("label"), T.value_of(t).alias("value"), T.is_row(t).alias("is_row"), T.is_bare_label(t).alias("bare"), T.starts_with_bullet(t).alias("bullet"), T.is_amendment(t).alias("amends"))
+
+
+@query(f"with {_FORM} select doc_id, ix, text, case when len(regexp_extract_all({_LABEL}, '\\p{{L}}')) >= 2 and not regexp_matches({_LABEL}, '\\p{{Ll}}') then lower({_LABEL}) || substr(text, length({_LABEL}) + 1) else text end as scored from form")
+def scoring_text(spark, d):
+    return form_lines(spark, d).select("doc_id", "ix", "text", T.scoring_text(F.col("text")).alias("scored"))
+
+
+@query(f"""with {_FORM}, r as (select doc_id, page, text from form where doc_id % 2 = 0 or ix % 5 < 2 or text not like '%: %'),
+p as (select doc_id, page, count(*) as n, count_if{'(' + _ROW + ')'} as r from r group by all),
+s as (select *, sum(n) over w as dn, sum(r) over w as dr, count(*) over w as pages from p window w as (partition by doc_id))
+select doc_id, page from s where (dr > 0 and dr >= 0.4 * dn) or (not (dr > 0 and dr >= 0.4 * dn) and pages <= 10 and r >= 3 and r >= 0.4 * n)""")
+def form_pages(spark, d):
+    rows = form_lines(spark, d).where("doc_id % 2 = 0 or ix % 5 < 2 or text not like '%: %'")
+    return passages.form_pages(rows.select("doc_id", "page", "text"))
+
+
+@query("""with l as (select n_regionkey as doc_id, n_nationkey * 100 as ix, '# ' || n_name as text from nation union all select n_regionkey, n_nationkey * 100 + 1 + s_suppkey % 90, s_name from supplier join nation on s_nationkey = n_nationkey)
+select doc_id, ix, text, case when not starts_with(text, '#') then last_value(case when starts_with(text, '#') then trim(regexp_replace(text, '^#+', '')) end ignore nulls) over (partition by doc_id order by ix, text rows between unbounded preceding and 1 preceding) end as section from l""")
+def section_carry(spark, d):
+    n, s = read(spark, d, "nation"), read(spark, d, "supplier")
+    heads = n.select(F.col("n_regionkey").alias("doc_id"), (F.col("n_nationkey") * 100).cast("long").alias("ix"), F.concat(F.lit("# "), "n_name").alias("text"))
+    rest = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("n_regionkey").alias("doc_id"), (F.col("n_nationkey") * 100 + 1 + F.col("s_suppkey") % 90).alias("ix"), F.col("s_name").alias("text"))
+    return passages.sections(heads.unionByName(rest))
+
+
+@query(f"with {_CHUNKS} select doc_id, chunk_ix, replace(text, '**', '') as plain, len(regexp_extract_all(text, ': ')) >= 3 as flat from chunks")
+def markup(spark, d):
+    t = F.col("text")
+    return chunks_of(spark, d).select("doc_id", "chunk_ix", T.strip_markup(t).alias("plain"), T.maybe_rows(t).alias("flat"))
+
+
+@query("select event_id, 'date: ' || strftime(ts, '%Y-%m-%d %a %H:%M') as line from events")
+def date_line(spark, d):
+    e = read(spark, d, "events")
+    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000)
+    return e.select("event_id", T.date_line(seconds).alias("line"))
+
+
+@query("select event_id, round(1 / (1 + exp(-value / 100)), 6) as p from events")
+def sigmoid(spark, d):
+    return read(spark, d, "events").select("event_id", F.round(T.sigmoid(F.col("value") / 100), 6).alias("p"))
+
+
+_COMMANDS = """commands as (select o_orderkey as cmd_id, case o_orderkey % 8 when 0 then 'Please sign here' when 1 then 'Owner: ' || o_orderpriority when 2 then 'The total is ' || o_orderstatus
+  when 3 then 'clear the total' when 4 then 'tick the box' when 5 then 'uncheck the box' when 6 then 'Invoice date today' else 'set price to 12 now' end as command from orders)"""
+
+
+def commands_of(spark, d):
+    k = F.col("o_orderkey") % 8
+    c = F.when(k == 0, "Please sign here").when(k == 1, F.concat(F.lit("Owner: "), "o_orderpriority")).when(k == 2, F.concat(F.lit("The total is "), "o_orderstatus")).when(k == 3, "clear the total").when(k == 4, "tick the box").when(k == 5, "uncheck the box").when(k == 6, "Invoice date today").otherwise("set price to 12 now")
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("cmd_id"), c.alias("command"))
+
+
+@query(f"""with {_COMMANDS} select cmd_id, command,
+  coalesce(case when contains(command, ':') then nullif(trim(regexp_extract(command, '(?s)^.*:(.*)$', 1)), '')
+    else coalesce(nullif(trim(regexp_extract(command, '(?s)\\b(?:is|are|was)\\s+(.*)$', 1)), ''), nullif(trim(regexp_extract(command, '(?s)(?:^|\\s)(\\S*\\d.*)$', 1)), ''), case when regexp_matches(command, '(?i)\\btoday\\b') then '2024-05-01' end) end) as value,
+  regexp_matches(command, '(?i)^\\s*(please\\s+)?sign') as signing from commands""")
+def value_extract(spark, d):
+    c, none = F.col("command"), F.lit(None).cast("string")
+    return commands_of(spark, d).select("cmd_id", "command", T.extracted_value(c, none, none, F.lit("2024-05-01")).alias("value"), T.is_signing(c).alias("signing"))
+
+
+_CANDS = """cands as (select l_suppkey as form_id, l_orderkey * 10 + l_linenumber as field_ix, case l_returnflag when 'A' then 'text' when 'N' then 'tick' else 'choice' end as grp, max(l_discount) as score from lineitem group by all)"""
+
+
+def candidates_of(spark, d):
+    grp = F.when(F.col("l_returnflag") == "A", "text").when(F.col("l_returnflag") == "N", "tick").otherwise("choice")
+    rows = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("form_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("field_ix"), grp.alias("grp"), F.col("l_discount").alias("score"))
+    return rows.groupBy("form_id", "field_ix", "grp").agg(F.max("score").alias("score"))
+
+
+@query(f"with {_CANDS} select * from (select *, row_number() over (partition by form_id, grp order by score desc, field_ix) as place from cands) where place <= case grp when 'text' then 5 when 'tick' then 3 else 1 end")
+def topn_per_group(spark, d):
+    return forms.shortlist(candidates_of(spark, d))
+
+
+@query(f"with {_CANDS}, r as (select *, row_number() over (partition by form_id, grp order by score desc, field_ix) as place from cands) select form_id, grp, min(case when place = 1 then field_ix end) as best, min(case when place = 2 and grp <> 'choice' then field_ix end) as second from r group by form_id, grp")
+def alternatives(spark, d):
+    rows = forms.with_alternatives(forms.shortlist(candidates_of(spark, d)))
+    return rows.select("form_id", "grp", "best", F.get("alternatives", F.lit(0)).alias("second"))
+
+
+@query(f"""with {_CANDS}, r as (select *, 'Field ' || field_ix % 50 as label, row_number() over (partition by form_id, grp order by score desc, field_ix) as place from cands),
+u as (select * from (select *, row_number() over (partition by form_id, grp, label order by place) as n from r where place <= case grp when 'text' then 5 when 'tick' then 3 else 1 end) where n = 1)
+select form_id, '{{"text":[' || coalesce(string_agg(case when grp = 'text' then '"' || label || '"' end, ',' order by place), '') || '],"tick":[' || coalesce(string_agg(case when grp = 'tick' then '"' || label || '"' end, ',' order by place), '') || '],"none":"no_match"}}' as tools from u group by form_id""")
+def tool_json(spark, d):
+    listed = forms.shortlist(candidates_of(spark, d)).withColumn("label", F.concat(F.lit("Field "), (F.col("field_ix") % 50).cast("string")))
+    return forms.tool_json(listed)
+
+
+@query()
+def proposals(spark, d):
+    scored = commands_of(spark, d).select("cmd_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("field_ix")).select("cmd_id", "field_ix", F.when(F.col("field_ix") < 4, "text").otherwise("tick").alias("grp"), (F.pmod(F.hash("cmd_id", "field_ix"), F.lit(100)) / 100).alias("score"))
+    return forms.propose(commands_of(spark, d).withColumn("today", F.lit("2024-05-01")), scored)
+
+
+@query("""with a as (select event_id as form_id, '{"function_calls":[{"name":"fill_field","arguments":{"field":"Name","value":"' || event_type || '"}}]}' as answer from events)
+select form_id, 0 as pos, 'fill_field' as name, 7 as field_ix, regexp_extract(answer, '"value":"([^"]*)"', 1) as value, true as checked from a""")
+def model_calls(spark, d):
+    answers = read(spark, d, "events").select(F.col("event_id").alias("form_id"), F.concat(F.lit('{"function_calls":[{"name":"fill_field","arguments":{"field":"Name","value":"'), "event_type", F.lit('"}}]}')).alias("answer"))
+    return forms.calls(answers, answers.select("form_id", F.lit("Name").alias("label"), F.lit(7).alias("field_ix"), F.lit(1).alias("place")))
+
+
+# Boxes
+
+_BOXES = """boxes as (select l_orderkey % 300 * 100 + l_partkey % 100 as page, ((l_orderkey * 10 + l_linenumber) * 10000 + l_partkey) * 10000 + l_suppkey as box_id, l_returnflag as kind, max(l_discount) as score,
+  min((l_partkey % 500)::double) as l, min((l_suppkey % 90)::double) as t, min(l_partkey % 500 + l_quantity + 1) as r, min((l_suppkey % 90 + 10 + l_linenumber)::double) as b from lineitem group by all)"""
+
+
+def boxes_of(spark, d):
+    li = read(spark, d, "lineitem")
+    key = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
+    left, top = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") % 90).cast("double")
+    rows = li.select((F.col("l_orderkey") % 300 * 100 + F.col("l_partkey") % 100).alias("page"), key.alias("box_id"), F.col("l_returnflag").alias("kind"), F.col("l_discount").alias("score"), left.alias("l"), top.alias("t"), (left + F.col("l_quantity") + 1).alias("r"), (top + 10 + F.col("l_linenumber")).alias("b"))
+    return rows.groupBy("page", "box_id", "kind").agg(F.max("score").alias("score"), *[F.min(c).alias(c) for c in ("l", "t", "r", "b")])
+
+
+_INTER = "greatest(0, least(x.r, y.r) - greatest(x.l, y.l)) * greatest(0, least(x.b, y.b) - greatest(x.t, y.t))"
+_CROSS = "x.l < y.r and y.l < x.r and x.t < y.b and y.t < x.b"
+_IOU = f"{_INTER} / ((x.r - x.l) * (x.b - x.t) + (y.r - y.l) * (y.b - y.t) - {_INTER} + 1e-9)"
+
+
+@query(f"with {_BOXES} select x.page, x.box_id as a, y.box_id as b, round({_IOU}, 6) as iou from boxes x join boxes y on x.page = y.page and x.kind = y.kind and x.box_id < y.box_id and {_CROSS} where {_IOU} > 0.3")
+def iou_pairs(spark, d):
+    return geometry.overlapping(boxes_of(spark, d), 0.3).withColumn("iou", F.round("iou", 6))
+
+
+@query(f"with {_BOXES} select * from boxes x where not exists (select 1 from boxes y where x.page = y.page and x.kind <> y.kind and y.score > x.score and {_CROSS} and {_INTER} > 0.5 * (x.r - x.l) * (x.b - x.t))")
+def cross_kind_suppress(spark, d):
+    return geometry.cross_kind(boxes_of(spark, d))
+
+
+@query(f"with {_BOXES} select page, box_id from boxes qualify count_if(score >= 0.03) over (partition by page) >= 0 and count_if(score >= 0.3) over (partition by page) < 3 and score >= 0.05")
+def page_check(spark, d):
+    """Boxes of the pages that the check empties (scores here are below its threshold), of score 0.05 or more."""
+    b = boxes_of(spark, d)
+    return b.join(geometry.page_check(b).select("page").distinct(), "page", "left_anti").where("score >= 0.05").select("page", "box_id")
+
+
+@query()
+def nms_greedy(spark, d):
+    return geometry.suppressed(boxes_of(spark, d), 0.3)
+
+
+@query()
+def merged_fields(spark, d):
+    return geometry.merged(boxes_of(spark, d).withColumn("score", F.col("score") * 10))
+
+
+@query(f"""with {_BOXES} select box_id, arg_min(other, (gap, other)) as above from (select x.box_id, y.box_id as other, x.t - y.b as gap from boxes x join boxes y on x.page = y.page and x.box_id <> y.box_id
+  and x.t - y.b between -3.0 and 20.0 and least(x.r, y.r) - greatest(x.l, y.l) >= 0.7 * least(x.r - x.l, y.r - y.l)) group by box_id""")
+def nearest_above(spark, d):
+    return geometry.nearest_above(boxes_of(spark, d), 10)
+
+
+@query(f"""with {_BOXES}, f as (select * from boxes where kind <> 'R'), w as (select * from boxes where kind = 'R'),
+p as (select x.page, x.box_id, y.box_id as word_id, y.r as l, greatest(x.t, y.t) as t, x.l as r, least(x.b, y.b) as b from f x join w y on x.page = y.page and y.r <= x.l and x.l - y.r <= 150
+  and least(x.b, y.b) - greatest(x.t, y.t) >= 0.5 * greatest(least(x.b - x.t, y.b - y.t), 0.1))
+select box_id, word_id from p x where not exists (select 1 from f y where y.page = x.page and y.box_id <> x.box_id and {_CROSS})""")
+def blocker_anti_join(spark, d):
+    b = boxes_of(spark, d)
+    words = b.where("kind = 'R'").withColumnRenamed("box_id", "word_id")
+    return geometry.left_words(b.where("kind != 'R'"), words, 10)
+
+
+@query(f"with {_BOXES}, c as (select *, case when abs(t - lag(t) over (partition by page order by t, l, box_id)) > 5 then 1 else 0 end as new from boxes), n as (select *, sum(new) over (partition by page order by t, l, box_id) as line from c) select page, box_id as word_id, line::bigint as line, row_number() over (partition by page order by line, l, box_id) as place from n")
+def reading_order(spark, d):
+    return geometry.reading_order(boxes_of(spark, d).withColumnRenamed("box_id", "word_id"), 10).select("page", "word_id", "line", "place")
+
+
+@query(f"with {_BOXES}, c as (select page, t as row, box_id as word_id, case when max(r) over w is null or l - max(r) over w > 15 then 1 else 0 end as new, l from boxes window w as (partition by page, t order by l, box_id rows between unbounded preceding and 1 preceding)) select page, row, word_id, (sum(new) over (partition by page, row order by l, word_id) - 1)::bigint as cell from c")
+def cells_islands(spark, d):
+    b = boxes_of(spark, d).withColumnRenamed("box_id", "word_id").withColumn("row", F.col("t"))
+    return geometry.label_runs(b, 10).select("page", "row", "word_id", "cell")
+
+
+@query("select l_returnflag as kind, list_sort(list(l_extendedprice))[count(*) // 2 + 1] as median from lineitem group by l_returnflag")
+def upper_median(spark, d):
+    # an exact rank by sorting, in tasks of bounded size: no group is gathered
+    li = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("kind"), F.col("l_extendedprice").alias("x"))
+    return li.groupBy("kind").agg(F.expr("percentile_disc(0.5) within group (order by x desc)").alias("median"))
+
+
+@query()
+def visual_rows(spark, d):
+    return geometry.visual_rows(boxes_of(spark, d).select("page", F.col("box_id").alias("word_id"), "t", "b"))
+
+
+@query()
+def inherited_labels(spark, d):
+    b = boxes_of(spark, d)
+    return geometry.inherited_labels(b.select("page", "box_id", "l", "t", "r", "b", F.when(F.col("kind") == "R", F.col("box_id").cast("string")).alias("label")), 10)
+
+
+@query("""with v as (select l_orderkey * 10 + l_linenumber as row_ix, l_partkey, l_suppkey, l_quantity as w, l_discount * 10 as o, l_tax * 10 as p1, 0.3::double as p2 from lineitem)
+select row_ix, l_partkey, l_suppkey, case when p1 >= p2 then 'text' else 'choice' end as kind, round(o * greatest(p1, p2), 6) as score, 50 - w / 2 as l, 55.0 as t, 50 + w / 2 as r, 65.0 as b from v where o * greatest(p1, p2) >= 0.2""")
+def detector_decode(spark, d):
+    v = F.array(F.lit(50.0), F.lit(60.0), F.col("l_quantity"), F.lit(10.0), F.col("l_discount") * 10, F.col("l_tax") * 10, F.lit(0.3), F.lit(0.0))
+    rows = read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_ix"), "l_partkey", "l_suppkey", v.alias("v"))
+    return geometry.decoded(rows, F.lit(1.0)).drop("v").withColumn("score", F.round("score", 6))
+
+
+# OCR words
+
+_OCR = f"""{_CHUNKS}, ocr as (select doc_id as page_id, chunk_ix as block, (wx - 1) // 8 as line, wx - 1 as word, 60 * ((wx - 1) % 8) as l, 20 * (chunk_ix + (wx - 1) // 8) as t, w as text,
+  (chunk_ix * 100000 + wx - 1) as ix from (select doc_id, chunk_ix, unnest(ws) as w, generate_subscripts(ws, 1) as wx from (select doc_id, chunk_ix, string_split(text, ' ') as ws from chunks where doc_id % 7 < 7)) where trim(w) <> '')"""
+
+
+def ocr_rows(spark, d):
+    rows = chunks_of(spark, d).select("doc_id", "chunk_ix", F.posexplode(F.split("text", " ")).alias("wx", "w"))
+    cells = (F.lit(5), F.lit(1), F.col("chunk_ix"), F.lit(0), F.expr("wx div 8"), F.col("wx"), F.expr("60 * (wx % 8)"), F.expr("20 * (chunk_ix + wx div 8)"), F.length("w") * 6, F.lit(12), F.lit(90), F.col("w"))
+    return rows.select(F.col("doc_id").alias("page_id"), (F.col("chunk_ix") * 100000 + F.col("wx")).alias("ix"), F.concat_ws("\t", *cells).alias("row"))
+
+
+@query(f"with {_OCR} select page_id, block::int as block, 0 as par, line::int as line, l::int as l, t::int as t, (l + 6 * length(text))::int as r, (t + 12)::int as b, 90.0::double as conf, text from ocr")
+def ocr_words(spark, d):
+    return tsv.parse(ocr_rows(spark, d))
+
+
+def numbered_words(spark, d):
+    w = tsv.parse(ocr_rows(spark, d))
+    return layout.lines(w.withColumn("ix", F.col("block") * 100000 + F.col("line") * 8 + F.expr("l div 60")))
+
+
+@query(f"with {_OCR}, k as (select page_id, ix, block, line, case when lag(block) over w = block and lag(line) over w = line then 0 else 1 end as new from ocr window w as (partition by page_id order by ix)) select page_id, ix, (sum(new) over (partition by page_id order by ix) - 1)::bigint as line_no from k")
+def line_numbering(spark, d):
+    return numbered_words(spark, d).select("page_id", "ix", "line_no")
+
+
+@query(f"with {_OCR} select page_id, min(l)::int as l, min(t)::int as t, max(l + 6 * length(text))::int as r, string_agg(text, ' ' order by ix) as text from ocr group by page_id, block, line")
+def line_boxes(spark, d):
+    return layout.line_boxes(numbered_words(spark, d)).select("page_id", "l", "t", "r", "text")
+
+
+@query()
+def ocr_page_text(spark, d):
+    return layout.page_text(layout.paragraphs(layout.line_boxes(layout.cells(numbered_words(spark, d)).drop("cell"))))
+
+
+@query("""with s as (select conv_id as q_id, turn as pos, text, round(length(text) / 5200.0, 6) as score from conversations where text is not null),
+r as (select *, row_number() over (partition by q_id order by score desc, pos) as rn from s)
+select q_id, max(score) as best, case when count(*) = 1 then 1.0 else max(score) - max(case when rn = 2 then score end) end as gap from r group by q_id""")
+def runner_up_gap(spark, d):
+    c = read(spark, d, "conversations").where("text is not null").select(F.col("conv_id").alias("q_id"), F.col("turn").alias("pos"), "text", F.round(F.length("text") / 5200.0, 6).alias("score"))
+    return search.pick(c).where("rn = 1").select("q_id", "best", F.round("gap", 9).alias("gap"))
+
