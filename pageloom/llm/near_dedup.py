@@ -28,17 +28,18 @@ from pyspark.sql import functions as F
 from .common import cut, matching
 from .shingles import shingles_of, words_of
 
-T, TREES, BRANCH, LEVELS, LEAF, STAR = 64, 8, 2, 6, 512, 8
+T, TREES, BRANCH, LEVELS, LEAF, STAR = 64, 8, 2, 6, 2048, 8
 AGREE = 36
 _STEPS = np.random.default_rng(20240229).integers(1, 1 << 63, size=T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = [list(np.random.default_rng(900 + t).permutation([c for c in range(T) if c != t])) for t in range(TREES)]
 
 
 def _minwise(s: np.ndarray) -> np.ndarray:
+    """The least value of each of T hashes: their upper halves are root tokens, 16 bits below those are compared."""
     low = np.full(T, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), 2048):
         np.minimum(low, (s[None, at : at + 2048] * _STEPS[:, None]).min(axis=1), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return low
 
 
 def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray], list[bytes]]]:
@@ -51,17 +52,17 @@ def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array,
 
 
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, cid (the set's 128-bit hash), n (its size), sig (T minwise tokens)."""
+    """doc_id, cid (the set's 128-bit hash), n (its size), first (root tokens of the trees), sig (T short tokens)."""
 
     def run(batches):
         for ids, sets, cids in _sets(k, batches):
-            sig = np.concatenate([_minwise(s) for s in sets])
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(cids, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * T, pa.int32()), pa.array(sig, pa.int32()))],
-                names=["doc_id", "cid", "n", "sig"],
-            )
+            low = np.stack([_minwise(s) for s in sets])
+            first = (low[:, :TREES] >> np.uint64(32)).astype(np.uint32).view(np.int32).reshape(-1)
+            sig = (low >> np.uint64(16)).astype(np.uint16).view(np.int16).reshape(-1)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * k, pa.int32()), pa.array(v)) for k, v in ((TREES, first), (T, sig))]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(cids, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *lists], names=["doc_id", "cid", "n", "first", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, cid binary, n long, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, cid binary, n long, first array<int>, sig array<short>")
 
 
 def full_sets(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -98,11 +99,16 @@ def _compare(threshold: float):
         n = rows["n"].to_numpy()[order]
         label = rows["label"].to_numpy()[order]
         side = rows["side"].to_numpy()[order]
+        tree = int(rows["tree"][0].as_py())
+        first = rows["first"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, TREES)[order][:, :tree]
+        whole = (rows["big"].to_numpy()[order][:, None] >> np.arange(tree)) & 1 == 0
         out: tuple[list, list] = ([], [])
         for i in range(len(cid) - 1):
-            with_sig = (sig[i + 1 :] == sig[i]).sum(axis=1) >= AGREE
-            for j in np.flatnonzero(with_sig & (np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i]))) + i + 1:
-                if label[i] != label[j] and cid[i] != cid[j] and (side[i] != side[j] or side[i] == 0):
+            near = (sig[i + 1 :] == sig[i]).sum(axis=1) >= AGREE
+            near &= (np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i])) & (label[i + 1 :] != label[i])
+            for j in np.flatnonzero(near) + i + 1:
+                met = tree and ((first[i] == first[j]) & whole[i]).any()  # in an earlier tree, in a node compared whole
+                if not met and cid[i] != cid[j] and (side[i] != side[j] or side[i] == 0):
                     out[0].append(cid[i])
                     out[1].append(cid[j])
         return out
@@ -131,7 +137,7 @@ def _compare(threshold: float):
 
 
 def _leaf_pairs(leaves: DataFrame, threshold: float) -> DataFrame:
-    rows = leaves.select("node", "cid", "n", "sig", "label", "side").repartition("node").sortWithinPartitions("node")
+    rows = leaves.select("node", "cid", "n", "first", "sig", "label", "side", "tree", "big").repartition("node").sortWithinPartitions("node")
     return rows.mapInArrow(_compare(threshold), "a binary, b binary").distinct()
 
 
@@ -195,11 +201,11 @@ def link(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> tuple[DataFram
     """
     signed = cut(signatures(docs, k))
     firsts = signed.where("n > 0 and doc_id is not null").groupBy("cid", "n").agg(F.min("doc_id").alias("doc"))
-    tokens = signed.select(F.col("cid").alias("own"), "doc_id", "sig")
-    classes = cut(firsts.join(tokens, (F.col("cid") == F.col("own")) & (F.col("doc") == F.col("doc_id"))).select("cid", "n", "doc", "sig").dropDuplicates(["cid"]))
+    tokens = signed.select(F.col("cid").alias("own"), "doc_id", "first", "sig")
+    classes = cut(firsts.join(tokens, (F.col("cid") == F.col("own")) & (F.col("doc") == F.col("doc_id"))).select("cid", "n", "doc", "first", "sig").dropDuplicates(["cid"]))
     attrs = classes.select("cid", "n", "sig")
 
-    roots = classes.select("cid", F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "token"))
+    roots = classes.select("cid", F.posexplode("first").alias("tree", "token"))
     rows = roots.select(F.xxhash64("tree", "token").alias("node"), "tree", "cid", F.xxhash64("cid").alias("label"))
     rows = cut(_open(rows, F.min("cid").alias("pivot")))
 
@@ -212,18 +218,22 @@ def link(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> tuple[DataFram
         rows = cut(_open(rows))
 
     kept = ["node", "tree", "cid", "label"]
-    leaves = rows.where(F.col("size") <= LEAF).select(*kept, F.lit(0).alias("side"))
     large = rows.where(F.col("size") > LEAF)
+    big = large.groupBy("cid").agg(F.sum(F.expr("shiftleft(1, tree)")).alias("big"))
+    leaves = rows.where(F.col("size") <= LEAF).select(*kept, F.lit(0).alias("side")).join(big, "cid", "left").withColumn("big", F.coalesce("big", F.lit(0).cast("long")))
+    kept += ["side", "big"]
+    leaves = leaves.select(kept)
+    deeper = lambda df: df.withColumns({"tree": F.lit(0), "big": F.lit(0).cast("long")})  # noqa: E731  each pair is reported
     for level in range(1, LEVELS):
         if large.isEmpty():
             break
         rows = cut(_open(_children(large.join(attrs, "cid"), level)))
-        leaves = leaves.unionByName(rows.where(F.col("size") <= LEAF).select(*kept, F.lit(0).alias("side")))
+        leaves = leaves.unionByName(deeper(rows.where(F.col("size") <= LEAF).withColumn("side", F.lit(0))).select(kept))
         large = rows.where(F.col("size") > LEAF)
     else:
-        leaves = leaves.unionByName(_blocks(large).select(*kept, "side"))
+        leaves = leaves.unionByName(deeper(_blocks(large)).select(kept))
 
-    edges = _verified(cut(_leaf_pairs(leaves.join(attrs, "cid"), threshold)), classes, docs, threshold, k)
+    edges = _verified(cut(_leaf_pairs(leaves.join(classes.select("cid", "n", "first", "sig"), "cid"), threshold)), classes, docs, threshold, k)
     return signed, edges if linked is None else edges.union(linked)
 
 
