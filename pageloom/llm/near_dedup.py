@@ -28,17 +28,19 @@ from pyspark.sql import functions as F
 from .common import cut, matching
 from .shingles import shingles_of, words_of
 
-T, TREES, BRANCH, LEVELS, LEAF, STAR = 64, 8, 2, 6, 2048, 8
-AGREE = 36
+T, TREES, BRANCH, LEVELS, LEAF, STAR = 256, 8, 2, 6, 2048, 8
+AGREE = 168
 _STEPS = np.random.default_rng(20240229).integers(1, 1 << 63, size=T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = [list(np.random.default_rng(900 + t).permutation([c for c in range(T) if c != t])) for t in range(TREES)]
 
 
 def _minwise(s: np.ndarray) -> np.ndarray:
-    """The least value of each of T hashes: their upper halves are root tokens, 16 bits below those are compared."""
+    """The least value of each of T hashes: their upper halves are root tokens, 8 bits below those are compared."""
     low = np.full(T, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 2048):
-        np.minimum(low, (s[None, at : at + 2048] * _STEPS[:, None]).min(axis=1), out=low)
+    for at in range(0, len(s), 1024):
+        part = s[None, at : at + 1024]
+        for p in range(0, T, 64):
+            np.minimum(low[p : p + 64], (part * _STEPS[p : p + 64, None]).min(axis=1), out=low[p : p + 64])
     return low
 
 
@@ -52,17 +54,17 @@ def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array,
 
 
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, cid (the set's 128-bit hash), n (its size), first (root tokens of the trees), sig (T short tokens)."""
+    """doc_id, cid (the set's 128-bit hash), n (its size), first (root tokens of the trees), sig (T tokens of 8 bits)."""
 
     def run(batches):
         for ids, sets, cids in _sets(k, batches):
             low = np.stack([_minwise(s) for s in sets])
             first = (low[:, :TREES] >> np.uint64(32)).astype(np.uint32).view(np.int32).reshape(-1)
-            sig = (low >> np.uint64(16)).astype(np.uint16).view(np.int16).reshape(-1)
+            sig = (low >> np.uint64(16)).astype(np.uint8).view(np.int8).reshape(-1)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * k, pa.int32()), pa.array(v)) for k, v in ((TREES, first), (T, sig))]
             yield pa.RecordBatch.from_arrays([ids, pa.array(cids, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *lists], names=["doc_id", "cid", "n", "first", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, cid binary, n long, first array<int>, sig array<short>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, cid binary, n long, first array<int>, sig array<byte>")
 
 
 def full_sets(docs: DataFrame, k: int = 5) -> DataFrame:
