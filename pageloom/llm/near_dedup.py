@@ -5,7 +5,7 @@ shingle of all of them. Sets are embedded as T minwise tokens. Each of TREES ind
 node of one of its tokens; a node of at most LEAF sets is compared exhaustively, and a larger one branches by BRANCH
 more tokens, level by level, until its parts are small. Documents that share frequent passages only are parted that
 way. Sets that share nearly everything never part, so nodes of more than STAR first link their sets to their smallest
-one; nodes whose sets are all linked already are closed. What is still large after LEVELS levels is compared in blocks.
+one, and twice each set is then linked to its likeliest partner; nodes whose sets are all linked already are closed. What is still large after LEVELS levels is compared in blocks.
 
 A pair of similarity 0.75 misses all 8 roots with probability 0.25^8 = 1.5e-5. Candidates must agree in AGREE of the T
 tokens (3.5 standard deviations below 0.75) and have sizes in the ratio of the threshold; each is then confirmed on
@@ -30,6 +30,7 @@ from .shingles import shingles_of, words_of
 
 T, TREES, BRANCH, LEVELS, LEAF, STAR = 256, 8, 2, 6, 2048, 8
 AGREE = 168
+ROUNDS = 2
 _STEPS = np.random.default_rng(20240229).integers(1, 1 << 63, size=T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = [list(np.random.default_rng(900 + t).permutation([c for c in range(T) if c != t])) for t in range(TREES)]
 
@@ -87,8 +88,11 @@ def _similar(threshold: float):
     return (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")) & (agree >= AGREE), agree
 
 
-def _compare(threshold: float):
-    """Over rows in order of node: the pairs of each node that may be similar and have different labels."""
+def _compare(threshold: float, best: bool):
+    """Over rows in order of node: the pairs of each node that may be similar and have different labels.
+
+    best: for each set only the likeliest of them.
+    """
 
     def pairs(node: list[pa.RecordBatch]):
         rows = pa.Table.from_batches(node)
@@ -105,7 +109,14 @@ def _compare(threshold: float):
         first = rows["first"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, TREES)[order][:, :tree]
         whole = (rows["big"].to_numpy()[order][:, None] >> np.arange(tree)) & 1 == 0
         out: tuple[list, list] = ([], [])
-        for i in range(len(cid) - 1):
+        for i in range(len(cid) if best else 0):
+            agree = (sig == sig[i]).sum(axis=1)
+            may = (agree >= AGREE) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])) & (label != label[i]) & ((side != side[i]) | (side[i] == 0))
+            if may.any():
+                j = int(np.argmax(np.where(may, agree, -1)))
+                out[0].append(cid[min(i, j)])
+                out[1].append(cid[max(i, j)])
+        for i in range(0 if best else len(cid) - 1):
             near = (sig[i + 1 :] == sig[i]).sum(axis=1) >= AGREE
             near &= (np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i])) & (label[i + 1 :] != label[i])
             for j in np.flatnonzero(near) + i + 1:
@@ -138,9 +149,9 @@ def _compare(threshold: float):
     return run
 
 
-def _leaf_pairs(leaves: DataFrame, threshold: float) -> DataFrame:
+def _leaf_pairs(leaves: DataFrame, threshold: float, best: bool = False) -> DataFrame:
     rows = leaves.select("node", "cid", "n", "first", "sig", "label", "side", "tree", "big").repartition("node").sortWithinPartitions("node")
-    return rows.mapInArrow(_compare(threshold), "a binary, b binary").distinct()
+    return rows.mapInArrow(_compare(threshold, best), "a binary, b binary").distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -235,7 +246,19 @@ def link(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> tuple[DataFram
     else:
         leaves = leaves.unionByName(deeper(_blocks(large)).select(kept))
 
-    edges = _verified(cut(_leaf_pairs(leaves.join(classes.select("cid", "n", "first", "sig"), "cid"), threshold)), classes, docs, threshold, k)
+    # Sets of large groups first follow their likeliest links; only pairs of what those leave apart are compared in full.
+    leaves, tokens = cut(leaves), classes.select("cid", "n", "first", "sig")
+    for _ in range(ROUNDS):
+        likely = cut(_leaf_pairs(leaves.join(tokens, "cid"), threshold, best=True))
+        if likely.isEmpty():
+            break
+        found = _verified(likely, classes, docs, threshold, k)
+        linked = found if linked is None else linked.union(found)
+        known = components(linked)
+        leaves = leaves.drop("label").join(known, "cid", "left").withColumn("label", F.xxhash64(F.coalesce("root", "cid"))).select(kept)
+        leaves = cut(_open(leaves).select(kept))
+
+    edges = _verified(cut(_leaf_pairs(leaves.join(tokens, "cid"), threshold)), classes, docs, threshold, k)
     return signed, edges if linked is None else edges.union(linked)
 
 
