@@ -58,30 +58,32 @@ def sentences_of(text: str | None) -> list[str]:
         if not line:
             continue
         if out and len(line) > len(out[-1]) and line.startswith(out[-1]):
-            out[-1] = line
-            continue
-        for item in list_items(line):
-            for i, s in enumerate(split_at_stops(item)):
-                last = out[-1] if out else ""
-                glue = None
-                if last and i == 0:
-                    if last.endswith(":") and form_row(s):
-                        glue = None
-                    elif joins(last, s):
-                        glue = ": "
-                    elif bare_label(last) and not bullet(s):
-                        glue = " "
-                    elif len(last) > C.PROSE_MIN and not re.search(r"[.!?؟:;]$", last) and not label_value(last) and not bullet(s):
-                        glue = " "
-                elif last and last[-1] in ":?":
-                    glue = " "
-                if glue is None:
-                    out.append(s)
-                else:
-                    out[-1] = last + glue + s
+            out.pop()  # the line says again what came before, and more
+        start = _glue(out[-1], line) if out else None
+        alone = bool(out) and out[-1][-1] in ":：" and form_row(line)
+        pieces = [s for item in list_items(line) for s in split_at_stops(item)]
+        for i, s in enumerate(pieces):
+            lead_in = bool(out) and out[-1][-1] in ":：?؟" and not (i == 0 and alone)
+            glue = start if i == 0 and start else " " if lead_in else None
+            if glue:
+                out[-1] += glue + s
+            else:
+                out.append(s)
     return out
 
 
+def _glue(last: str, line: str) -> str | None:
+    """What joins a line to the sentence before it, beyond lead-ins; null if it begins a sentence of its own."""
+    if last[-1] in ":：" and form_row(line):
+        return None
+    if joins(last, line):
+        return ": "
+    if bare_label(last) and not bullet(line):
+        return " "
+    wrapped = len(last) > C.PROSE_MIN and not re.search(r"[.!?؟:：;]$", last)
+    return " " if wrapped and not (label_value(last) or label_value(line) or bullet(line)) else None
+
+
 def table_sentences(lines: list[str]) -> list[str]:
     """Rows of a Markdown table as sentences: 'head: cell, …' with three heads or more, else 'first: rest'."""
     rows = []
