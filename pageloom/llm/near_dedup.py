@@ -31,6 +31,8 @@ from .shingles import shingles_of, words_of
 T, TREES, BRANCH, LEVELS, LEAF, STAR = 256, 8, 2, 6, 2048, 8
 AGREE = 168
 ROUNDS = 2
+#: Shingles that a task holds at a time when links are confirmed.
+HELD = 1 << 22
 _STEPS = np.random.default_rng(20240229).integers(1, 1 << 63, size=T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = [list(np.random.default_rng(900 + t).permutation([c for c in range(T) if c != t])) for t in range(TREES)]
 
@@ -132,36 +134,83 @@ def _compare(threshold: float, best: bool):
         for batch in batches:
             keys = batch.column(0).to_numpy()
             ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)] if len(keys) else []
-            a, b, at = [], [], 0
+            a, b, nodes, at = [], [], [], 0
             for end in ends:
                 if held and keys[at] != key and (got := pairs(held)):
                     a += got[0]
                     b += got[1]
+                    nodes += [key] * len(got[0])
                 if keys[at] != key:
                     held = []
                 key = keys[at]
                 held.append(batch.slice(at, end - at))
                 at = end
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(nodes, pa.int64())], names=["a", "b", "block"])
         if held and (got := pairs(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.binary()), pa.array(got[1], pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.binary()), pa.array(got[1], pa.binary()), pa.array([key] * len(got[0]), pa.int64())], names=["a", "b", "block"])
 
     return run
 
 
 def _leaf_pairs(leaves: DataFrame, threshold: float, best: bool = False) -> DataFrame:
+    """a, b and block, a node where they met, of pairs that may be similar."""
     rows = leaves.select("node", "cid", "n", "first", "sig", "label", "side", "tree", "big").repartition("node").sortWithinPartitions("node")
-    return rows.mapInArrow(_compare(threshold, best), "a binary, b binary").distinct()
+    return rows.mapInArrow(_compare(threshold, best), "a binary, b binary, block long").groupBy("a", "b").agg(F.min("block").alias("block"))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows in order of block, chunk, kind and a: what the sets (kind 0: a, items) of each pair (kind 1: a, b) share."""
+    held: dict[bytes, np.ndarray] = {}
+    key = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        a, b, items = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
+        ends = np.concatenate([[0], np.cumsum(items.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        flat = items.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        at = 0
+        while at < len(keys):
+            if keys[at][:2] != key:
+                key, held = keys[at][:2], {}
+            if keys[at][2] == 0:
+                held[a[at]] = flat[ends[at] : ends[at + 1]].copy()
+                at += 1
+                continue
+            end = at + 1
+            while end < len(keys) and keys[end] == keys[at] and a[end] == a[at]:
+                end += 1
+            own, others = held[a[at]], [held[x] for x in b[at:end]]
+            edge = np.cumsum([0, *map(len, others)])
+            every = np.concatenate(others)
+            place = np.searchsorted(own, every)
+            hit = np.zeros(len(every) + 1, np.int64)
+            if len(own):
+                np.cumsum(own[np.minimum(place, len(own) - 1)] == every, out=hit[1:])
+            both = hit[edge[1:]] - hit[edge[:-1]]
+            for c, v in zip(out, (a[at:end], b[at:end], both.tolist(), (len(own) + np.diff(edge) - both).tolist()), strict=True):
+                c += v
+            at = end
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["a", "b", "both", "either"])
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, k: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "doc"), "cid").select(F.col("doc").alias("doc_id")).distinct()
-    sets = full_sets(matching(docs.select("doc_id", "text"), cut(ids), "doc_id"), k)
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("items").alias("y")), "b")
-    inter = F.size(F.array_intersect("x", "y"))
-    percent = round(threshold * 100)
-    return cut(both.where(100 * inter >= percent * (F.size("x") + F.size("y") - inter)).select("a", "b"))
+    """The pairs (a, b, block) whose full sets reach the threshold.
+
+    A set goes once to each block that has pairs of it, not once to each pair. Blocks of more than HELD shingles are
+    cut into chunks by shingle; what two sets share is the sum over the chunks.
+    """
+    uses = cut(pairs.select("block", F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "n", "doc"), "cid"))
+    chunks = uses.groupBy("block").agg(F.ceil(F.sum("n") / HELD).cast("int").alias("chunks"))
+    each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    sets = full_sets(matching(docs.select("doc_id", "text"), cut(uses.select(F.col("doc").alias("doc_id")).distinct()), "doc_id"), k)
+    sets = uses.select("block", "cid").join(chunks, "block").join(sets, "cid").select("block", "chunks", each, F.lit(0).alias("kind"), F.col("cid").alias("a"), F.lit(None).cast("binary").alias("b"), "items")
+    part = F.when(F.col("chunks") == 1, F.col("items")).otherwise(F.filter("items", lambda h: F.pmod(h, F.col("chunks")) == F.col("chunk")))
+    asked = pairs.join(chunks, "block").select("block", each, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("items"))
+    rows = sets.withColumn("items", part).drop("chunks").unionByName(asked)
+    found = rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "kind", "a").mapInArrow(_shared, "a binary, b binary, both long, either long")
+    sums = found.groupBy("a", "b").agg(F.sum("both").alias("both"), F.sum("either").alias("either"))
+    return cut(sums.where(F.lit(100) * F.col("both") >= F.lit(round(threshold * 100)) * F.col("either")).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,8 +252,10 @@ def _stars(rows: DataFrame, attrs: DataFrame, threshold: float) -> DataFrame:
     likely, agree = _similar(threshold)
     pairs = rows.where(f"size > {STAR} and cid != pivot").select("cid", "pivot").distinct()
     pairs = pairs.join(attrs, "cid").join(attrs.toDF("pivot", "n_b", "sig_b"), "pivot").where(likely)
-    best = pairs.groupBy("cid").agg(F.max(F.struct(agree.alias("agree"), "pivot")).alias("best"))
-    return best.select(F.least("cid", "best.pivot").alias("a"), F.greatest("cid", "best.pivot").alias("b")).distinct()
+    best = cut(pairs.groupBy("cid").agg(F.max(F.struct(agree.alias("agree"), "pivot")).alias("best")).select("cid", "best.pivot"))
+    parts = best.groupBy("pivot").agg(F.ceil(F.count("*") / (LEAF // 2)).alias("parts"))
+    block = F.xxhash64("pivot", F.pmod(F.xxhash64("cid"), F.col("parts")))
+    return best.join(parts, "pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"), block.alias("block"))
 
 
 def link(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> tuple[DataFrame, DataFrame]:

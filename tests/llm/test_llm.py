@@ -217,6 +217,7 @@ def test_near_duplicates(spark, odd, monkeypatch):
 def test_blocks_cover_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "LEAF", 8)
     monkeypatch.setattr(near_dedup, "LEVELS", 2)
+    monkeypatch.setattr(near_dedup, "HELD", 150)  # so that blocks are cut into chunks
     base = " ".join(f"w{i}" for i in range(80))
     docs = [(i, base + " " + " ".join(f"t{i}n{j}" for j in range(10 + 12 * (i % 2)))) for i in range(40)]
     got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
