@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer in use: it does so when the driver's garbage goes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def matching(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """df semi or anti joined with unique keys, which are broadcast only if they are counted as few."""
     few = keys.count() <= BROADCAST_KEYS

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, matching
+from .common import cut, matching, release
 from .shingles import shingles_of, words_of
 
 T, TREES, BRANCH, LEVELS, LEAF, STAR = 256, 8, 2, 6, 2048, 8
@@ -90,72 +90,132 @@ def _similar(threshold: float):
     return (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")) & (agree >= AGREE), agree
 
 
-def _compare(threshold: float, best: bool):
-    """Over rows in order of node: the pairs of each node that may be similar and have different labels.
-
-    best: for each set only the likeliest of them.
-    """
-
-    def pairs(node: list[pa.RecordBatch]):
-        rows = pa.Table.from_batches(node)
-        if rows.num_rows < 2:
-            return None
-        cid = rows["cid"].to_pylist()
-        order = sorted(range(len(cid)), key=cid.__getitem__)
-        cid = [cid[i] for i in order]
-        sig = rows["sig"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, T)[order]
-        n = rows["n"].to_numpy()[order]
-        label = rows["label"].to_numpy()[order]
-        side = rows["side"].to_numpy()[order]
-        tree = int(rows["tree"][0].as_py())
-        first = rows["first"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, TREES)[order][:, :tree]
-        whole = (rows["big"].to_numpy()[order][:, None] >> np.arange(tree)) & 1 == 0
-        out: tuple[list, list] = ([], [])
-        for i in range(len(cid) if best else 0):
-            agree = (sig == sig[i]).sum(axis=1)
-            may = (agree >= AGREE) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])) & (label != label[i]) & ((side != side[i]) | (side[i] == 0))
-            if may.any():
-                j = int(np.argmax(np.where(may, agree, -1)))
-                out[0].append(cid[min(i, j)])
-                out[1].append(cid[max(i, j)])
-        for i in range(0 if best else len(cid) - 1):
-            near = (sig[i + 1 :] == sig[i]).sum(axis=1) >= AGREE
-            near &= (np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i])) & (label[i + 1 :] != label[i])
-            for j in np.flatnonzero(near) + i + 1:
-                met = tree and ((first[i] == first[j]) & whole[i]).any()  # in an earlier tree, in a node compared whole
-                if not met and cid[i] != cid[j] and (side[i] != side[j] or side[i] == 0):
-                    out[0].append(cid[i])
-                    out[1].append(cid[j])
-        return out
+def _pairs_of(rows: pa.Table, threshold: float, best: bool) -> tuple[list[bytes], list[bytes]]:
+    """The pairs of a node that may be similar and have different labels. best: for each set only the likeliest."""
+    if rows.num_rows < 2:
+        return [], []
+    cid = rows["cid"].to_pylist()
+    order = sorted(range(len(cid)), key=cid.__getitem__)
+    cid = [cid[i] for i in order]
+    sig = rows["sig"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, T)[order]
+    n = rows["n"].to_numpy()[order]
+    label = rows["label"].to_numpy()[order]
+    side = rows["side"].to_numpy()[order]
+    tree = int(rows["tree"][0].as_py())
+    first = rows["first"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, TREES)[order][:, :tree]
+    whole = (rows["big"].to_numpy()[order][:, None] >> np.arange(tree)) & 1 == 0
+    out: tuple[list, list] = ([], [])
+    for i in range(len(cid) if best else 0):
+        agree = (sig == sig[i]).sum(axis=1)
+        may = (agree >= AGREE) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])) & (label != label[i]) & ((side != side[i]) | (side[i] == 0))
+        if may.any():
+            j = int(np.argmax(np.where(may, agree, -1)))
+            out[0].append(cid[min(i, j)])
+            out[1].append(cid[max(i, j)])
+    for i in range(0 if best else len(cid) - 1):
+        near = (sig[i + 1 :] == sig[i]).sum(axis=1) >= AGREE
+        near &= (np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i])) & (label[i + 1 :] != label[i])
+        for j in np.flatnonzero(near) + i + 1:
+            met = tree and ((first[i] == first[j]) & whole[i]).any()  # in an earlier tree, in a node compared whole
+            if not met and cid[i] != cid[j] and (side[i] != side[j] or side[i] == 0):
+                out[0].append(cid[i])
+                out[1].append(cid[j])
+    return out
+
+
+def _by_node(keys: int, each):
+    """Over rows in order of their first columns, the keys: what each(rows of one key) gives."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         key = None
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)] if len(keys) else []
-            a, b, nodes, at = [], [], [], 0
-            for end in ends:
-                if held and keys[at] != key and (got := pairs(held)):
-                    a += got[0]
-                    b += got[1]
-                    nodes += [key] * len(got[0])
-                if keys[at] != key:
+            own = list(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True))
+            at = 0
+            while at < len(own):
+                end = at + 1
+                while end < len(own) and own[end] == own[at]:
+                    end += 1
+                if held and own[at] != key:
+                    yield from each(pa.Table.from_batches(held))
                     held = []
-                key = keys[at]
+                key = own[at]
                 held.append(batch.slice(at, end - at))
                 at = end
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(nodes, pa.int64())], names=["a", "b", "block"])
-        if held and (got := pairs(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.binary()), pa.array(got[1], pa.binary()), pa.array([key] * len(got[0]), pa.int64())], names=["a", "b", "block"])
+        if held:
+            yield from each(pa.Table.from_batches(held))
 
     return run
 
 
-def _leaf_pairs(leaves: DataFrame, threshold: float, best: bool = False) -> DataFrame:
-    """a, b and block, a node where they met, of pairs that may be similar."""
+def _met(leaves: DataFrame, threshold: float) -> DataFrame:
+    """a, b and block, the node where they met, of each set and its likeliest partner."""
+
+    def each(rows):
+        a, b = _pairs_of(rows, threshold, True)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([rows["node"][0].as_py()] * len(a), pa.int64())], names=["a", "b", "block"])
+
     rows = leaves.select("node", "cid", "n", "first", "sig", "label", "side", "tree", "big").repartition("node").sortWithinPartitions("node")
-    return rows.mapInArrow(_compare(threshold, best), "a binary, b binary, block long").groupBy("a", "b").agg(F.min("block").alias("block"))
+    return rows.mapInArrow(_by_node(1, each), "a binary, b binary, block long").groupBy("a", "b").agg(F.min("block").alias("block"))
+
+
+def _all_links(leaves: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, k: int) -> DataFrame:
+    """All confirmed links within nodes. Candidates live in the task that confirms them and are never rows of their own,
+    so that what travels follows the sets and not their pairs."""
+
+    def partners(rows):
+        a, b = _pairs_of(rows, threshold, False)
+        if a:
+            own = sorted({*a, *b})
+            yield pa.RecordBatch.from_arrays([pa.array([rows["node"][0].as_py()] * len(own), pa.int64()), pa.array(own, pa.binary())], names=["node", "cid"])
+
+    def confirmed(rows):
+        a, b = _pairs_of(rows, threshold, False)
+        items = dict(zip(rows["cid"].to_pylist(), (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in rows["items"]), strict=True))
+        whole, at = rows["chunks"][0].as_py() == 1, 0
+        while at < len(a):
+            end = at + 1
+            while end < len(a) and a[end] == a[at]:
+                end += 1
+            both, either = _overlap(items[a[at]], [items[x] for x in b[at:end]])
+            keep = np.flatnonzero(100 * both >= round(threshold * 100) * either if whole else np.ones(len(both), bool))
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([pa.array([a[at]] * len(keep), pa.binary()), pa.array([b[at + i] for i in keep], pa.binary()), pa.array(both[keep]), pa.array(either[keep])], names=["a", "b", "both", "either"])
+            at = end
+
+    columns = ["node", "cid", "n", "first", "sig", "label", "side", "tree", "big"]
+    tokens = classes.select("cid", "n", "first", "sig")
+    nodes = leaves.join(tokens, "cid").select(columns).repartition("node").sortWithinPartitions("node")
+    uses = cut(nodes.mapInArrow(_by_node(1, partners), "node long, cid binary").distinct().join(leaves, ["node", "cid"]).join(classes.select("cid", "n", "first", "sig", "doc"), "cid"))
+    chunks = uses.groupBy("node").agg(F.ceil(F.sum("n") / HELD).cast("int").alias("chunks"))
+    sets = full_sets(matching(docs.select("doc_id", "text"), cut(uses.select(F.col("doc").alias("doc_id")).distinct()), "doc_id"), k).dropDuplicates(["cid"])
+    rows = uses.join(chunks, "node").join(sets, "cid").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("node", "chunk", *columns[1:], "chunks", _chunk_of("items").alias("items"))
+    found = rows.repartition("node", "chunk").sortWithinPartitions("node", "chunk").mapInArrow(_by_node(2, confirmed), "a binary, b binary, both long, either long")
+    # a pair that met in several nodes is summed as often on both sides, so the comparison holds
+    return _reaching(found, threshold)
+
+
+def _overlap(own: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the intersections and unions of a sorted set with each of others."""
+    edge = np.cumsum([0, *map(len, others)])
+    every = np.concatenate(others)
+    hit = np.zeros(len(every) + 1, np.int64)
+    if len(own):
+        np.cumsum(own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every, out=hit[1:])
+    both = hit[edge[1:]] - hit[edge[:-1]]
+    return both, len(own) + np.diff(edge) - both
+
+
+def _chunk_of(items: str):
+    """The part of items in the row's chunk of chunks."""
+    return F.when(F.col("chunks") == 1, F.col(items)).otherwise(F.filter(items, lambda h: F.pmod(h, F.col("chunks")) == F.col("chunk")))
+
+
+def _reaching(found: DataFrame, threshold: float) -> DataFrame:
+    sums = found.groupBy("a", "b").agg(F.sum("both").alias("both"), F.sum("either").alias("either"))
+    return cut(sums.where(F.lit(100) * F.col("both") >= F.lit(round(threshold * 100)) * F.col("either")).select("a", "b"))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,15 +239,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = at + 1
             while end < len(keys) and keys[end] == keys[at] and a[end] == a[at]:
                 end += 1
-            own, others = held[a[at]], [held[x] for x in b[at:end]]
-            edge = np.cumsum([0, *map(len, others)])
-            every = np.concatenate(others)
-            place = np.searchsorted(own, every)
-            hit = np.zeros(len(every) + 1, np.int64)
-            if len(own):
-                np.cumsum(own[np.minimum(place, len(own) - 1)] == every, out=hit[1:])
-            both = hit[edge[1:]] - hit[edge[:-1]]
-            for c, v in zip(out, (a[at:end], b[at:end], both.tolist(), (len(own) + np.diff(edge) - both).tolist()), strict=True):
+            both, either = _overlap(held[a[at]], [held[x] for x in b[at:end]])
+            for c, v in zip(out, (a[at:end], b[at:end], both.tolist(), either.tolist()), strict=True):
                 c += v
             at = end
         kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
@@ -205,12 +258,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold:
     each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
     sets = full_sets(matching(docs.select("doc_id", "text"), cut(uses.select(F.col("doc").alias("doc_id")).distinct()), "doc_id"), k)
     sets = uses.select("block", "cid").join(chunks, "block").join(sets, "cid").select("block", "chunks", each, F.lit(0).alias("kind"), F.col("cid").alias("a"), F.lit(None).cast("binary").alias("b"), "items")
-    part = F.when(F.col("chunks") == 1, F.col("items")).otherwise(F.filter("items", lambda h: F.pmod(h, F.col("chunks")) == F.col("chunk")))
     asked = pairs.join(chunks, "block").select("block", each, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("items"))
-    rows = sets.withColumn("items", part).drop("chunks").unionByName(asked)
+    rows = sets.withColumn("items", _chunk_of("items")).drop("chunks").unionByName(asked)
     found = rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "kind", "a").mapInArrow(_shared, "a binary, b binary, both long, either long")
-    sums = found.groupBy("a", "b").agg(F.sum("both").alias("both"), F.sum("either").alias("either"))
-    return cut(sums.where(F.lit(100) * F.col("both") >= F.lit(round(threshold * 100)) * F.col("either")).select("a", "b"))
+    return _reaching(found, threshold)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,6 +279,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u != v").distinct()
         e = cut(small)
+        release(edges.sparkSession)
         now = state(e)
         if now == seen:
             return e.select(F.col("u").alias("cid"), F.col("v").alias("root")).union(e.select(F.col("v").alias("cid"), F.col("v").alias("root")).distinct())
@@ -297,10 +349,11 @@ def link(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> tuple[DataFram
     else:
         leaves = leaves.unionByName(deeper(_blocks(large)).select(kept))
 
+    release(docs.sparkSession)
     # Sets of large groups first follow their likeliest links; only pairs of what those leave apart are compared in full.
     leaves, tokens = cut(leaves), classes.select("cid", "n", "first", "sig")
     for _ in range(ROUNDS):
-        likely = cut(_leaf_pairs(leaves.join(tokens, "cid"), threshold, best=True))
+        likely = cut(_met(leaves.join(tokens, "cid"), threshold))
         if likely.isEmpty():
             break
         found = _verified(likely, classes, docs, threshold, k)
@@ -308,8 +361,10 @@ def link(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> tuple[DataFram
         known = components(linked)
         leaves = leaves.drop("label").join(known, "cid", "left").withColumn("label", F.xxhash64(F.coalesce("root", "cid"))).select(kept)
         leaves = cut(_open(leaves).select(kept))
+        release(docs.sparkSession)
 
-    edges = _verified(cut(_leaf_pairs(leaves.join(tokens, "cid"), threshold)), classes, docs, threshold, k)
+    release(docs.sparkSession)
+    edges = _all_links(leaves, classes, docs, threshold, k)
     return signed, edges if linked is None else edges.union(linked)
 
 
