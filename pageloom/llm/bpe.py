@@ -9,8 +9,9 @@ gives, without merging.
 A compatible pair is tested by undoing the merges of both tokens, the later one first: if at some stage the two pieces
 that touch could have merged before the stage was reached, the pair would not have come about.
 
-The vocabulary is read from a tokenizers JSON file on every worker; its path is a parameter. Words are encoded once and
-kept in a table of bounded size.
+What a prefix's last token is does not depend on what follows, so prefixes of short words are kept in a tree and words
+that begin alike share them; the last byte of a word has symbols of its own. The vocabulary is read from a tokenizers
+JSON file on every worker; its path is a parameter. Words and prefixes are kept in tables of bounded size.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Words kept in each of two tables: a full one becomes the elder, from which words in use are taken over.
 KEEP_WORDS = 200_000
+#: Prefixes kept, and the bytes beyond which a word gets arrays of its own instead.
+KEEP_PREFIXES, LONG = 500_000, 64
 _SPACES = r"\t-\r\x20\x85\xa0  -     　"
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -68,6 +72,12 @@ class BPE:
         self.pair_rank = {(vocab[a], vocab[b]): i for i, (a, b) in reversed(list(enumerate(merges)))}
         self.fits: dict[tuple[int, int], bool] = {}
         self._automaton()
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty tree of prefixes: per node its parent, the automaton's state, the last token and the node before it."""
+        self.kids: dict[int, int] = {}
+        self.parent, self.state, self.ends, self.back = (array("i", [0]) for _ in range(4))
 
     def _spelled(self, t: int) -> list[int]:
         out, todo = [], [t]
@@ -81,14 +91,15 @@ class BPE:
 
     def _automaton(self) -> None:
         """Trie of all tokens; per state its suffix link, its token and the nearest state by links that has one."""
-        to: dict[tuple[int, int], int] = {}
+        to: dict[int, int] = {}
+        symbol = {t: c for c, t in enumerate([*self.base, *self.base_end])}
         token, depth, parent = [-1], [0], [(0, 0)]
         for t in {*self.base, *self.base_end, *self.rank}:
             s = 0
-            for c in self._spelled(t):
-                nxt = to.get((s, c))
+            for c in map(symbol.__getitem__, self._spelled(t)):
+                nxt = to.get(s << 9 | c)
                 if nxt is None:
-                    nxt = to[s, c] = len(token)
+                    nxt = to[s << 9 | c] = len(token)
                     token.append(-1)
                     depth.append(depth[s] + 1)
                     parent.append((s, c))
@@ -99,9 +110,9 @@ class BPE:
             p, c = parent[s]
             if p:
                 f = link[p]
-                while f and (f, c) not in to:
+                while f and f << 9 | c not in to:
                     f = link[f]
-                link[s] = to.get((f, c), 0)
+                link[s] = to.get(f << 9 | c, 0)
             nearest[s] = s if token[s] >= 0 else nearest[link[s]]
         self.to, self.token, self.depth, self.link, self.nearest = to, array("i", token), array("i", depth), link, nearest
 
@@ -132,30 +143,62 @@ class BPE:
             else:
                 b, after_b = parts[b][0], rb
 
+    def _grow(self, node: int, c: int) -> int:
+        """The node of one more symbol after a prefix."""
+        to, link, parent, ends = self.to, self.link, self.parent, self.ends
+        s = self.state[node]
+        while s and s << 9 | c not in to:
+            s = link[s]
+        s = to.get(s << 9 | c, 0)
+        m = self.nearest[s]
+        while True:
+            t, before = self.token[m], node
+            for _ in range(self.depth[m] - 1):
+                before = parent[before]
+            if not before or self.compatible(ends[before], t):
+                break
+            m = self.nearest[link[m]]
+        new = self.kids[node << 9 | c] = len(ends)
+        parent.append(node)
+        self.state.append(s)
+        ends.append(t)
+        self.back.append(before)
+        return new
+
     def encode(self, word: bytes) -> list[int]:
-        last = len(word) - 1
-        if last < 0:
+        if len(word) > LONG:
+            return self._encode_long(word)
+        if not word:
             return []
-        to, token, depth, link, nearest, fits = self.to, self.token, self.depth, self.link, self.nearest, self.fits
-        ends: list[int] = []
-        sizes: list[int] = []
+        if len(self.ends) > KEEP_PREFIXES:
+            self._forget()
+        kids, node = self.kids, 0
+        for byte in word[:-1]:
+            node = kids.get(node << 9 | byte) or self._grow(node, byte)
+        byte = word[-1] + 256
+        node = kids.get(node << 9 | byte) or self._grow(node, byte)
+        ends, back, out = self.ends, self.back, []
+        while node:
+            out.append(ends[node])
+            node = back[node]
+        out.reverse()
+        return out
+
+    def _encode_long(self, word: bytes) -> list[int]:
+        to, token, depth, link, nearest = self.to, self.token, self.depth, self.link, self.nearest
+        last = len(word) - 1
+        ends, sizes = array("i"), array("i")
         s = 0
-        for i, byte in enumerate(word):
-            c = self.base[byte] if i < last else self.base_end[byte]
-            while s and (s, c) not in to:
+        for i, c in enumerate(word):
+            if i == last:
+                c += 256
+            while s and s << 9 | c not in to:
                 s = link[s]
-            s = to.get((s, c), 0)
+            s = to.get(s << 9 | c, 0)
             m = nearest[s]
             while True:
                 n, t = depth[m], token[m]
-                before = i - n
-                if before < 0:
-                    break
-                pair = (ends[before], t)
-                ok = fits.get(pair)
-                if ok is None:
-                    ok = self.compatible(*pair)
-                if ok:
+                if n > i or self.compatible(ends[i - n], t):
                     break
                 m = nearest[link[m]]
             ends.append(t)
@@ -196,26 +239,30 @@ class Tokenizer:
         careful = careful.replace(rf"[^{_SPACES}\p{{L}}\p{{N}}]", rf"[[^{_SPACES}\p{{L}}\p{{N}}]||[{new}]]")
         self.careful = regex.compile("(?V1)" + careful) if new else self.piece
         self.words: dict[str, tuple[bytes, int, str]] = {}
+        self.elder: dict[str, tuple[bytes, int, str]] = {}
 
     def _word(self, word: str) -> tuple[bytes, int, str]:
         """Ids (little-endian unsigned 32-bit), their number, and their text, of a stretch without white space."""
+        found = self.elder.get(word) or self._encoded(word)
+        if len(word) <= 64:
+            if len(self.words) >= KEEP_WORDS:
+                self.words, self.elder = {}, self.words
+            self.words[word] = found
+        return found
+
+    def _encoded(self, word: str) -> tuple[bytes, int, str]:
         low = unicodedata.normalize("NFC", word)
         low = low.replace("Σ", "σ").lower()  # letter by letter: no final form of sigma
         piece = self.piece if low.isascii() or not self.newer.search(low) else self.careful
         ids = [t for p in piece.findall(low) for t in self.bpe.encode(p.encode("utf-8"))]
-        found = (array("I", ids).tobytes(), len(ids), " ".join(map(self.names.__getitem__, ids)))
-        if len(self.words) >= KEEP_WORDS:
-            self.words.clear()
-        if len(word) <= 64:
-            self.words[word] = found
-        return found
+        return array("I", ids).tobytes(), len(ids), " ".join(map(self.names.__getitem__, ids))
 
     def _parts(self, text: str):
-        words, make = self.words, self._word
+        make = self._word
         stretches = re.split(f"[{_SPACES}]+", text) if _ODD.search(text) else text.split()
         for w in stretches:
             if w:
-                yield words.get(w) or make(w)
+                yield self.words.get(w) or make(w)
 
     def run(self, text: str) -> list[tuple[bytes, int, str]]:
         if self.mark and self.mark in text:
