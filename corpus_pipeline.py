@@ -13,14 +13,14 @@ from pageloom.llm import bpe, decontam, lang_id, near_dedup, secrets
 from pageloom.llm.common import cut, matching, table
 from pageloom.llm.queries import tokenizer_path
 
-#: Cross entropy in bits a character beyond which a text is in none of the learned languages.
+#: Cross entropy in bits a character, without phrases at the edges, beyond which a text is in none of the learned languages.
 FOREIGN_BITS = 7.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; texts without letters, or like none of the languages, go."""
     found = lang_id.identify(docs, lang_id.samples(docs))
-    return found.where((F.col("lang_pred") != lang_id.UND) & (F.col("lang_bits") <= FOREIGN_BITS)).select(docs.columns)
+    return found.where((F.col("lang_pred") != lang_id.UND) & (F.col("lang_sure") <= FOREIGN_BITS)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,10 @@ Texts are lower-cased, and whatever is not a letter becomes one blank. They are
 from their start, each anew, so that a long text is parsed like many short ones. The automata are used as dense
 transition tables with the phrase ends marked, over all blocks in step.
 
+A phrase costs the same however short it is, and the edges of a text cut its first and last phrase short; few characters
+thus cost many bits each even if they match. lang_sure leaves EDGES phrases out, and is what a text can be rejected by.
+Characters that the sample lacks are no matches and are never left out.
+
 The sample has up to BUCKETS documents a language, the one of least hash in each bucket of hashes, PER_DOC characters
 of each and SAMPLE in all: a bound that does not grow with the corpus. Texts that are null or without letters are
 `und`; a corpus without labelled text gives `und` throughout.
@@ -27,6 +31,8 @@ from pyspark.sql.types import StructType
 
 BUCKETS, PER_DOC, SAMPLE, BLOCK = 64, 4_000, 30_000, 512
 MAX_LANGS = 200
+#: Matched phrases that the edges of a text may have cut short.
+EDGES = 2
 UND = "und"
 _BATCH_CHARS = 1 << 20
 _BREAK = np.int32(1 << 29)  # one phrase; the state is below it
@@ -138,17 +144,25 @@ class CrossParser:
             np.add.at(out[k], owner[order], count)
         return out.T
 
-    def classify(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score (how far the runner-up is behind, 0 to 1) and bits a character of each text."""
-        lang, score, bits = [UND] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+    def lacking(self, k: int, text: np.ndarray) -> int:
+        """Characters of text that the sample of the k-th language lacks; each is a phrase of its own."""
+        return int((self.tables[k][: self.width][self.symbol[text]] >= _BREAK).sum())
+
+    def classify(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[float]]:
+        """Language, score (how far the runner-up is behind, 0 to 1), bits a character of each text, and those bits
+        without the phrases at its edges."""
+        lang, score, bits, sure = [UND] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         points, rows, size = [], [], 0
 
         def flush():
-            found = self.phrases(points) * np.array(self.weights)
-            for i, cost, x in zip(rows, found, points, strict=True):
+            found = self.phrases(points)
+            for i, n, x in zip(rows, found, points, strict=True):
+                cost = n * np.array(self.weights)
                 best = int(np.argmin(cost))
                 rest = np.delete(cost, best).min() if len(cost) > 1 else np.inf
                 lang[i], score[i], bits[i] = self.langs[best], float(1 - cost[best] / rest) if rest else 0.0, float(cost[best] / len(x))
+                edges = min(EDGES, int(n[best]) - self.lacking(best, x))
+                sure[i] = float((n[best] - edges) * self.weights[best] / len(x))
 
         for i, text in enumerate(texts):
             x = _points(text) if text and self.langs else np.empty(0, np.uint32)
@@ -161,7 +175,7 @@ class CrossParser:
                 points, rows, size = [], [], 0
         if points:
             flush()
-        return lang, score, bits
+        return lang, score, bits, sure
 
 
 def held_out(doc_id):
@@ -199,7 +213,8 @@ def _parser(texts: dict[str, str]) -> CrossParser:
 
 
 def identify(docs: DataFrame, learned: dict[str, str]) -> DataFrame:
-    """docs with lang_pred, lang_score (0 to 1) and lang_bits (cross entropy in bits a character) added."""
+    """docs with lang_pred, lang_score (0 to 1), lang_bits (cross entropy in bits a character) and lang_sure (the same
+    without the phrases at the edges) added."""
     sent = docs.sparkSession.sparkContext.broadcast(learned)
     names = docs.columns
     at = names.index("text")
@@ -207,10 +222,10 @@ def identify(docs: DataFrame, learned: dict[str, str]) -> DataFrame:
     def run(batches):
         parser = _parser(sent.value)
         for batch in batches:
-            lang, score, bits = parser.classify(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=[*names, "lang_pred", "lang_score", "lang_bits"])
+            lang, score, bits, sure = parser.classify(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(sure, pa.float64())], names=[*names, "lang_pred", "lang_score", "lang_bits", "lang_sure"])
 
     schema = StructType(list(docs.schema.fields))
-    for c, kind in (("lang_pred", "string"), ("lang_score", "double"), ("lang_bits", "double")):
+    for c, kind in (("lang_pred", "string"), ("lang_score", "double"), ("lang_bits", "double"), ("lang_sure", "double")):
         schema = schema.add(c, kind)
     return docs.mapInArrow(run, schema)

@@ -89,6 +89,17 @@ def test_cross_parse_is_greedy():
             assert p.phrases([points])[0][k] == want
 
 
+def test_short_documents_keep_their_language(spark):
+    import corpus_pipeline as p
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    short = ["A.", "a", "Z", "Qx", "zq.", "x1", "I", "de", "Re."]
+    foreign = ["Ω", "你好", "Привет, мир", "你好吗 " * 300]
+    rows = spark.createDataFrame([(-1 - i, t, None, None, len(t)) for i, t in enumerate(short + foreign)], DOCS)
+    kept = {r.doc_id for r in p.language(spark, d.select(rows.columns).unionByName(rows), SF).where("doc_id < 0").collect()}
+    assert kept == {-1 - i for i in range(len(short))}
+
+
 @pytest.mark.parametrize("mode", [None, *range(14)])
 def test_webp_features(mode):
     rng = np.random.default_rng(mode or 99)
