@@ -7,8 +7,8 @@ more tokens, level by level, until its parts are small. Documents that share fre
 way. Sets that share nearly everything never part, so nodes of more than STAR first link their sets to their smallest
 one, and twice each set is then linked to its likeliest partner; nodes whose sets are all linked already are closed. What is still large after LEVELS levels is compared in blocks.
 
-A pair of similarity 0.75 misses all 8 roots with probability 0.25^8 = 1.5e-5. Candidates must agree in AGREE of the T
-tokens (3.5 standard deviations below 0.75) and have sizes in the ratio of the threshold; each is then confirmed on
+A pair of similarity 0.75 misses all 8 roots with probability 0.25^8 = 1.5e-5. Candidates must agree in as many of the T
+tokens as SLACK standard deviations below the threshold and have sizes in the ratio of the threshold; each is then confirmed on
 both full sets. Equal sets are one class throughout and are never paired.
 
 Null or blank texts have no shingles and are linked with nothing. Rows without doc_id are returned with a null
@@ -17,6 +17,7 @@ component and kept. Rows that repeat a doc_id share its fate; their texts are li
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from .common import cut, matching, release
 from .shingles import shingles_of, words_of
 
 T, TREES, BRANCH, LEVELS, LEAF, STAR = 256, 8, 2, 6, 2048, 8
-AGREE = 168
+SLACK = 3.5
 ROUNDS = 2
 #: Shingles that a task holds at a time when links are confirmed.
 HELD = 1 << 22
@@ -84,10 +85,15 @@ def full_sets(docs: DataFrame, k: int = 5) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "cid binary, items array<long>")
 
 
+def agreement(threshold: float) -> int:
+    """Tokens of T in which a pair at the threshold agrees but for SLACK standard deviations."""
+    return math.ceil(T * threshold - SLACK * math.sqrt(T * threshold * (1 - threshold)))
+
+
 def _similar(threshold: float):
     """Whether two rows (n, sig) can reach the threshold: sizes in ratio, and tokens that agree."""
     agree = F.size(F.filter(F.zip_with("sig", "sig_b", lambda x, y: x == y), lambda x: x))
-    return (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")) & (agree >= AGREE), agree
+    return (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")) & (agree >= agreement(threshold)), agree
 
 
 def _pairs_of(rows: pa.Table, threshold: float, best: bool) -> tuple[list[bytes], list[bytes]]:
@@ -104,16 +110,17 @@ def _pairs_of(rows: pa.Table, threshold: float, best: bool) -> tuple[list[bytes]
     tree = int(rows["tree"][0].as_py())
     first = rows["first"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, TREES)[order][:, :tree]
     whole = (rows["big"].to_numpy()[order][:, None] >> np.arange(tree)) & 1 == 0
+    least = agreement(threshold)
     out: tuple[list, list] = ([], [])
     for i in range(len(cid) if best else 0):
         agree = (sig == sig[i]).sum(axis=1)
-        may = (agree >= AGREE) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])) & (label != label[i]) & ((side != side[i]) | (side[i] == 0))
+        may = (agree >= least) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])) & (label != label[i]) & ((side != side[i]) | (side[i] == 0))
         if may.any():
             j = int(np.argmax(np.where(may, agree, -1)))
             out[0].append(cid[min(i, j)])
             out[1].append(cid[max(i, j)])
     for i in range(0 if best else len(cid) - 1):
-        near = (sig[i + 1 :] == sig[i]).sum(axis=1) >= AGREE
+        near = (sig[i + 1 :] == sig[i]).sum(axis=1) >= least
         near &= (np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i])) & (label[i + 1 :] != label[i])
         for j in np.flatnonzero(near) + i + 1:
             met = tree and ((first[i] == first[j]) & whole[i]).any()  # in an earlier tree, in a node compared whole
@@ -287,9 +294,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
-    """node, tree, cid, label of rows of large nodes (with sig), each sent on by BRANCH more tokens of its tree."""
-    coords = F.array(*[F.array(*[F.lit(int(c)) for c in _ORDER[t][BRANCH * (level - 1) : BRANCH * level]]) for t in range(TREES)])
-    more = rows.withColumn("c", F.explode(F.get(coords, "tree")))
+    """node, tree, cid, label of rows of large nodes (with sig), each sent on by BRANCH more tokens of its tree.
+
+    Each node draws its own from those of the level, so that what one node parts may stay together in another.
+    """
+    many = (T - 1) // (LEVELS - 1)
+    coords = F.array(*[F.array(*[F.lit(int(c)) for c in _ORDER[t][many * (level - 1) : many * level]]) for t in range(TREES)])
+    start, step = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(many)), 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(many - 1))
+    drawn = F.array(*[F.get(F.get(coords, "tree"), F.pmod(start + i * step, F.lit(many)).cast("int")) for i in range(BRANCH)])
+    more = rows.withColumn("c", F.explode(drawn))
     return more.select(F.xxhash64("node", "c", F.get("sig", "c")).alias("node"), "tree", "cid", "label")
 
 

@@ -235,6 +235,27 @@ def test_blocks_cover_all_pairs(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in _brute(docs).items()}
 
 
+def test_agreement_follows_the_threshold(spark):
+    assert near_dedup.agreement(0.75) == 168
+    base = [f"w{i}" for i in range(404)]
+    docs = [(0, " ".join(base)), (1, " ".join(base[:260] + [f"x{i}" for i in range(100)])), (2, "other words of no relation at all")]  # 256 of 500 shingles
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 0.5).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 2}
+
+
+def test_nodes_draw_their_own_tokens(spark):
+    rng = np.random.default_rng(8)
+    a = rng.integers(-128, 128, near_dedup.T)
+    b = np.where(rng.random(near_dedup.T) < 0.75, a, (a + 129) % 256 - 128)
+    sigs = spark.createDataFrame([(b"a", a.tolist()), (b"b", b.tolist())], "cid binary, sig array<int>").withColumn("sig", F.col("sig").cast("array<tinyint>"))
+    nodes = spark.range(500).select(F.col("id").alias("node"), F.lit(0).alias("tree"), F.lit(0).cast("long").alias("label"))
+    for level in (1, near_dedup.LEVELS - 1):
+        rows = near_dedup._children(nodes.crossJoin(sigs), level)
+        assert rows.count() == 2000 and rows.distinct().count() == 2000
+        met = rows.groupBy("node").count().where("count = 2").count()
+        assert 500 < met < 1000  # tokens that all nodes share would give 0, 500 or 1000
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
