@@ -2,8 +2,9 @@
 
 Patterns (assign, access, hex) give the base spans. Beside them, candidate strings are cut into runs of each character
 class; a window slides over a run, its character counts change by one in and one out, and its entropy follows from
-those counts; windows that reach the class's threshold are merged into one span. Candidates that an allow-list pattern
-covers, or that lack the mixture of characters their class asks for, are left alone.
+those counts; windows that reach the class's threshold are merged into one span. Candidates that an allow-list pattern covers are
+left alone, and so are runs that lack the mixture of characters their class asks for. Words of placeholders cut a
+candidate: what stands beside them is scanned, each part for itself.
 
 Null and empty texts have no spans. Positions are code points, end exclusive.
 """
@@ -33,12 +34,14 @@ CLASSES = (
     ("entropy_hex", re.compile(r"[0-9a-f]{%d,}" % WINDOW), (re.compile("[0-9]"), re.compile("[a-f]")), 2.9),
     ("entropy_upper", re.compile(r"[0-9A-Z]{%d,}" % WINDOW), (re.compile("[0-9]"), re.compile("[A-Z]")), 3.4),
     ("entropy_mixed", re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW), (re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]")), 3.8),
+    ("entropy_lower", re.compile(r"[0-9a-z]{%d,}" % WINDOW), (re.compile("[0-9]"), re.compile("[g-z]")), 3.6),
 )
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # a UUID
-    re.compile(r"(?i).*(example|sample|placeholder|changeme|xxxx|abcdef|012345|123456).*"),
     re.compile(r"(.{1,8}?)\1{2,}.{0,8}"),  # repeats
 )
+#: Words that mark a placeholder; no window reaches into one.
+WORDS = re.compile(r"(?i)example|sample|placeholder|changeme|xxxx|abcdef|012345|123456")
 KINDS = ("assign", "access", "hex", *(c[0] for c in CLASSES))
 _RANK = {k: i for i, k in enumerate(KINDS)}
 _TERM = [0.0, *(n * math.log2(n) for n in range(1, WINDOW + 1))]
@@ -89,11 +92,15 @@ def entropy_spans(text: str, allow: tuple[re.Pattern, ...] = ALLOW) -> list[Span
         candidate = m.group()
         if candidate.isalpha() or any(a.fullmatch(candidate) for a in allow):
             continue
-        for kind, runs, needs, least in CLASSES:
-            for run in runs.finditer(candidate):
-                if all(n.search(run.group()) for n in needs):
-                    at = m.start() + run.start()
-                    found += [(kind, at + s, at + e) for s, e in high_entropy(run.group(), least)]
+        cuts = [0, *(at for word in WORDS.finditer(candidate) for at in word.span()), len(candidate)]
+        for start, end in zip(cuts[::2], cuts[1::2], strict=True):
+            if end - start < WINDOW:
+                continue
+            for kind, runs, needs, least in CLASSES:
+                for run in runs.finditer(candidate, start, end):
+                    if all(n.search(run.group()) for n in needs):
+                        at = m.start() + run.start()
+                        found += [(kind, at + s, at + e) for s, e in high_entropy(run.group(), least)]
     return found
 
 

@@ -47,6 +47,21 @@ def test_secrets(spark, odd):
     assert back[4].text == "a [REDACTED] b" and back[4].n_chars == 14 and back[1].text is None and back[7].text == "ONE two"
 
 
+def test_secrets_beside_words_and_in_lower_case(spark):
+    rng, any_of = random.Random(6), lambda letters, n: "".join(rng.choices(letters, k=n))
+    lower = "0123456789abcdefghijklmnopqrstuvwxyz"
+    for _ in range(300):
+        mixed = "aB7" + any_of(lower + lower[10:].upper(), 37)
+        for text in (f"sample_key={mixed}", f"{mixed}/example", f"x=example={mixed}"):
+            assert "entropy_mixed" in {s[0] for s in secrets.entropy_spans(text)}
+    keys = ["q7" + any_of(lower, 30) for _ in range(500)]
+    assert sum("entropy_lower" in {s[0] for s in secrets.entropy_spans(f"see {k} now")} for k in keys) >= 495
+    for plain in ("1b4e28ba-2fa1-11d2-883f-0016d3cca427", "sample_example_placeholder_1A", "internationalisation2internationalisation", "abcabcabcabcabcabcabc1"):
+        assert secrets.entropy_spans(plain) == []
+    docs = spark.createDataFrame([(1, f"a sample={mixed} b", "en", "a", 1)], DOCS)
+    assert mixed not in secrets.redact(docs).first().text
+
+
 def test_decontam(spark, odd):
     item = " ".join(f"q{i}" for i in range(30))
     changed = item.replace("q29", "zz")
