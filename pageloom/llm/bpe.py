@@ -1,17 +1,20 @@
 """Exact BPE by dynamic programming over prefixes.
 
 For every prefix of a word there is one token that ends its encoding. It is found among the vocabulary's tokens that
-are suffixes of the prefix (matched by an automaton over the vocabulary with suffix links): the one whose left
-neighbour, the last token of the shorter prefix, is compatible with it, that is, for which merging would not have
-crossed the border between the two. Following the stored tokens back from the end gives the ids that merging by rank
-gives, without merging.
+are suffixes of the prefix: the one whose left neighbour, the last token of the shorter prefix, is compatible with it,
+that is, for which merging would not have crossed the border between the two. Following the stored tokens back from the
+end gives the ids that merging by rank gives, without merging.
+
+The automaton that matches the suffixes is a trie of the vocabulary's tokens with suffix links (Aho and Corasick's), not
+a suffix automaton of the vocabulary. Both find the same tokens at every prefix; the states of a suffix automaton that
+are no beginning of a token cannot become one by reading on, so they are left out, and a third of the memory is enough.
 
 A compatible pair is tested by undoing the merges of both tokens, the later one first: if at some stage the two pieces
 that touch could have merged before the stage was reached, the pair would not have come about.
 
-What a prefix's last token is does not depend on what follows, so prefixes of short words are kept in a tree and words
-that begin alike share them; the last byte of a word has symbols of its own. The vocabulary is read from a tokenizers
-JSON file on every worker; its path is a parameter. Words and prefixes are kept in tables of bounded size.
+The distinct new words of some texts are encoded in step, position by position, as arrays; words of more than LONG bytes
+one at a time by the same rule. The vocabulary is read from a tokenizers JSON file on every worker; its path is a
+parameter. Words are kept in tables of bounded size.
 """
 
 from __future__ import annotations
@@ -19,18 +22,27 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import string
 import unicodedata
 from array import array
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept in each of two tables: a full one becomes the elder, from which words in use are taken over.
+from .common import held
+
+#: Words kept, and pieces of words kept.
 KEEP_WORDS = 200_000
-#: Prefixes kept, and the bytes beyond which a word gets arrays of its own instead.
-KEEP_PREFIXES, LONG = 500_000, 64
+#: Bytes beyond which a word is encoded by itself, and the tested pairs that are kept for such words.
+LONG, KEEP_PAIRS = 64, 100_000
+#: Pieces encoded in step, and characters of texts whose words are taken together.
+AT_ONCE, TOGETHER = 16_384, 1 << 19
 _SPACES = r"\t-\r\x20\x85\xa0  -     　"
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -54,49 +66,70 @@ def _newer() -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
 
 
+class _Hash:
+    """A fixed table of numbers by numbers from 0, looked up for many keys at once."""
+
+    def __init__(self, known: dict[int, int]):
+        bits = max(4, (2 * len(known)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        keys = np.fromiter(known.keys(), np.int64, len(known))
+        values = np.fromiter(known.values(), np.int32, len(known))
+        at = self._first(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of several for one place the last stays
+            own = self.keys[at] == keys
+            self.values[at[own]] = values[own]
+            keys, values, at = keys[~own], values[~own], (at[~own] + 1) & self.mask
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where there is none."""
+        at = self._first(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1)
+        rest = np.flatnonzero((found != keys) & (found >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & self.mask
+            found = self.keys[at[rest]]
+            hit = found == keys[rest]
+            out[rest[hit]] = self.values[at[rest[hit]]]
+            rest = rest[~hit & (found >= 0)]
+        return out
+
+
 class BPE:
-    """Words (as lists of base symbols) to token ids."""
+    """Words (as bytes) to token ids, many words in step."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
         letters = byte_letters()
-        self.base = [vocab[x] for x in letters]
-        self.base_end = [vocab[x + suffix] for x in letters]
-        self.rank: dict[int, int] = {}  # of tokens made by a merge
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
+        base = [vocab[x] for x in letters] + [vocab[x + suffix] for x in letters]
+        made: dict[int, tuple[int, int, int]] = {}  # rank and parts of tokens made by a merge
+        pairs: dict[int, int] = {}
         for i, (a, b) in enumerate(merges):
-            t = vocab[a + b]
-            self.merged.setdefault((vocab[a], vocab[b]), t)
-            self.rank.setdefault(t, i)
-            self.parts.setdefault(t, (vocab[a], vocab[b]))
-        self.pair_rank = {(vocab[a], vocab[b]): i for i, (a, b) in reversed(list(enumerate(merges)))}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self._automaton()
-        self._forget()
-
-    def _forget(self) -> None:
-        """An empty tree of prefixes: per node its parent, the automaton's state, the last token and the node before it."""
-        self.kids: dict[int, int] = {}
-        self.parent, self.state, self.ends, self.back = (array("i", [0]) for _ in range(4))
-
-    def _spelled(self, t: int) -> list[int]:
-        out, todo = [], [t]
-        while todo:
-            x = todo.pop()
-            if x in self.parts:
-                todo += [self.parts[x][1], self.parts[x][0]]
-            else:
-                out.append(x)
-        return out
-
-    def _automaton(self) -> None:
+            made.setdefault(vocab[a + b], (i, vocab[a], vocab[b]))
+            pairs.setdefault(vocab[a] << 32 | vocab[b], i)
+        size = max(vocab.values()) + 1
+        self.rank, self.left, self.right = (np.full(size, -1, np.int32) for _ in range(3))
+        for t, (i, a, b) in made.items():
+            self.rank[t], self.left[t], self.right[t] = i, a, b
+        self.pairs = _Hash(pairs)
+        self._automaton(base, made)
+
+    def _automaton(self, base: list[int], made: dict[int, tuple[int, int, int]]) -> None:
         """Trie of all tokens; per state its suffix link, its token and the nearest state by links that has one."""
+        symbol = {t: c for c, t in enumerate(base)}
+        spelled: dict[int, tuple[int, ...]] = {t: (c,) for t, c in symbol.items()}
         to: dict[int, int] = {}
-        symbol = {t: c for c, t in enumerate([*self.base, *self.base_end])}
         token, depth, parent = [-1], [0], [(0, 0)]
-        for t in {*self.base, *self.base_end, *self.rank}:
+        for t in [*symbol, *made]:  # a token's parts come before it
+            if t not in spelled:
+                spelled[t] = spelled[made[t][1]] + spelled[made[t][2]]
             s = 0
-            for c in map(symbol.__getitem__, self._spelled(t)):
+            for c in spelled[t]:
                 nxt = to.get(s << 9 | c)
                 if nxt is None:
                     nxt = to[s << 9 | c] = len(token)
@@ -105,7 +138,7 @@ class BPE:
                     parent.append((s, c))
                 s = nxt
             token[s] = t
-        link, nearest = array("i", [0] * len(token)), array("i", [0] * len(token))
+        link, nearest = [0] * len(token), [0] * len(token)
         for s in sorted(range(1, len(token)), key=depth.__getitem__):
             p, c = parent[s]
             if p:
@@ -114,102 +147,124 @@ class BPE:
                     f = link[f]
                 link[s] = to.get(f << 9 | c, 0)
             nearest[s] = s if token[s] >= 0 else nearest[link[s]]
-        self.to, self.token, self.depth, self.link, self.nearest = to, array("i", token), array("i", depth), link, nearest
+        self.to = _Hash(to)
+        self.token, self.depth, self.link, self.nearest = (np.array(x, np.int32) for x in (token, depth, link, nearest))
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each b can follow its a in an encoding.
+
+        after_a, after_b: ranks of the merges that hid the pieces. At one rank merges go from left to right, so the
+        border's comes before one on its right and after one on its left, and the right one is undone first.
+        """
+        key, where = np.unique(a.astype(np.int64) << 32 | b, return_inverse=True)
+        out = np.ones(len(key), bool)
+        live, a, b = np.arange(len(key)), (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
+        after_a = after_b = np.full(len(key), np.iinfo(np.int32).max, np.int32)
+        while len(live):
+            crossing = self.pairs.get(a.astype(np.int64) << 32 | b)
+            bad = (crossing >= 0) & (crossing < after_a) & (crossing <= after_b)
+            out[live[bad]] = False
+            rank_a, rank_b = self.rank[a], self.rank[b]
+            on = ~bad & ((rank_a >= 0) | (rank_b >= 0))
+            live, a, b, rank_a, rank_b, after_a, after_b = (x[on] for x in (live, a, b, rank_a, rank_b, after_a, after_b))
+            of_a = rank_a > rank_b
+            a, after_a = np.where(of_a, self.right[a], a), np.where(of_a, rank_a, after_a)
+            b, after_b = np.where(of_a, b, self.left[b]), np.where(of_a, after_b, rank_b)
+        return out[where]
+
+    def _step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The automaton's states after one more symbol each."""
+        out = np.zeros(len(state), np.int32)
+        rest = np.arange(len(state))
+        while len(rest):
+            found = self.to.get(state[rest].astype(np.int64) << 9 | c[rest])
+            hit = found >= 0
+            out[rest[hit]] = found[hit]
+            rest = rest[~hit & (state[rest] > 0)]
+            state[rest] = self.link[state[rest]]
+        return out
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, little-endian unsigned 32-bit."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-sizes, kind="stable").tolist()
+        size = sizes[order]
+        flat = np.frombuffer(b"".join(words[i] for i in order), np.uint8)
+        start = np.cumsum(size) - size
+        longest = int(size[0]) if len(size) else 0
+        last, back = np.zeros((longest, len(words)), np.int32), np.zeros((longest, len(words)), np.int32)
+        state = np.zeros(len(words), np.int32)
+        for i in range(longest):
+            n = int(np.searchsorted(-size, -i, side="left"))  # words that are longer than i
+            state = self._step(state[:n], flat[start[:n] + i].astype(np.int64) + 256 * (size[:n] == i + 1))
+            m, rest = self.nearest[state], np.arange(n)
+            while len(rest):
+                depth, token = self.depth[m[rest]], self.token[m[rest]]
+                last[i, rest], back[i, rest] = token, depth
+                inner = np.flatnonzero(depth <= i)
+                fits = self.compatible(last[i - depth[inner], rest[inner]], token[inner])
+                rest = rest[inner[~fits]]
+                m[rest] = self.nearest[self.link[m[rest]]]
+        return self._followed(order, size, last, back)
+
+    @staticmethod
+    def _followed(order, size, last, back) -> list[bytes]:
+        """The stored tokens from the end of each word back to its start, in order."""
+        at, ids, live = size - 1, [], np.flatnonzero(size)
+        count = np.zeros(len(size), np.int64)
+        while len(live):
+            ids.append((live, last[at[live], live]))
+            count[live] += 1
+            at[live] -= back[at[live], live]
+            live = live[at[live] >= 0]
+        end = np.cumsum(count)
+        flat = np.empty(int(end[-1]) if len(end) else 0, "<u4")
+        for k, (lanes, tokens) in enumerate(ids):
+            flat[end[lanes] - 1 - k] = tokens
+        raw, cut = flat.tobytes(), (4 * end).tolist()
+        out = [b""] * len(order)
+        for i, a, b in zip(order, [0, *cut], cut, strict=False):
+            out[i] = raw[a:b]
+        return out
+
+
+class _LongWords:
+    """The same rule for one word at a time, for words of more than LONG bytes; made when one comes and then dropped."""
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether b can follow a in an encoding."""
-        key = (a, b)
-        known = self.fits.get(key)
+    def __init__(self, bpe: BPE):
+        used = bpe.to.keys >= 0
+        self.to = dict(zip(bpe.to.keys[used].tolist(), bpe.to.values[used].tolist(), strict=True))
+        self.token, self.depth, self.link, self.nearest = (x.tolist() for x in (bpe.token, bpe.depth, bpe.link, bpe.nearest))
+        self.fits: dict[tuple[int, int], bool] = {}
+        self.bpe = bpe
+
+    def _fit(self, a: int, b: int) -> bool:
+        known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) >= KEEP_PAIRS:
                 self.fits.clear()
-            known = self.fits[key] = self._compatible(a, b)
+            known = self.fits[a, b] = bool(self.bpe.compatible(np.array([a], np.int32), np.array([b], np.int32))[0])
         return known
 
-    def _compatible(self, a: int, b: int) -> bool:
-        # after_a, after_b: ranks of the merges that hid the pieces. At one rank merges go from left to right, so the
-        # border's comes before one on its right and after one on its left, and the right one is undone first.
-        rank, parts, pairs = self.rank, self.parts, self.pair_rank
-        after_a = after_b = len(pairs) + 1
-        while True:
-            crossing = pairs.get((a, b))
-            if crossing is not None and crossing < after_a and crossing <= after_b:
-                return False
-            ra, rb = rank.get(a, -1), rank.get(b, -1)
-            if ra < 0 and rb < 0:
-                return True
-            if ra > rb:
-                a, after_a = parts[a][1], ra
-            else:
-                b, after_b = parts[b][0], rb
-
-    def _grow(self, node: int, c: int) -> int:
-        """The node of one more symbol after a prefix."""
-        to, link, parent, ends = self.to, self.link, self.parent, self.ends
-        s = self.state[node]
-        while s and s << 9 | c not in to:
-            s = link[s]
-        s = to.get(s << 9 | c, 0)
-        m = self.nearest[s]
-        while True:
-            t, before = self.token[m], node
-            for _ in range(self.depth[m] - 1):
-                before = parent[before]
-            if not before or self.compatible(ends[before], t):
-                break
-            m = self.nearest[link[m]]
-        new = self.kids[node << 9 | c] = len(ends)
-        parent.append(node)
-        self.state.append(s)
-        ends.append(t)
-        self.back.append(before)
-        return new
-
-    def encode(self, word: bytes) -> list[int]:
-        if len(word) > LONG:
-            return self._encode_long(word)
-        if not word:
-            return []
-        if len(self.ends) > KEEP_PREFIXES:
-            self._forget()
-        kids, node = self.kids, 0
-        for byte in word[:-1]:
-            node = kids.get(node << 9 | byte) or self._grow(node, byte)
-        byte = word[-1] + 256
-        node = kids.get(node << 9 | byte) or self._grow(node, byte)
-        ends, back, out = self.ends, self.back, []
-        while node:
-            out.append(ends[node])
-            node = back[node]
-        out.reverse()
-        return out
-
-    def _encode_long(self, word: bytes) -> list[int]:
-        to, token, depth, link, nearest = self.to, self.token, self.depth, self.link, self.nearest
-        last = len(word) - 1
-        ends, sizes = array("i"), array("i")
-        s = 0
+    def encode(self, word: bytes) -> bytes:
+        to, link, ends, sizes = self.to, self.link, array("i"), array("i")
+        s, final = 0, len(word) - 1
         for i, c in enumerate(word):
-            if i == last:
-                c += 256
+            c += 256 * (i == final)
             while s and s << 9 | c not in to:
                 s = link[s]
             s = to.get(s << 9 | c, 0)
-            m = nearest[s]
-            while True:
-                n, t = depth[m], token[m]
-                if n > i or self.compatible(ends[i - n], t):
-                    break
-                m = nearest[link[m]]
-            ends.append(t)
-            sizes.append(n)
-        out = []
-        at = last
+            m = self.nearest[s]
+            while self.depth[m] <= i and not self._fit(ends[i - self.depth[m]], self.token[m]):
+                m = self.nearest[link[m]]
+            ends.append(self.token[m])
+            sizes.append(self.depth[m])
+        out, at = array("I"), final
         while at >= 0:
             out.append(ends[at])
             at -= sizes[at]
         out.reverse()
-        return out
+        return out.tobytes()
 
 
 class Tokenizer:
@@ -225,12 +280,11 @@ class Tokenizer:
             raise ValueError(f"{path} is a tokenizer of another kind")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.bpe = BPE(model["vocab"], merges, model["end_of_word_suffix"])
-        self.names = {i: s for s, i in model["vocab"].items()}
-        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names |= {i: s for s, i in added.items()}
-        self.added = {s: (array("I", [i]).tobytes(), 1, s) for s, i in added.items()}
-        self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(added, key=len, reverse=True)) + ")")
-        self.mark = min(added, key=len)[:2] if added else ""
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        every = {i: s for s, i in [*model["vocab"].items(), *self.added.items()]}
+        self.names: list[str | None] = [every.get(i) for i in range(max(every) + 1)]
+        self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")")
+        self.mark = min(self.added, key=len)[:2] if self.added else ""
         pattern = splits[0]["pattern"]["Regex"].replace(r"[^\s", f"[^{_SPACES}")
         self.piece = regex.compile(pattern)
         new = _newer()
@@ -238,54 +292,83 @@ class Tokenizer:
         careful = pattern.replace(r"[\p{L}]", rf"[\p{{L}}--[{new}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{new}]]")
         careful = careful.replace(rf"[^{_SPACES}\p{{L}}\p{{N}}]", rf"[[^{_SPACES}\p{{L}}\p{{N}}]||[{new}]]")
         self.careful = regex.compile("(?V1)" + careful) if new else self.piece
-        self.words: dict[str, tuple[bytes, int, str]] = {}
-        self.elder: dict[str, tuple[bytes, int, str]] = {}
-
-    def _word(self, word: str) -> tuple[bytes, int, str]:
-        """Ids (little-endian unsigned 32-bit), their number, and their text, of a stretch without white space."""
-        found = self.elder.get(word) or self._encoded(word)
-        if len(word) <= 64:
-            if len(self.words) >= KEEP_WORDS:
-                self.words, self.elder = {}, self.words
-            self.words[word] = found
-        return found
-
-    def _encoded(self, word: str) -> tuple[bytes, int, str]:
-        low = unicodedata.normalize("NFC", word)
-        low = low.replace("Σ", "σ").lower()  # letter by letter: no final form of sigma
-        piece = self.piece if low.isascii() or not self.newer.search(low) else self.careful
-        ids = [t for p in piece.findall(low) for t in self.bpe.encode(p.encode("utf-8"))]
-        return array("I", ids).tobytes(), len(ids), " ".join(map(self.names.__getitem__, ids))
-
-    def _parts(self, text: str):
-        make = self._word
-        stretches = re.split(f"[{_SPACES}]+", text) if _ODD.search(text) else text.split()
-        for w in stretches:
-            if w:
-                yield self.words.get(w) or make(w)
-
-    def run(self, text: str) -> list[tuple[bytes, int, str]]:
-        if self.mark and self.mark in text:
-            out = []
-            for i, p in enumerate(self.special.split(text)):
-                out += [self.added[p]] if i % 2 else self._parts(p)
-            return out
-        return list(self._parts(text))
+        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _pieces(self, word: str) -> list[str]:
+        """What a stretch without white space is cut into: normalised, lower case."""
+        low = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()  # letter by letter: no final form of sigma
+        letters = low.rstrip(string.punctuation)
+        if letters.isalpha():  # letters of that kind are never newer ones
+            return [low] if len(letters) == len(low) else [letters, low[len(letters) :]]
+        return (self.piece if low.isascii() or not self.newer.search(low) else self.careful).findall(low)
+
+    def learn(self, stretches: list[str]) -> None:
+        """Takes the words of a text, or of several, into the table: all of them are in it afterwards."""
+        new = set(stretches).difference(self.words)
+        if len(self.words) + len(new) > KEEP_WORDS:
+            self.words, new = {}, set(stretches)
+        cut = [(w, self._pieces(w)) for w in new]
+        if len(self.known) > KEEP_WORDS:
+            self.known = {}
+        fresh = list(set(chain.from_iterable([ps for _, ps in cut])).difference(self.known))
+        for at in range(0, len(fresh), AT_ONCE):
+            self._encode(fresh[at : at + AT_ONCE])
+        known = self.known
+        for w, ps in cut:
+            self.words[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+
+    def _encode(self, pieces: list[str]) -> None:
+        raw = [p.encode("utf-8") for p in pieces]
+        short = [i for i, r in enumerate(raw) if len(r) <= LONG]
+        self.known.update(zip([pieces[i] for i in short], self.bpe.encode([raw[i] for i in short]), strict=True))
+        if len(short) < len(raw):
+            one = _LongWords(self.bpe)
+            self.known.update((p, one.encode(r)) for p, r in zip(pieces, raw, strict=True) if len(r) > LONG)
+
+    def parts(self, text: str) -> tuple[list[int], list[list[str]]]:
+        """The special tokens of a text, and the stretches without white space before, between and behind them."""
+        cut = self.special.split(text) if self.mark and self.mark in text else [text]
+        words = [re.split(f"[{_SPACES}]+", own) if _ODD.search(own) else own.split() for own in cut[::2]]
+        return [self.added[s] for s in cut[1::2]], words
+
+    def ids(self, parts: tuple[list[int], list[list[str]]]) -> array:
+        """The ids of a text, given by its parts, all of whose words have been learned."""
+        marks, words = parts
+        out = b"".join(map(self.words.__getitem__, words[0]))
+        for mark, after in zip(marks, words[1:], strict=True):
+            out += array("I", [mark]).tobytes() + b"".join(map(self.words.__getitem__, after))
+        return array("I", out)
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.run(text) for i in array("I", ids)]
+        parts = self.parts(text)
+        self.learn([w for ws in parts[1] for w in ws])
+        return self.ids(parts).tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(self.names[i] for i in ids if i in self.names)
+    def decode(self, ids) -> str:
+        return " ".join([x for x in map(self.names.__getitem__, ids) if x is not None])
 
+    def encode_all(self, texts: Iterator[str]) -> Iterator[array]:
+        """The ids of each text; texts are taken together until they have TOGETHER characters."""
+        held, size = [], 0
 
-_made: dict[str, Tokenizer] = {}
+        def flush():
+            cut = [self.parts(t) for t in held]
+            self.learn([w for _, words in cut for ws in words for w in ws])
+            yield from map(self.ids, cut)
+            held.clear()
+
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from flush()
+                size = 0
+        yield from flush()
 
 
 def _tokenizer(path: str) -> Tokenizer:
-    if path not in _made:
-        _made[path] = Tokenizer(path)
-    return _made[path]
+    return held(("bpe", path), lambda: Tokenizer(path))
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
@@ -295,11 +378,10 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         tok = _tokenizer(path)
         for batch in batches:
             n, a, b = [], [], []
-            for text in batch.column(1):
-                parts = [p for p in tok.run(text.as_py() or "") if p[1]]
-                n.append(sum(p[1] for p in parts))
-                a.append(hashlib.sha256(b"".join(p[0] for p in parts)).hexdigest())
-                b.append(hashlib.sha256(" ".join(p[2] for p in parts).encode("utf-8")).hexdigest())
+            for ids in tok.encode_all(text.as_py() or "" for text in batch.column(1)):
+                n.append(len(ids))
+                a.append(hashlib.sha256(ids).hexdigest())
+                b.append(hashlib.sha256(tok.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -313,6 +395,21 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([tok.encode(t.as_py() or "") for t in part.column(1)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                ids = [x.tolist() for x in tok.encode_all(t.as_py() or "" for t in part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def count_tokens(docs: DataFrame, path: str, count: str = "n_tokens") -> DataFrame:
+    """docs with count, the number of ids of each row's text; null texts have none."""
+    at = docs.columns.index("text")
+    rows = docs.drop(count)
+
+    @F.pandas_udf("long")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tok = _tokenizer(path)
+        for texts in parts:
+            yield pd.Series([len(ids) for ids in tok.encode_all(t or "" for t in texts)], dtype="int64")
+
+    return rows.withColumn(count, run(F.col(docs.columns[at]).cast("string")))

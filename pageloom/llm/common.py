@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 BROADCAST_KEYS = 2_000_000
 
 
+_held: list = [None, None]
+
+
+def held(key, make):
+    """What make gives, kept in this worker for the next task that asks for key. Only the last one asked for is kept, so
+    that a worker that serves one operator after the other does not hold the tables of all."""
+    if _held[0] != key:
+        _held[:] = [None, None]
+        _held[:] = [key, make()] if key is not None else [None, None]
+    return _held[1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

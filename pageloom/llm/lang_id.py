@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import held
+
 BUCKETS, PER_DOC, SAMPLE, BLOCK = 64, 4_000, 30_000, 512
 MAX_LANGS = 200
 #: Matched phrases that the edges of a text may have cut short.
@@ -201,17 +203,6 @@ def samples(docs: DataFrame, exclude=None) -> dict[str, str]:
     return {k: v for k, v in out.items() if v.strip()}
 
 
-_made: dict[int, CrossParser] = {}
-
-
-def _parser(texts: dict[str, str]) -> CrossParser:
-    key = hash(tuple(sorted(texts.items())))
-    if key not in _made:
-        _made.clear()
-        _made[key] = CrossParser.of(texts)
-    return _made[key]
-
-
 def identify(docs: DataFrame, learned: dict[str, str]) -> DataFrame:
     """docs with lang_pred, lang_score (0 to 1), lang_bits (cross entropy in bits a character) and lang_sure (the same
     without the phrases at the edges) added."""
@@ -220,7 +211,8 @@ def identify(docs: DataFrame, learned: dict[str, str]) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        parser = _parser(sent.value)
+        texts = sent.value
+        parser = held(("languages", tuple(sorted(texts.items()))), lambda: CrossParser.of(texts))
         for batch in batches:
             lang, score, bits, sure = parser.classify(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(sure, pa.float64())], names=[*names, "lang_pred", "lang_score", "lang_bits", "lang_sure"])
