@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +20,19 @@ def held(key, make):
     """What make gives, kept in this worker for the next task that asks for key. Only the last one asked for is kept, so
     that a worker that serves one operator after the other does not hold the tables of all."""
     if _held[0] != key:
-        _held[:] = [None, None]
-        _held[:] = [key, make()] if key is not None else [None, None]
+        drop_held()
+        _held[:] = [key, make()]
     return _held[1]
 
 
+def drop_held() -> None:
+    """Frees what this worker keeps for operators that ran before, and gives the memory back to the system."""
+    if _held[0] is not None:
+        _held[:] = [None, None]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, matching, release
+from .common import cut, drop_held, matching, release
 from .shingles import shingles_of, words_of
 
 T, TREES, BRANCH, LEVELS, LEAF, STAR = 256, 8, 2, 6, 2048, 8
@@ -49,6 +49,7 @@ def _minwise(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray], list[bytes]]]:
+    drop_held()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -134,6 +135,7 @@ def _by_node(keys: int, each):
     """Over rows in order of their first columns, the keys: what each(rows of one key) gives."""
 
     def run(batches):
+        drop_held()
         held: list[pa.RecordBatch] = []
         key = None
         for batch in batches:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_held
+
 # The three patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -151,6 +153,7 @@ def redact(docs: DataFrame) -> DataFrame:
     at, has_n = docs.columns.index("text"), "n_chars" in docs.columns
 
     def run(batches):
+        drop_held()
         for batch in batches:
             texts, sizes, changed = [], [], False
             for value in batch.column(at):
