@@ -1,4 +1,4 @@
-"""Boxes on pages: overlap, suppression, blockers, nearest fields, rows and cells. Every join has the page as its key."""
+"""Boxes on pages: regions, overlap, suppression, blockers, nearest fields, rows and cells. Every join has the page as its key."""
 
 from __future__ import annotations
 
@@ -130,16 +130,45 @@ def visual_rows(pieces: DataFrame) -> DataFrame:
     return fold_runs(rows, ["page"], ["t", "word_id"], fold, StructType([*rows.schema.fields, StructField("row", IntegerType())]))
 
 
-def inherited_labels(fields: DataFrame, h: float) -> DataFrame:
-    """page, box_id, l, t, r, b, label of fields, with labels handed down to unlabelled fields below."""
+def upper_median(expression: str) -> Column:
+    """The member at n / 2 of the sorted values: an exact rank, without gathering a group's rows."""
+    return F.expr(f"percentile_disc(0.5) within group (order by {expression} desc)")
+
+
+def regions(pages: DataFrame) -> DataFrame:
+    """pages (page, height) with region, y0, y1: the whole page, and its halves, each reaching 0.12 into the other."""
+    half, h = F.col("height") / 2, F.col("height").cast("int")
+    reach = C.TILE_OVERLAP * half
+    upper, lower = F.least((half + reach).cast("int"), h), (half - reach).cast("int")
+    zero = F.lit(0)
+    cuts = [F.struct(F.lit(i).alias("region"), a.alias("y0"), b.alias("y1")) for i, (a, b) in enumerate(((zero, h), (zero, upper), (lower, h)))]
+    return pages.select("*", F.inline(F.array(*cuts)))
+
+
+def from_regions(found: DataFrame) -> DataFrame:
+    """Boxes found in regions (height, y0, y1; t and b within the region) as boxes of their page. One that an inner edge
+    cuts counts half."""
+    cut = ((F.col("y0") > 0) & (F.col("t") < C.EDGE)) | ((F.col("y1") < F.col("height")) & (F.col("b") > F.col("y1") - F.col("y0") - C.EDGE))
+    rows = found.withColumn("score", F.when(cut, F.col("score") * C.EDGE_SHARE).otherwise(F.col("score")))
+    return rows.withColumns({"t": F.col("t") + F.col("y0"), "b": F.col("b") + F.col("y0")})
+
+
+KINDS = ("text", "choice", "signature")
+
+
+def kind_index(kind: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int") - 1
 
-    def fold(rows):
-        return [(*r[:6], v) for r, v in zip(rows, folds.label_above([r[2:7] for r in rows], h), strict=True)]
 
-    rows = fields.select("page", "box_id", *BOX, "label")
-    return fold_runs(rows, ["page"], ["box_id"], fold, rows.schema)
+def ordered(boxes: DataFrame) -> DataFrame:
+    """boxes with place from 0: by kind, then the strongest first, then by box_id."""
+    w = Window.partitionBy("page").orderBy(kind_index(F.col("kind")), F.desc("score"), "box_id")
+    return boxes.withColumn("place", F.row_number().over(w) - 1)
 
 
-def upper_median(c: Column) -> Column:
-    """The member at n / 2 of the sorted values."""
-    return F.call_function("element_at", F.sort_array(F.collect_list(c)), (F.floor(F.count(c) / 2) + 1).cast("int"))
+def flattened(boxes: DataFrame) -> DataFrame:
+    """page and v: seven floats for each box, in order: kind, score, left, top, right, bottom, filled (-1: not known)."""
+    filled = F.coalesce(F.col("filled").cast("int"), F.lit(-1))
+    row = F.array(*[x.cast("float") for x in (kind_index(F.col("kind")), F.col("score"), *[F.col(c) for c in BOX], filled)])
+    lists = ordered(boxes).groupBy("page").agg(F.sort_array(F.collect_list(F.struct("place", row.alias("v")))).alias("rows"))
+    return lists.select("page", F.flatten(F.transform("rows", lambda x: x["v"])).alias("v"))

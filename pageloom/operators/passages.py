@@ -53,15 +53,30 @@ def sections(lines: DataFrame) -> DataFrame:
     return lines.withColumn("section", F.when(heading.isNull(), F.last(heading, ignorenulls=True).over(w)))
 
 
-def form_pages(rows: DataFrame) -> DataFrame:
-    """doc_id, page of the pages that are forms; rows: doc_id, page, text (one sentence each).
+def page_rows(rows: DataFrame) -> DataFrame:
+    """doc_id, page, n, r: sentences and form rows of each page. rows: doc_id, page, text (one sentence each)."""
+    return rows.groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.count_if(T.is_row(F.col("text"))).alias("r"))
+
+
+def form_flags(by_page: DataFrame) -> DataFrame:
+    """by_page (doc_id, page, n, r) with is_form.
 
     All pages of a document with rows, if those are 0.4 of it or more; else, with at most ten pages, those with three
     rows or more that make up 0.4 of the page.
     """
-    by_page = rows.groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.count_if(T.is_row(F.col("text"))).alias("r"))
     w = Window.partitionBy("doc_id")
-    sums = by_page.select("*", F.sum("n").over(w).alias("dn"), F.sum("r").over(w).alias("dr"), F.count("*").over(w).alias("pages"))
-    whole = (F.col("dr") > 0) & (F.col("dr") >= C.FORM_SHARE * F.col("dn"))
-    own = (F.col("pages") <= C.FORM_MAX_PAGES) & (F.col("r") >= C.FORM_MIN_ROWS) & (F.col("r") >= C.FORM_SHARE * F.col("n"))
-    return sums.where(whole | (~whole & own)).select("doc_id", "page")
+    share = lambda r, n: r >= C.FORM_SHARE * F.greatest(n, F.lit(1))
+    whole = (F.sum("r").over(w) > 0) & share(F.sum("r").over(w), F.sum("n").over(w))
+    own = (F.count("*").over(w) <= C.FORM_MAX_PAGES) & (F.col("r") >= C.FORM_MIN_ROWS) & share(F.col("r"), F.col("n"))
+    return by_page.withColumn("is_form", whole | own)
+
+
+def form_pages(rows: DataFrame) -> DataFrame:
+    """doc_id, page of the pages that are forms; rows: doc_id, page, text (one sentence each)."""
+    return form_flags(page_rows(rows)).where("is_form").select("doc_id", "page")
+
+
+def first_headings(pages: DataFrame) -> DataFrame:
+    """pages (text) with heading: the first line that begins with #, without its marks; null if there is none."""
+    head = F.regexp_extract("text", "(?m)^(#.*)$", 1)
+    return pages.withColumn("heading", F.when(head != "", F.trim(F.regexp_replace(head, "^[# ]+", ""))))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as T
 from ..operators import answer as A
-from ..operators import forms, geometry, layout, passages, search
-from ..sources import tsv
+from ..operators import forms, geometry, language, layout, passages, pdf, search
+from ..sources import form_input, tsv
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
@@ -63,11 +63,25 @@ def chunks_of(spark, d):
 
 
 def questions_of(spark, d):
-    """First eight words of each benchmark passage, asked of the documents that contain them."""
-    b = read(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("question"))
+    """First eight words of each benchmark passage, asked of the documents that contain them.
+
+    Where a passage's words stand in a document, all but the first and the last of them stand between blanks. Those six
+    in a row are the key of the join; what it finds is then checked. Passages of less than eight words have no such key
+    and are looked for in every document, if there are any.
+    """
+    b = read(spark, d, "benchmark").select("item_id", F.slice(F.split("text", " "), 1, 8).alias("ws")).select("item_id", "ws", F.array_join("ws", " ").alias("question"))
     docs = read(spark, d, "documents").select("doc_id", "text")
-    few = b.count() <= 100_000
-    return docs.join(F.broadcast(b) if few else b, F.contains("text", "question")).select((F.col("item_id") * 1000000 + F.col("doc_id")).alias("q_id"), "doc_id", "question")
+    key = lambda ws, i: F.xxhash64(*[F.get(ws, i + j) for j in range(6)])
+    held = docs.select("doc_id", F.explode(F.array(F.split("text", " "))).alias("ws")).where("size(ws) >= 6")
+    grams = held.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("ws") - 6), lambda i: key(F.col("ws"), i)))).alias("k"))
+    long = b.where("size(ws) = 8").select("item_id", "question", key(F.col("ws"), F.lit(1)).alias("k"))
+    few = long.count() <= 100_000  # hashes and eight words each
+    found = grams.join(F.broadcast(long) if few else long, "k").select("doc_id", "item_id", "question").distinct()
+    pairs = docs.join(found, "doc_id").where(F.contains("text", "question")).select("doc_id", "item_id", "question")
+    short = b.where("size(ws) < 8")
+    if not short.isEmpty():
+        pairs = pairs.unionByName(docs.join(short, F.contains("text", "question")).select("doc_id", "item_id", "question"))
+    return pairs.select((F.col("item_id") * 1000000 + F.col("doc_id")).alias("q_id"), "doc_id", "question")
 
 
 _TERMS = f"""{_CHUNKS}, toks as (select doc_id, chunk_ix, unnest({_words_sql("text")}) as token from chunks),
@@ -122,29 +136,26 @@ fused as (select k.q_id, k.chunk_ix, 1.0 / (60 + v.r) + case when k.top > 0 then
 
 @query(f"with {_VEC} select q_id, chunk_ix, round(fused, 9) as fused from fused")
 def rrf_fusion(spark, d):
-    c, q = chunks_of(spark, d), questions_of(spark, d)
-    return search.rrf(search.bm25(c, q), search.lexical_similarity(c, q)).select("q_id", "chunk_ix", F.round("fused", 9).alias("fused"))
+    return search.rrf(search.scored(chunks_of(spark, d), questions_of(spark, d))).select("q_id", "chunk_ix", F.round("fused", 9).alias("fused"))
 
 
 @query(f"with {_VEC} select * from (select q_id, chunk_ix, row_number() over (partition by q_id order by round(fused, 9) desc, chunk_ix) as rank from fused) where rank <= 8")
 def top_chunks(spark, d):
-    c, q = chunks_of(spark, d), questions_of(spark, d)
-    return search.top_chunks(search.rrf(search.bm25(c, q), search.lexical_similarity(c, q))).select("q_id", "chunk_ix", "rank")
+    return search.top_chunks(search.rrf(search.scored(chunks_of(spark, d), questions_of(spark, d)))).select("q_id", "chunk_ix", "rank")
 
 
 @query("""with s as (select q.vec_id as q_id, v.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::double * v.embedding[i]::double)), 6) as score
-  from embeddings q join embeddings v on v.label = q.label where q.vec_id % 20 = 0)
+  from embeddings q join embeddings v on true where q.vec_id % 20 = 0)
 select * from (select q_id, vec_id, score, row_number() over (partition by q_id order by score desc, vec_id) as rank from s) where rank <= 8""")
 def cosine_topk(spark, d):
-    e = read(spark, d, "embeddings").withColumnRenamed("label", "scope")
+    e = read(spark, d, "embeddings").withColumn("scope", F.lit(0))
     return search.similarity_topk(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), "scope", F.col("embedding").alias("q")), e.select("vec_id", "scope", F.col("embedding").alias("v")), 8)
 
 
 @query("select vec_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) as norm, round(u[1], 6) as first from (select vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as u from embeddings)")
 def unit_vectors(spark, d):
-    n = F.sqrt(search.dot("embedding", "embedding"))
-    e = read(spark, d, "embeddings").withColumn("n", n).withColumn("u", F.transform("embedding", lambda x: x.cast("double") / F.col("n")))
-    return e.select("vec_id", F.round(F.sqrt(search.dot("u", "u")), 6).alias("norm"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
+    e = search.unit(read(spark, d, "embeddings"), "embedding")
+    return e.select("vec_id", F.round(F.sqrt(search.dot("embedding", "embedding")), 6).alias("norm"), F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
 
 
 @query(f"with {_CHUNKS} select doc_id, chunk_ix, text from chunks")
@@ -204,46 +215,48 @@ _IN = lambda words: "[" + ",".join(f"'{w}'" for w in words) + "]"
 _COUNT = lambda words: f"len(list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda w: list_contains({_IN(words)}, w)))"
 
 
-@query(f"select doc_id, g + u as german, e as english, case when g + u > e then 'de' else 'en' end as marked from (select doc_id, {_COUNT(C.GERMAN)} as g, len(regexp_extract_all(text, '[äöüßÄÖÜ]')) as u, {_COUNT(C.ENGLISH)} as e from documents)")
+@query(f"select doc_id, g + u as german, e as english, case when g + u > e then 'de' else 'en' end as marked from (select doc_id, {_COUNT(C.GERMAN)} as g, len(regexp_extract_all(lower(text), '[äöüß]')) as u, {_COUNT(C.ENGLISH)} as e from documents)")
 def language_markers(spark, d):
     t = F.col("text")
-    return read(spark, d, "documents").select("doc_id", (T.count_words(t, C.GERMAN) + F.regexp_count(t, F.lit("[äöüßÄÖÜ]"))).alias("german"), T.count_words(t, C.ENGLISH).alias("english"), T.language_markers(t, F.lit("Latin")).alias("marked"))
+    return read(spark, d, "documents").select("doc_id", (T.count_words(t, C.GERMAN) + T.count_of(F.lower(t), "[äöüß]")).alias("german"), T.count_words(t, C.ENGLISH).alias("english"), T.language_markers(t, F.lit("Latin")).alias("marked"))
 
 
 _FORM = """form as (
-  select c_nationkey as doc_id, c_custkey as ix, 1 + c_custkey % 3 as page, unnest(['Name: ' || c_name, 'SEGMENT: ' || c_mktsegment, 'Amended per ' || c_name || ' of ' || c_mktsegment, c_mktsegment, '• ' || c_name]) as text from customer)"""
+  select c_nationkey as doc_id, c_custkey as ix, 1 + c_custkey % 3 as page, unnest([case when c_nationkey % 2 = 0 or c_custkey % 5 < 2 then 'Name: ' else 'Name ' end || c_name,
+    case when c_nationkey % 2 = 0 or c_custkey % 5 < 2 then 'SEGMENT: ' else 'SEGMENT ' end || c_mktsegment, 'Effective from ' || c_name || ' of ' || c_mktsegment, c_mktsegment, '• ' || c_name]) as text from customer)"""
 
 
 def form_lines(spark, d):
+    """Lines of customers; of odd nations most have no colon, so that pages differ in their share of rows."""
     c = read(spark, d, "customer")
-    parts = F.array(F.concat(F.lit("Name: "), "c_name"), F.concat(F.lit("SEGMENT: "), "c_mktsegment"), F.concat(F.lit("Amended per "), "c_name", F.lit(" of "), "c_mktsegment"), F.col("c_mktsegment"), F.concat(F.lit("• "), "c_name"))
+    colon = (F.col("c_nationkey") % 2 == 0) | (F.col("c_custkey") % 5 < 2)
+    row = lambda name, value: F.concat(F.when(colon, f"{name}: ").otherwise(f"{name} "), value)
+    parts = F.array(row("Name", "c_name"), row("SEGMENT", "c_mktsegment"), F.concat(F.lit("Effective from "), "c_name", F.lit(" of "), "c_mktsegment"), F.col("c_mktsegment"), F.concat(F.lit("• "), "c_name"))
     return c.select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("ix"), (1 + F.col("c_custkey") % 3).alias("page"), F.explode(parts).alias("text"))
 
 
 _LABEL = "regexp_extract(text, '^([^:：]*)[:：]', 1)"
 _VALUE = "trim(regexp_extract(text, '(?s)^[^:：]*[:：](.*)$', 1))"
 _ROW = f"(regexp_matches(text, '[:：]') and length({_LABEL}) <= 40 and regexp_matches({_LABEL}, '\\p{{L}}') and {_VALUE} <> '' and length({_VALUE}) <= 60)"
-_BARE = "(length(text) <= 60 and regexp_matches(text, '\\p{L}') and not regexp_matches(text, '[:：]') and not regexp_matches(text, '[.!?؟;,،]\\s*$'))"
+_BARE = "(length(text) <= 60 and regexp_matches(text, '\\p{L}') and not regexp_matches(text, '[:：]') and not regexp_matches(text, '[.!?؟;,،]$'))"
 
 
-@query(f"with {_FORM} select doc_id, ix, text, {_LABEL} as label, {_VALUE} as value, {_ROW} as is_row, {_BARE} as bare, starts_with(text, '• ') as bullet, regexp_matches(text, '(?i)({C.AMENDMENT})') as amends from form")
+@query(f"with {_FORM} select doc_id, ix, text, {_LABEL} as label, {_VALUE} as value, {_ROW} as is_row, {_BARE} as bare, regexp_matches(text, '^[{C.BULLETS}](\\s|$)') as bullet, regexp_matches(text, '(?i)({C.AMENDMENT})') as amends from form")
 def label_value_rows(spark, d):
     t = F.col("text")
     return form_lines(spark, d).select("doc_id", "ix", "text", T.label_of(t).alias("label"), T.value_of(t).alias("value"), T.is_row(t).alias("is_row"), T.is_bare_label(t).alias("bare"), T.starts_with_bullet(t).alias("bullet"), T.is_amendment(t).alias("amends"))
 
 
-@query(f"with {_FORM} select doc_id, ix, text, case when len(regexp_extract_all({_LABEL}, '\\p{{L}}')) >= 2 and not regexp_matches({_LABEL}, '\\p{{Ll}}') then lower({_LABEL}) || substr(text, length({_LABEL}) + 1) else text end as scored from form")
+@query(f"with {_FORM} select doc_id, ix, text, case when {_ROW} and len(regexp_extract_all({_LABEL}, '\\p{{L}}')) >= 2 and not regexp_matches({_LABEL}, '\\p{{Ll}}') then lower({_LABEL}) || substr(text, length({_LABEL}) + 1) else text end as scored from form")
 def scoring_text(spark, d):
     return form_lines(spark, d).select("doc_id", "ix", "text", T.scoring_text(F.col("text")).alias("scored"))
 
 
-@query(f"""with {_FORM}, r as (select doc_id, page, text from form where doc_id % 2 = 0 or ix % 5 < 2 or text not like '%: %'),
-p as (select doc_id, page, count(*) as n, count_if{'(' + _ROW + ')'} as r from r group by all),
+@query(f"""with {_FORM}, p as (select doc_id, page, count(*) as n, count_if{'(' + _ROW + ')'} as r from form group by all),
 s as (select *, sum(n) over w as dn, sum(r) over w as dr, count(*) over w as pages from p window w as (partition by doc_id))
 select doc_id, page from s where (dr > 0 and dr >= 0.4 * dn) or (not (dr > 0 and dr >= 0.4 * dn) and pages <= 10 and r >= 3 and r >= 0.4 * n)""")
 def form_pages(spark, d):
-    rows = form_lines(spark, d).where("doc_id % 2 = 0 or ix % 5 < 2 or text not like '%: %'")
-    return passages.form_pages(rows.select("doc_id", "page", "text"))
+    return passages.form_pages(form_lines(spark, d).select("doc_id", "page", "text"))
 
 
 @query("""with l as (select n_regionkey as doc_id, n_nationkey * 100 as ix, '# ' || n_name as text from nation union all select n_regionkey, n_nationkey * 100 + 1 + s_suppkey % 90, s_name from supplier join nation on s_nationkey = n_nationkey)
@@ -283,15 +296,73 @@ def commands_of(spark, d):
     return read(spark, d, "orders").select(F.col("o_orderkey").alias("cmd_id"), c.alias("command"))
 
 
-@query(f"""with {_COMMANDS} select cmd_id, command,
-  coalesce(case when contains(command, ':') then nullif(trim(regexp_extract(command, '(?s)^.*:(.*)$', 1)), '')
-    else coalesce(nullif(trim(regexp_extract(command, '(?s)\\b(?:is|are|was)\\s+(.*)$', 1)), ''), nullif(trim(regexp_extract(command, '(?s)(?:^|\\s)(\\S*\\d.*)$', 1)), ''), case when regexp_matches(command, '(?i)\\btoday\\b') then '2024-05-01' end) end) as value,
-  regexp_matches(command, '(?i)^\\s*(please\\s+)?sign') as signing from commands""")
+_VALUE_OF = """coalesce(case when contains(command, ':') then nullif(trim(regexp_extract(command, '(?s)^.*:(.*)$', 1)), '')
+    else coalesce(nullif(trim(regexp_extract(command, '(?s)\\b(?:is|are|was)\\s+(.+)$', 1)), ''), nullif(trim(regexp_extract(command, '(?s)(?:^|\\s)(\\S*\\d.*)$', 1)), '')) end,
+    case when regexp_matches(command, '(?i)\\btoday\\b') then '2024-05-01' end)"""
+_SIGN = "regexp_matches(command, '(?i)^\\s*(please\\s+)?(sign\\b|add\\s+(my\\s+|a\\s+)?signature\\b)')"
+
+
+@query(f"with {_COMMANDS} select cmd_id, command, {_VALUE_OF} as value, {_SIGN} as signing from commands")
 def value_extract(spark, d):
     c, none = F.col("command"), F.lit(None).cast("string")
     return commands_of(spark, d).select("cmd_id", "command", T.extracted_value(c, none, none, F.lit("2024-05-01")).alias("value"), T.is_signing(c).alias("signing"))
 
 
+_TICK, _UNTICK = "(?i)\\b(tick|untick|check|uncheck|select|mark)\\b", "(?i)\\b(untick|uncheck|unmark|deselect)\\b"
+_CLEAR = "(?i)^\\s*(please\\s+)?(clear|empty|erase|delete|remove)\\b"
+_COLON_COUNT = "(length(command) - length(replace(command, ':', '')))"
+
+
+@query(f"""with {_COMMANDS} select cmd_id, case when {_SIGN} then 'not_supported' when regexp_matches(command, '(?i)\\bsame\\s+as\\b') then 'same_as' when regexp_matches(command, '{_CLEAR}') then 'clear'
+  when case when regexp_matches(command, '{_TICK}') then {_COLON_COUNT} = 0 and not contains(command, ',') and not contains(command, ' and ') else {_COLON_COUNT} = 1 end then 'rules' else 'ask' end as step,
+  regexp_matches(command, '{_TICK}') as tick, regexp_matches(command, '{_UNTICK}') as untick, regexp_matches(command, '\\d|@|:\\s*\\S') as value_like from commands""")
+def command_rules(spark, d):
+    c = F.col("command")
+    return commands_of(spark, d).select("cmd_id", forms.plan(c).alias("step"), T.is_ticking(c).alias("tick"), T.is_unticking(c).alias("untick"), T.is_value_like(c).alias("value_like"))
+
+
+@query("""with k as (select o_orderkey as cmd_id, 'my ' || lower(o_orderpriority) || ' Name ' || o_clerk as command, o_orderpriority || ' name' as label from (select *, 'Clerk#' || o_custkey as o_clerk from orders))
+select cmd_id, 'Clerk#' || regexp_extract(command, '#(\\d+)$', 1) as rest, array_to_string(list_filter(list_transform(string_split_regex(command, '\\s+'), lambda w: lower(regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g'))), lambda w: w <> ''), ' ') as keys from k""")
+def label_rest(spark, d):
+    """Commands that begin with a filler and the words of their field's label."""
+    o = read(spark, d, "orders")
+    command = F.concat(F.lit("my "), F.lower("o_orderpriority"), F.lit(" Name Clerk#"), F.col("o_custkey").cast("string"))
+    rows = o.select(F.col("o_orderkey").alias("cmd_id"), command.alias("command"), F.concat("o_orderpriority", F.lit(" name")).alias("label"))
+    return rows.select("cmd_id", T.after_label(F.col("command"), F.col("label")).alias("rest"), F.array_join(T.word_keys(F.col("command")), " ").alias("keys"))
+
+
+@query("""with k as (select c_custkey as id, case c_custkey % 7 when 0 then '1.2 ' || c_mktsegment || ' name:' when 1 then '(' || c_mktsegment || ')' when 2 then 'a) Town ____ *' when 3 then 'a t S' when 4 then '12' when 5 then c_name || ' . . . ' else '01.05.2027 due' end as text,
+  case c_custkey % 6 when 0 then 'Text' || c_custkey when 1 then c_mktsegment || '_name_Row_' || c_custkey when 2 then 'Check Box ' || c_custkey when 3 then repeat(c_name, 9) when 4 then 'Field name' else 'ab' end as tip from customer),
+w as (select id, tip, list_filter(string_split_regex(trim(text), '\\s+'), lambda x: not regexp_full_match(x, '[_.…-]*')) as ws from k),
+n as (select id, tip, case when (regexp_full_match(ws[1], '\\(*[0-9.]*[0-9][.)]*') and length(ws[1]) <= 5) or (length(ws[1]) = 2 and ends_with(ws[1], ')')) then ws[2:] else ws end as ws from w),
+j as (select id, tip, ws, trim(regexp_replace(trim(regexp_replace(array_to_string(ws, ' '), '[:：* ]+$', '')), '^\\((.*)\\)$', '\\1')) as label from n),
+t as (select *, regexp_replace(trim(regexp_replace(replace(tip, '_', ' '), '\\s+', ' ', 'g')), '^(.*) Row [0-9]*$', '\\1') as tool from j)
+select id, case when not (len(ws) > 1 and len(list_filter(ws, lambda x: length(x) = 1)) = len(ws)) and len(regexp_extract_all(label, '\\p{L}')) >= 2 then label end as label,
+  case when not regexp_matches(lower(tool), '^(text|textfeld|check box|checkbox|kontrollk|topmostsubform|formular|field|feld|untitled|undefined)[0-9 .\\[\\]]*$') and len(regexp_extract_all(tool, '\\p{L}')) >= 3 and length(tool) <= 80 then tool end as tooltip from t""")
+def label_clean_up(spark, d):
+    c = read(spark, d, "customer")
+    k, seg, name = F.col("c_custkey"), F.col("c_mktsegment"), F.col("c_name")
+    text = F.when(k % 7 == 0, F.concat(F.lit("1.2 "), seg, F.lit(" name:"))).when(k % 7 == 1, F.concat(F.lit("("), seg, F.lit(")"))).when(k % 7 == 2, "a) Town ____ *").when(k % 7 == 3, "a t S").when(k % 7 == 4, "12").when(k % 7 == 5, F.concat(name, F.lit(" . . . "))).otherwise("01.05.2027 due")
+    tip = F.when(k % 6 == 0, F.concat(F.lit("Text"), k.cast("string"))).when(k % 6 == 1, F.concat(seg, F.lit("_name_Row_"), k.cast("string"))).when(k % 6 == 2, F.concat(F.lit("Check Box "), k.cast("string"))).when(k % 6 == 3, F.repeat(name, F.lit(9))).when(k % 6 == 4, "Field name").otherwise("ab")
+    return c.select(k.alias("id"), T.clean_label(text).alias("label"), T.tooltip_label(tip).alias("tooltip"))
+
+
+@query(f"with {_FORM}, p as (select doc_id, ix, text, lead(text) over (partition by doc_id, ix order by text) as value from form) select doc_id, ix, text, value, {_BARE} and not regexp_matches(value, '^\\d+\\.(\\d+\\.?)*\\s') and not regexp_matches(value, '^[{C.BULLETS}](\\s|$)') and not regexp_matches(value, '[.!?؟]$') and length(value) <= 120 as joins from p where value is not null")
+def joined_labels(spark, d):
+    """Whether each line of a customer is a bare label of which the next one, in the order of text, is the value."""
+    value = F.lead("text").over(Window.partitionBy("doc_id", "ix").orderBy("text"))
+    rows = form_lines(spark, d).withColumn("value", value).where("value is not null")
+    return rows.select("doc_id", "ix", "text", "value", T.joins_label(F.col("text"), F.col("value")).alias("joins"))
+
+
+@query("""with n as (select o_orderkey as id, case o_orderkey % 5 when 0 then '1.2 Date' when 1 then '01.05.2027' when 2 then '3. Rent' when 3 then 'Sign ____ here' else 'Wait... then 0170 123' end as text from orders)
+select id, regexp_matches(text, '^\\d+\\.(\\d+\\.?)*\\s') as numbered, regexp_replace(text, '[_.]*_{2,}[_.]*|\\.{4,}', ' ', 'g') as plain from n""")
+def numbered_lines(spark, d):
+    k = F.col("o_orderkey")
+    text = F.when(k % 5 == 0, "1.2 Date").when(k % 5 == 1, "01.05.2027").when(k % 5 == 2, "3. Rent").when(k % 5 == 3, "Sign ____ here").otherwise("Wait... then 0170 123")
+    return read(spark, d, "orders").select(k.alias("id"), T.is_numbered(text).alias("numbered"), T.without_fill_in(text).alias("plain"))
+
+
 _CANDS = """cands as (select l_suppkey as form_id, l_orderkey * 10 + l_linenumber as field_ix, case l_returnflag when 'A' then 'text' when 'N' then 'tick' else 'choice' end as grp, max(l_discount) as score from lineitem group by all)"""
 
 
@@ -312,27 +383,6 @@ def alternatives(spark, d):
     return rows.select("form_id", "grp", "best", F.get("alternatives", F.lit(0)).alias("second"))
 
 
-@query(f"""with {_CANDS}, r as (select *, 'Field ' || field_ix % 50 as label, row_number() over (partition by form_id, grp order by score desc, field_ix) as place from cands),
-u as (select * from (select *, row_number() over (partition by form_id, grp, label order by place) as n from r where place <= case grp when 'text' then 5 when 'tick' then 3 else 1 end) where n = 1)
-select form_id, '{{"text":[' || coalesce(string_agg(case when grp = 'text' then '"' || label || '"' end, ',' order by place), '') || '],"tick":[' || coalesce(string_agg(case when grp = 'tick' then '"' || label || '"' end, ',' order by place), '') || '],"none":"no_match"}}' as tools from u group by form_id""")
-def tool_json(spark, d):
-    listed = forms.shortlist(candidates_of(spark, d)).withColumn("label", F.concat(F.lit("Field "), (F.col("field_ix") % 50).cast("string")))
-    return forms.tool_json(listed)
-
-
-@query()
-def proposals(spark, d):
-    scored = commands_of(spark, d).select("cmd_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("field_ix")).select("cmd_id", "field_ix", F.when(F.col("field_ix") < 4, "text").otherwise("tick").alias("grp"), (F.pmod(F.hash("cmd_id", "field_ix"), F.lit(100)) / 100).alias("score"))
-    return forms.propose(commands_of(spark, d).withColumn("today", F.lit("2024-05-01")), scored)
-
-
-@query("""with a as (select event_id as form_id, '{"function_calls":[{"name":"fill_field","arguments":{"field":"Name","value":"' || event_type || '"}}]}' as answer from events)
-select form_id, 0 as pos, 'fill_field' as name, 7 as field_ix, regexp_extract(answer, '"value":"([^"]*)"', 1) as value, true as checked from a""")
-def model_calls(spark, d):
-    answers = read(spark, d, "events").select(F.col("event_id").alias("form_id"), F.concat(F.lit('{"function_calls":[{"name":"fill_field","arguments":{"field":"Name","value":"'), "event_type", F.lit('"}}]}')).alias("answer"))
-    return forms.calls(answers, answers.select("form_id", F.lit("Name").alias("label"), F.lit(7).alias("field_ix"), F.lit(1).alias("place")))
-
-
 # Boxes
 
 _BOXES = """boxes as (select l_orderkey % 300 * 100 + l_partkey % 100 as page, ((l_orderkey * 10 + l_linenumber) * 10000 + l_partkey) * 10000 + l_suppkey as box_id, l_returnflag as kind, max(l_discount) as score,
@@ -362,11 +412,34 @@ def cross_kind_suppress(spark, d):
     return geometry.cross_kind(boxes_of(spark, d))
 
 
-@query(f"with {_BOXES} select page, box_id from boxes qualify count_if(score >= 0.03) over (partition by page) >= 0 and count_if(score >= 0.3) over (partition by page) < 3 and score >= 0.05")
+@query(f"with {_BOXES} select page, box_id from boxes qualify count_if(score >= 0.05) over (partition by page) >= 3")
 def page_check(spark, d):
-    """Boxes of the pages that the check empties (scores here are below its threshold), of score 0.05 or more."""
-    b = boxes_of(spark, d)
-    return b.join(geometry.page_check(b).select("page").distinct(), "page", "left_anti").where("score >= 0.05").select("page", "box_id")
+    """Boxes of the pages that the check leaves as they are; scores here end at 0.1 and are taken six times."""
+    b = boxes_of(spark, d).withColumn("score", F.round(F.col("score") * 6, 6))
+    return geometry.page_check(b).select("page", "box_id")
+
+
+_TILES = f"{_BOXES}, tiles as (select page, box_id, kind, score, l, t, r, b, case box_id % 3 when 2 then 43 else 0 end as y0, case box_id % 3 when 1 then 55 else 99 end as y1 from boxes)"
+
+
+@query(f"with {_TILES} select page, box_id, case when (y0 > 0 and t < 4) or (y1 < 99 and b > y1 - y0 - 4) then score * 0.5 else score end as score, t + y0 as t, b + y0 as b from tiles")
+def region_union(spark, d):
+    """Boxes as they were found in the three regions of pages of height 99, each box in one of them."""
+    b = boxes_of(spark, d).withColumn("region", (F.col("box_id") % 3).cast("int"))
+    cuts = geometry.regions(b.select("page").distinct().withColumn("height", F.lit(99)))
+    return geometry.from_regions(b.join(cuts, ["page", "region"])).select("page", "box_id", "score", "t", "b")
+
+
+@query(f"""with {_BOXES}, k as (select *, case kind when 'A' then 0 when 'N' then 1 else 2 end as ki from boxes),
+o as (select *, row_number() over (partition by page order by ki, score desc, box_id) as n from k)
+select page, string_agg(ki || ':' || l::int || ':' || case when box_id % 2 = 0 then 1 else -1 end, ',' order by n) as v from o group by page""")
+def flat_fields(spark, d):
+    """The flat numbers of each page's fields: kind, left edge and state, read back from them."""
+    kind = F.when(F.col("kind") == "A", "text").when(F.col("kind") == "N", "choice").otherwise("signature")
+    rows = boxes_of(spark, d).withColumn("kind", kind).withColumn("filled", F.when(F.col("box_id") % 2 == 0, F.lit(True)))
+    at = lambda i, k: F.get("v", i * 7 + k).cast("int").cast("string")
+    each = F.transform(F.sequence(F.lit(0), (F.size("v") / 7).cast("int") - 1), lambda i: F.concat_ws(":", at(i, 0), at(i, 2), at(i, 6)))
+    return geometry.flattened(rows).select("page", F.array_join(each, ",").alias("v"))
 
 
 @query()
@@ -408,9 +481,8 @@ def cells_islands(spark, d):
 
 @query("select l_returnflag as kind, list_sort(list(l_extendedprice))[count(*) // 2 + 1] as median from lineitem group by l_returnflag")
 def upper_median(spark, d):
-    # an exact rank by sorting, in tasks of bounded size: no group is gathered
     li = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("kind"), F.col("l_extendedprice").alias("x"))
-    return li.groupBy("kind").agg(F.expr("percentile_disc(0.5) within group (order by x desc)").alias("median"))
+    return li.groupBy("kind").agg(geometry.upper_median("x").alias("median"))
 
 
 @query()
@@ -418,12 +490,6 @@ def visual_rows(spark, d):
     return geometry.visual_rows(boxes_of(spark, d).select("page", F.col("box_id").alias("word_id"), "t", "b"))
 
 
-@query()
-def inherited_labels(spark, d):
-    b = boxes_of(spark, d)
-    return geometry.inherited_labels(b.select("page", "box_id", "l", "t", "r", "b", F.when(F.col("kind") == "R", F.col("box_id").cast("string")).alias("label")), 10)
-
-
 @query("""with v as (select l_orderkey * 10 + l_linenumber as row_ix, l_partkey, l_suppkey, l_quantity as w, l_discount * 10 as o, l_tax * 10 as p1, 0.3::double as p2 from lineitem)
 select row_ix, l_partkey, l_suppkey, case when p1 >= p2 then 'text' else 'choice' end as kind, round(o * greatest(p1, p2), 6) as score, 50 - w / 2 as l, 55.0 as t, 50 + w / 2 as r, 65.0 as b from v where o * greatest(p1, p2) >= 0.2""")
 def detector_decode(spark, d):
@@ -464,9 +530,120 @@ def line_boxes(spark, d):
     return layout.line_boxes(numbered_words(spark, d)).select("page_id", "l", "t", "r", "text")
 
 
-@query()
+@query(f"""with {_OCR}, n as (select *, case when lag(block) over (partition by page_id order by ix) = block and lag(line) over (partition by page_id order by ix) = line then 0 else 1 end as new from ocr),
+m as (select *, sum(new) over (partition by page_id order by ix) as line_no from n),
+k as (select page_id, line_no, any_value(block) as block, string_agg(text, ' ' order by ix) as text, min(t) as t, max(t + 12) as b from m group by page_id, line_no),
+g as (select *, case when lag(block) over w is null then '' when lag(block) over w <> block or t - lag(b) over w > 0.9 * 12 then chr(10) || chr(10) else ' ' end as sep from k window w as (partition by page_id order by line_no))
+select page_id, string_agg(sep || text, '' order by line_no) as text from g group by page_id""")
 def ocr_page_text(spark, d):
-    return layout.page_text(layout.paragraphs(layout.line_boxes(layout.cells(numbered_words(spark, d)).drop("cell"))))
+    """Pages of words in lines of one height: no row has two blocks, so they are read by paragraphs."""
+    w = tsv.parse(ocr_rows(spark, d))
+    words = w.withColumn("ix", F.col("block") * 100000 + F.col("line") * 8 + F.expr("l div 60"))
+    # lines of different blocks stand apart, lest they stand side by side; words are so wide that no line has cells
+    at = {"t": F.col("t") + F.col("block") * 1000, "b": F.col("b") + F.col("block") * 1000, "r": F.col("l") + 55}
+    return layout.read_pages(words.withColumns(at))
+
+
+@query("""select c_custkey as page_id, 'Name: ' || c_name || chr(10) || 'Segment: ' || c_mktsegment || chr(10) || 'Account: ' || round(c_acctbal)::bigint || chr(10) || 'Nation: ' || c_nationkey as text from customer""")
+def ocr_forms(spark, d):
+    """Forms as they come from recognition: labels in one block, their values in another, further along the row."""
+    c = read(spark, d, "customer")
+    rows = F.array(*[F.struct(F.lit(i).alias("row"), F.lit(name).alias("name"), v.cast("string").alias("v")) for i, (name, v) in enumerate((("Name", F.col("c_name")), ("Segment", F.col("c_mktsegment")), ("Account", F.round("c_acctbal").cast("bigint")), ("Nation", F.col("c_nationkey"))))])
+    lines = c.select(F.col("c_custkey").alias("page_id"), F.inline(rows))
+    word = lambda block, left, text: F.struct(F.lit(block).alias("block"), F.lit(1).alias("par"), F.col("row").alias("line"), F.lit(float(left)).alias("l"), (F.col("row") * 20.0).alias("t"), F.lit(left + 60.0).alias("r"), (F.col("row") * 20.0 + 12).alias("b"), text.alias("text"), (F.lit(block * 10) + F.col("row")).alias("ix"))
+    words = lines.select("page_id", F.inline(F.array(word(1, 0, F.col("name")), word(2, 200, F.col("v")))))
+    return layout.read_pages(words)
+
+
+@query("""select c_custkey as page_id, 'NAME: ' || c_name || chr(10) || 'SEGMENT: ' || c_mktsegment as text from customer""")
+def ocr_stacked_fields(spark, d):
+    """Labels printed small over their values, in boxes side by side."""
+    c = read(spark, d, "customer")
+    word = lambda ix, line, left, height, text: F.struct(F.lit(ix).alias("ix"), F.lit(1).alias("block"), F.lit(1).alias("par"), F.lit(line).alias("line"), F.lit(float(left)).alias("l"), F.lit(line * 14.0).alias("t"), F.lit(left + 80.0).alias("r"), F.lit(line * 14.0 + height).alias("b"), text.alias("text"))
+    words = c.select(F.col("c_custkey").alias("page_id"), F.inline(F.array(word(0, 0, 0, 9, F.lit("NAME")), word(1, 0, 200, 9, F.lit("SEGMENT")), word(2, 1, 0, 12, F.col("c_name")), word(3, 1, 200, 12, F.col("c_mktsegment")))))
+    return layout.read_pages(words)
+
+
+@query("select doc_id as page_id, round(quantile_disc(90.0 - (wx % 7), 0.0), 6) / 100 as confidence from (select doc_id, 0 as wx from documents where trim(coalesce(text, ''), ' ' || chr(10)) <> '') group by doc_id")
+def ocr_confidence(spark, d):
+    return layout.page_confidence(tsv.parse(ocr_rows(spark, d)))
+
+
+# PDF pieces
+
+_PIECES = (("Name", "c_name"), ("Segment", "c_mktsegment"), ("Phone", None), ("Nation", "c_nationkey"), ("Key", "c_custkey"))
+
+
+@query("""select c_custkey as page_id, case c_custkey % 3 when 0 then '# Customer form' || chr(10) || chr(10) || 'Name: ' || c_name || chr(10) || 'Segment: ' || c_mktsegment || chr(10) || 'Phone' || chr(10) || 'Nation: ' || c_nationkey || chr(10) || 'Key: ' || c_custkey
+  when 1 then 'Intro.' || chr(10) || chr(10) || 'Name: ' || c_name || chr(10) || 'Segment: ' || c_mktsegment || chr(10) || 'Nation: ' || c_nationkey
+  else 'Plain ' || c_name end as text from customer""")
+def pdf_pages(spark, d):
+    """Three kinds of pages: forms in two columns, run-together rows, and plain markdown."""
+    c = read(spark, d, "customer")
+    kind, key = F.col("c_custkey") % 3, F.col("c_custkey").alias("page_id")
+    said = F.concat(F.lit("Intro.\n\nName: "), "c_name", F.lit(" Segment: "), "c_mktsegment", F.lit(" Nation: "), F.col("c_nationkey").cast("string"))
+    pages = c.select(key, F.when(kind == 1, said).otherwise(F.concat(F.lit("Plain "), "c_name")).alias("markdown"), (kind == 0).alias("columns"), F.lit(False).alias("tables"))
+    piece = lambda ix, x, y, text, height=10.0, field="text", turned=0.0: F.struct(F.lit(ix).alias("piece_ix"), F.lit(field).alias("kind"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(60.0).alias("width"), F.lit(height).alias("height"), F.lit(turned).alias("rotation"), text.cast("string").alias("text"))
+    form = [piece(0, 50, 800, F.lit("Customer form"), 16.0), piece(1, 5, 400, F.lit("sideways"), 300.0, "text", 90.0)]
+    for i, (name, column) in enumerate(_PIECES):
+        form.append(piece(2 * i + 2, 50, 760 - 16 * i, F.lit(name)))
+        form.append(piece(2 * i + 3, 250, 756 - 16 * i, F.col(column) if column else F.lit("________"), 14.0, "field"))
+    flat = [piece(0, 50, 780, F.lit("Heading")), *[piece(i + 1, 50, 760 - 16 * i, F.concat(F.lit(f"{name}: "), F.col(column).cast("string"))) for i, (name, column) in enumerate((_PIECES[0], _PIECES[1], _PIECES[3]))]]
+    pieces = c.where(kind == 0).select(key, F.inline(F.array(*form))).unionByName(c.where(kind == 1).select(key, F.inline(F.array(*flat))))
+    return pdf.page_text(pages, pieces)
+
+
+@query("""with f as (select c_custkey as form_id, '[{"id":' || c_custkey || ',"page":1,"bounds":[0,1.5,2,3],"kind":"choice","options":["a","' || c_mktsegment || '"]},{"id":2,"page":2,"bounds":[1,1,1,1],"kind":"text","tooltip":"' || c_name || '","readOnly":true}]' as j, c_mktsegment, c_name from customer)
+select form_id, 0 as field_ix, form_id as id, 1.5 as t, 'choice' as kind, c_mktsegment as said, false as read_only from f union all select form_id, 1, 2, 1.0, 'text', c_name, true from f""")
+def form_json(spark, d):
+    """Fields read from JSON."""
+    c = read(spark, d, "customer")
+    j = F.concat(F.lit('[{"id":'), F.col("c_custkey").cast("string"), F.lit(',"page":1,"bounds":[0,1.5,2,3],"kind":"choice","options":["a","'), "c_mktsegment", F.lit('"]},{"id":2,"page":2,"bounds":[1,1,1,1],"kind":"text","tooltip":"'), "c_name", F.lit('","readOnly":true}]'))
+    f = form_input.read_fields(c.select(F.col("c_custkey").alias("form_id"), j.alias("fields")))
+    return f.select("form_id", "field_ix", "id", "t", "kind", F.coalesce(F.get("options", F.lit(1)), "tooltip").alias("said"), "read_only")
+
+
+# Languages
+
+_SIGNS = f"""signs as (select doc_id, text, len(list_filter(string_split_regex(lower(text), '[^\\p{{L}}]'), lambda w: list_contains({_IN(C.ENGLISH)}, w))) as en,
+  len(list_filter(string_split_regex(lower(text), '[^\\p{{L}}]'), lambda w: list_contains({_IN(C.GERMAN)}, w))) + len(regexp_extract_all(lower(text), '[äöüß]')) as de,
+  len(regexp_extract_all(text, '[پچژگ]')) as fa, len(regexp_extract_all(text, 'ة')) as ar from (select doc_id, left(text, 3000) as text from documents) where regexp_matches(text, '\\p{{L}}'))"""
+_TOP = "case when en >= greatest(de, fa, ar) then 'english' when de >= greatest(fa, ar) then 'german' when fa >= ar then 'persian' else 'arabic' end"
+
+
+@query(f"with {_SIGNS} select doc_id, {_TOP} as document from signs")
+def document_languages(spark, d):
+    return language.document_languages(read(spark, d, "documents"))
+
+
+@query(f"""with {_SIGNS}, top as (select doc_id, {_TOP} as lang, en, de, fa, ar, en + de + fa + ar + 4 as n from signs),
+asked as (select q.doc_id as q_id, t.lang as document, q.lang as question, (case t.lang when 'english' then q.en when 'german' then q.de when 'persian' then q.fa else q.ar end + 1) / q.n as own
+  from top q join top t on t.doc_id = q.doc_id - q.doc_id % 2)
+select q_id, document, question from asked where question <> document and own < 0.2""")
+def refused_questions(spark, d):
+    """The start of each document, asked of the even document before it."""
+    docs = read(spark, d, "documents")
+    asked = docs.select(F.col("doc_id").alias("q_id"), (F.col("doc_id") - F.col("doc_id") % 2).alias("doc_id"), F.left("text", F.lit(3000)).alias("question"))
+    return language.refused(asked, docs)
+
+
+# Answers
+
+
+@query("""with c as (select c_nationkey as doc_id, c_custkey as ix, c_name, c_mktsegment from customer),
+a as (select doc_id, ix, 'Segment of ' || c_name || ': ' || c_mktsegment as row from c), s as (select doc_id, count(*) as n from c group by doc_id)
+select ix as q_id, 'found' as kind, row as sentence from a""")
+def form_row_answers(spark, d):
+    """Each nation is a form of a page whose rows differ in a name; every row is asked for by its whole label, and all
+    score alike, so only the rule of named rows tells them apart."""
+    c = read(spark, d, "customer").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("q_id"), F.translate("c_name", "#0123456789", "xabcdefghij").alias("name"), "c_name", "c_mktsegment")
+    rows = c.select("doc_id", F.col("q_id").alias("pos"), F.concat(F.lit("Segment of "), "c_name", F.lit(": "), "c_mktsegment").alias("text"))
+    asked = c.select("doc_id", "q_id", F.concat(F.lit("What is the segment of "), "c_name", F.lit("?")).alias("question"))
+    own = asked.join(rows, "doc_id").withColumns({"page": F.lit(1), "section": F.lit(None).cast("string")})
+    scored = own.withColumn("score", F.when(F.col("pos") == F.col("q_id"), 0.45).otherwise(0.44))
+    forms_ = c.select("doc_id").distinct().withColumns({"form_pages": F.array(F.lit(1)), "short": F.lit(True)})
+    found = A.decide(scored, forms_)
+    return found.select("q_id", "kind", F.get("passages", F.lit(0))["text"].alias("sentence"))
 
 
 @query("""with s as (select conv_id as q_id, turn as pos, text, round(length(text) / 5200.0, 6) as score from conversations where text is not null),
@@ -476,3 +653,6 @@ def runner_up_gap(spark, d):
     c = read(spark, d, "conversations").where("text is not null").select(F.col("conv_id").alias("q_id"), F.col("turn").alias("pos"), "text", F.round(F.length("text") / 5200.0, 6).alias("score"))
     return search.pick(c).where("rn = 1").select("q_id", "best", F.round("gap", 9).alias("gap"))
 
+
+
+from . import form_queries  # noqa: E402, F401  registers its own
