@@ -29,13 +29,13 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import held
+from .common import held, small_batches
 
 #: Words kept, and pieces of words kept.
 KEEP_WORDS = 200_000
@@ -60,7 +60,10 @@ def byte_letters() -> list[str]:
 
 def _newer() -> str:
     """Ranges of letters and numbers that regex knows and unicodedata doesn't: too new for the tokenizers library."""
-    points = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))) if unicodedata.category(c) == "Cn"]
+    known, points = regex.compile(r"[\p{L}\p{N}]"), []
+    for block in range(0, 0x110000, 1 << 14):
+        text = "".join(chr(c) for c in range(block, block + (1 << 14)) if not 0xD800 <= c < 0xE000)
+        points += [ord(c) for c in known.findall(text) if unicodedata.category(c) == "Cn"]
     starts = [c for c, before in zip(points, [-2, *points], strict=False) if c != before + 1]
     ends = [c for c, after in zip(points, [*points[1:], -2], strict=True) if c != after - 1]
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
@@ -124,7 +127,7 @@ class BPE:
         symbol = {t: c for c, t in enumerate(base)}
         spelled: dict[int, tuple[int, ...]] = {t: (c,) for t, c in symbol.items()}
         to: dict[int, int] = {}
-        token, depth, parent = [-1], [0], [(0, 0)]
+        token, depth, parent, by = [-1], [0], [0], [0]
         for t in [*symbol, *made]:  # a token's parts come before it
             if t not in spelled:
                 spelled[t] = spelled[made[t][1]] + spelled[made[t][2]]
@@ -135,12 +138,13 @@ class BPE:
                     nxt = to[s << 9 | c] = len(token)
                     token.append(-1)
                     depth.append(depth[s] + 1)
-                    parent.append((s, c))
+                    parent.append(s)
+                    by.append(c)
                 s = nxt
             token[s] = t
         link, nearest = [0] * len(token), [0] * len(token)
         for s in sorted(range(1, len(token)), key=depth.__getitem__):
-            p, c = parent[s]
+            p, c = parent[s], by[s]
             if p:
                 f = link[p]
                 while f and f << 9 | c not in to:
@@ -384,7 +388,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                 b.append(hashlib.sha256(tok.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:
@@ -398,18 +402,18 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
                 ids = [x.tolist() for x in tok.encode_all(t.as_py() or "" for t in part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def count_tokens(docs: DataFrame, path: str, count: str = "n_tokens") -> DataFrame:
     """docs with count, the number of ids of each row's text; null texts have none."""
-    at = docs.columns.index("text")
-    rows = docs.drop(count)
+    rows = docs.select(*[c for c in docs.columns if c != count])
+    at, names = rows.columns.index("text"), rows.columns
 
-    @F.pandas_udf("long")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches):
         tok = _tokenizer(path)
-        for texts in parts:
-            yield pd.Series([len(ids) for ids in tok.encode_all(t or "" for t in texts)], dtype="int64")
+        for batch in batches:
+            n = [len(ids) for ids in tok.encode_all(t.as_py() or "" for t in batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*names, count])
 
-    return rows.withColumn(count, run(F.col(docs.columns[at]).cast("string")))
+    return small_batches(rows).mapInArrow(run, StructType(list(rows.schema.fields)).add(count, "long"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Keys that may be broadcast; more of them go through a shuffle join instead.
 BROADCAST_KEYS = 2_000_000
+#: Bytes, by a count of rows, up to which a side is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 _held: list = [None, None]
@@ -33,6 +35,20 @@ def drop_held() -> None:
         pa.default_memory_pool().release_unused()
 
 
+#: Rows in an Arrow batch. A row is a whole text, so the usual 10,000 are too many to hold on both sides at a time.
+BATCH_ROWS = 256
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after the session was told to send whole texts to Python in batches of BATCH_ROWS rows at most. The setting is
+    read when a plan is made, and stays for the session; a smaller one of the user's stays as it is."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS)) <= BATCH_ROWS:
+        conf.set(_ROWS, BATCH_ROWS)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,6 +79,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores before it as keep it apart from df's columns, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def matching(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """df semi or anti joined with unique keys, which are broadcast only if they are counted as few."""
     few = keys.count() <= BROADCAST_KEYS

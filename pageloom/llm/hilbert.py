@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 
 BITS = 8
 
@@ -57,7 +57,8 @@ def name_cell(name: Column) -> Column:
 
 
 def curve_ordered(df: DataFrame, cells: list[Column], ties: list[str]) -> DataFrame:
-    """df with `curve` and `rank`, its place from 0 in the order of curve and ties."""
+    """df with `curve`, `rank`, its place from 0 in the order of curve and ties, and `total`, the number of rows; columns
+    of df with these names are replaced."""
 
     @F.pandas_udf("long")
     def index(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -67,15 +68,14 @@ def curve_ordered(df: DataFrame, cells: list[Column], ties: list[str]) -> DataFr
     rows = df.withColumn("curve", index(*cells))
     order = ["curve", *ties]
     n = max(12, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part, at, first = unused(rows, "part", "at", "first")
     # the checkpoint keeps the partitions as they are, so that a row's number within its own stays true
-    rows = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    counts = {r[0]: r[1] for r in rows.groupBy("part").count().collect()}  # one row a partition
-    starts, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        starts.append(total)
-        total += counts.get(p, 0)
-    first = F.get(F.array(*[F.lit(s).cast("long") for s in starts]), "part") if starts else F.lit(0).cast("long")
-    return rows.withColumn("rank", first + F.col("at")).withColumn("total", F.lit(total).cast("long")).drop("part", "at")
+    rows = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts = rows.groupBy(part).count()  # one row a partition
+    upto = Window.orderBy(part)
+    before = counts.select(part, (F.sum("count").over(upto) - F.col("count")).alias(first), F.sum("count").over(upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    rows = rows.drop("rank", "total").join(F.broadcast(before), part)
+    return rows.withColumn("rank", F.col(first) + F.col(at)).drop(part, at, first)
 
 
 def into_runs(ranked: DataFrame, shards: int) -> DataFrame:

@@ -13,9 +13,9 @@ A phrase costs the same however short it is, and the edges of a text cut its fir
 thus cost many bits each even if they match. lang_sure leaves EDGES phrases out, and is what a text can be rejected by.
 Characters that the sample lacks are no matches and are never left out.
 
-The sample has up to BUCKETS documents a language, the one of least hash in each bucket of hashes, PER_DOC characters
-of each and SAMPLE in all: a bound that does not grow with the corpus. Texts that are null or without letters are
-`und`; a corpus without labelled text gives `und` throughout.
+The sample has up to BUCKETS documents a language, the one of least hash in each bucket of hashes, and SAMPLE characters
+in all, for MAX_LANGS languages at most: bounds of the labelled text that do not grow with the corpus. Texts that are
+null or without letters are `und`; a corpus without labelled text gives `und` throughout. doc_id may be of any type.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import held
+from .common import cut, held, small_batches
 
 BUCKETS, PER_DOC, SAMPLE, BLOCK = 64, 4_000, 30_000, 512
 MAX_LANGS = 200
@@ -186,27 +186,43 @@ def held_out(doc_id):
 
 
 def samples(docs: DataFrame, exclude=None) -> dict[str, str]:
-    """Bounded training text by language; exclude is a condition on rows that may not be learned from."""
+    """Bounded training text by language; exclude is a condition on rows that may not be learned from.
+
+    The MAX_LANGS languages of most documents are learned. Of each, every chosen document gives as many characters as
+    SAMPLE allows if all give equally many, those that have fewer giving all of theirs.
+    """
     rows = docs.where("lang is not null and text is not null and doc_id is not null").where(F.col("text").rlike("\\p{L}"))
     if exclude is not None:
         rows = rows.where(~exclude)
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
     h = F.xxhash64("doc_id")
-    firsts = rows.groupBy("lang", F.pmod(h, F.lit(BUCKETS)).alias("bucket")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("x"))
-    names = [r[0] for r in firsts.select("lang").distinct().orderBy("lang").limit(MAX_LANGS + 1).collect()]
-    if len(names) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages in lang")
-    ids = [r[0] for r in firsts.select("x.doc_id").distinct().collect()]  # at most BUCKETS x MAX_LANGS
-    chosen = rows.where(F.col("doc_id").isin(ids)).select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, PER_DOC).alias("text")).distinct() if ids else None
-    out: dict[str, str] = dict.fromkeys(names, "")
-    for r in sorted(chosen.collect() if ids else [], key=lambda r: (r["lang"], r["h"], r["text"])):
-        out[r["lang"]] = (out[r["lang"]] + " " + r["text"])[:SAMPLE]
-    return {k: v for k, v in out.items() if v.strip()}
-
-
-def identify(docs: DataFrame, learned: dict[str, str]) -> DataFrame:
+    firsts = rows.groupBy("lang", F.pmod(h, F.lit(BUCKETS)).alias("bucket")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("x"), F.count("*").alias("n"))
+    firsts = cut(firsts.select("lang", "x.doc_id", "n"))
+    names = [r[0] for r in firsts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
+    ids = firsts.where(F.col("lang").isin(names)).select("lang", "doc_id").distinct()  # at most BUCKETS x MAX_LANGS
+    chosen = rows.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", h.alias("h"), F.substring("text", 1, PER_DOC).alias("text")).distinct()
+    found: dict[str, list[str]] = {}
+    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
+        found.setdefault(r["lang"], []).append(r["text"])
+    return {k: _evenly(v) for k, v in found.items()}
+
+
+def _evenly(texts: list[str]) -> str:
+    """Beginnings of all texts, SAMPLE characters in all at most."""
+    left, share = SAMPLE, 0
+    for i, n in enumerate(sorted(map(len, texts))):
+        share = max(share, min(n, left // (len(texts) - i)))
+        left -= min(n, left // (len(texts) - i))
+    return " ".join(t[:share] for t in texts)[:SAMPLE]
+
+
+def identify(docs: DataFrame, learned: dict[str, str], prefix: str = "lang_") -> DataFrame:
     """docs with lang_pred, lang_score (0 to 1), lang_bits (cross entropy in bits a character) and lang_sure (the same
-    without the phrases at the edges) added."""
+    without the phrases at the edges) added, under another prefix if one is given. Columns of docs with these names are
+    replaced; text is read as a string whatever its type."""
     sent = docs.sparkSession.sparkContext.broadcast(learned)
+    added = [prefix + x for x in ("pred", "score", "bits", "sure")]
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in map(str.lower, added)])
     names = docs.columns
     at = names.index("text")
 
@@ -214,10 +230,11 @@ def identify(docs: DataFrame, learned: dict[str, str]) -> DataFrame:
         texts = sent.value
         parser = held(("languages", tuple(sorted(texts.items()))), lambda: CrossParser.of(texts))
         for batch in batches:
-            lang, score, bits, sure = parser.classify(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(sure, pa.float64())], names=[*names, "lang_pred", "lang_score", "lang_bits", "lang_sure"])
+            found = parser.classify(batch.column(at).to_pylist())
+            kinds = (pa.string(), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(found, kinds, strict=True))], names=[*names, *added])
 
     schema = StructType(list(docs.schema.fields))
-    for c, kind in (("lang_pred", "string"), ("lang_score", "double"), ("lang_bits", "double"), ("lang_sure", "double")):
+    for c, kind in zip(added, ("string", "double", "double", "double"), strict=True):
         schema = schema.add(c, kind)
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_held, matching, release
+from .common import cut, drop_held, matching, release, small_batches
 from .shingles import shingles_of, words_of
 
 T, TREES, BRANCH, LEVELS, LEAF, STAR = 256, 8, 2, 6, 2048, 8
@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * k, pa.int32()), pa.array(v)) for k, v in ((TREES, first), (T, sig))]
             yield pa.RecordBatch.from_arrays([ids, pa.array(cids, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *lists], names=["doc_id", "cid", "n", "first", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, cid binary, n long, first array<int>, sig array<byte>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, cid binary, n long, first array<int>, sig array<byte>")
 
 
 def full_sets(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -83,7 +83,7 @@ def full_sets(docs: DataFrame, k: int = 5) -> DataFrame:
                 items = pa.array(np.concatenate(own).view(np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(cids[at : at + 64], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], names=["cid", "items"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "cid binary, items array<long>")
+    return small_batches(docs).select("doc_id", F.col("text").cast("string")).mapInArrow(run, "cid binary, items array<long>")
 
 
 def agreement(threshold: float) -> int:

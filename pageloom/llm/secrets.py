@@ -20,8 +20,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
-from .common import drop_held
+from .common import drop_held, small_batches
 
 # The three patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -145,12 +146,14 @@ def scan(docs: DataFrame) -> DataFrame:
             kinds_of = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds_of, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with the secrets of text replaced and, where there is n_chars, counted anew; clean rows stay as they are."""
-    at, has_n = docs.columns.index("text"), "n_chars" in docs.columns
+    """docs with the secrets of text replaced and, where there is an n_chars of a number or string type, counted anew;
+    clean rows, and n_chars of another type, stay as they are."""
+    at = docs.columns.index("text")
+    has_n = "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, (NumericType, StringType))
 
     def run(batches):
         drop_held()
@@ -167,10 +170,10 @@ def redact(docs: DataFrame) -> DataFrame:
                 batch = batch.set_column(at, batch.schema.field(at).name, pa.array(texts, batch.schema.field(at).type))
                 if has_n:
                     n = batch.schema.get_field_index("n_chars")
-                    kind = batch.schema.field(n).type
-                    batch = batch.set_column(n, "n_chars", pa.compute.coalesce(pa.array(sizes, kind), batch.column(n)))
+                    counted = pa.array(sizes, pa.int64()).cast(batch.schema.field(n).type)
+                    batch = batch.set_column(n, batch.schema.field(n), pa.compute.coalesce(counted, batch.column(n)))
             yield batch
 
     import pyarrow.compute  # noqa: F401
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

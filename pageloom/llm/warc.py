@@ -9,7 +9,9 @@ The join is one sorted pass: records are dealt by ranges of (URL, time), so that
 records spreads over many tasks. A task carries the last full response forward; what it must have carried in from the
 tasks before it comes from one row per task.
 
-Null URLs match nothing. Null times come first. Repeated records are each answered.
+Null URLs match nothing. Null times come first. Repeated records are each answered. record_id may be of any ordered
+type; columns of other names are ignored. Header names are compared in lower case; of several that differ in case only
+the first stands.
 """
 
 from __future__ import annotations
@@ -54,12 +56,15 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     n = max(12, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = cut(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
 
-    # what each task ends with, and from it what the next ones begin with: one row a task
+    # What each task ends with, and from it what the next ones begin with: one row a task. A task's end is that of its
+    # last URL; the tasks after it that begin with the same URL take it over until one of them has a later one.
     at_end = F.struct("canonical_url", "ts", (F.col("kind") == "response").alias("is_full"), "record_id")
-    ends = dealt.where("kind = 'response' and canonical_url is not null").groupBy("part").agg(F.max_by(F.struct("canonical_url", full.alias("full")), at_end).alias("end"))
-    reach = dealt.where("canonical_url is not null").groupBy("part").agg(F.min("canonical_url").alias("first"))
-    before = reach.join(ends.select(F.col("part").alias("p"), F.col("end.canonical_url").alias("first"), F.col("end.full").alias("full")), "first")
-    carried = before.where("p < part").groupBy("part", F.col("first").alias("canonical_url")).agg(F.max_by("full", "p").alias("carried"))
+    known = dealt.where("canonical_url is not null")
+    ends = known.where("kind = 'response'").groupBy("part").agg(F.max_by(F.struct("canonical_url", full.alias("full")), at_end).alias("end"))
+    tasks = known.groupBy("part").agg(F.min("canonical_url").alias("first")).join(ends, "part", "left")
+    before = W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    carried = tasks.withColumn("last", F.last("end", ignorenulls=True).over(before)).where(F.col("last.canonical_url") == F.col("first"))
+    carried = carried.select("part", F.col("first").alias("canonical_url"), F.col("last.full").alias("carried"))
 
     w = W.Window.partitionBy("part", "canonical_url").orderBy("ts", F.col("kind") == "response", "record_id").rowsBetween(W.Window.unboundedPreceding, -1)
     seen = dealt.withColumn("own", F.last(full, ignorenulls=True).over(w)).where("kind = 'revisit'")
@@ -67,7 +72,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
     agrees = F.coalesce(_etag(F.col("etag")) == _etag(F.col("full.etag")), F.col("digest") == F.col("full.digest"), F.col("last_modified") == F.col("full.last_modified"), F.lit(False))
     state = F.when(F.col("full").isNull(), "missing").when(agrees, "resolved").otherwise("mismatch")
-    lower = lambda m: F.transform_keys(m, lambda k, _: F.lower(k))
+    # names in lower case; of fields whose names differ in case only, the first stands
+    entries = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    names = lambda m: F.transform(F.map_entries(m), lambda e: F.lower(e["key"]))
+    lower = lambda m: F.map_from_entries(F.filter(entries(m), lambda e, i: F.array_position(names(m), e["key"]) == i + 1))
     fresh = F.map_filter(lower(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda k, _: k.isin(*PERMITTED))
     old = lower(F.coalesce("full.headers", F.create_map().cast("map<string,string>")))
     merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(fresh), k)), fresh)
