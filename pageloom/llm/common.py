@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,37 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class Scratch:
+    """Tables of the steps of a job, in a folder of their own within the shared one, and gone as soon as they are done
+    with: drop() takes one that a later one has replaced, close() takes all."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """df as it was written; lost executors cost no recomputation of what led to it."""
+        path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(found)] = (found, path)
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            if id(df) in self.paths:
+                self._delete(self.paths.pop(id(df))[1])
+
+    def close(self) -> None:
+        self.paths.clear()
+        self._delete(self.root)
+        release(self.spark)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """names, each with as many underscores before it as keep it apart from df's columns, in any case of letters."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_held, matching, release, small_batches
+from .common import Scratch, cut, drop_held, matching, release, small_batches
 from .shingles import shingles_of, words_of
 
 T, TREES, BRANCH, LEVELS, LEAF, STAR = 256, 8, 2, 6, 2048, 8
@@ -169,7 +169,7 @@ def _met(leaves: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(_by_node(1, each), "a binary, b binary, block long").groupBy("a", "b").agg(F.min("block").alias("block"))
 
 
-def _all_links(leaves: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, k: int) -> DataFrame:
+def _all_links(scratch: Scratch, leaves: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, k: int) -> DataFrame:
     """All confirmed links within nodes. Candidates live in the task that confirms them and are never rows of their own,
     so that what travels follows the sets and not their pairs."""
 
@@ -196,14 +196,16 @@ def _all_links(leaves: DataFrame, classes: DataFrame, docs: DataFrame, threshold
     columns = ["node", "cid", "n", "first", "sig", "label", "side", "tree", "big"]
     tokens = classes.select("cid", "n", "first", "sig")
     nodes = leaves.join(tokens, "cid").select(columns).repartition("node").sortWithinPartitions("node")
-    uses = cut(nodes.mapInArrow(_by_node(1, partners), "node long, cid binary").distinct().join(leaves, ["node", "cid"]).join(classes.select("cid", "n", "first", "sig", "doc"), "cid"))
+    uses = scratch.cut(nodes.mapInArrow(_by_node(1, partners), "node long, cid binary").distinct().join(leaves, ["node", "cid"]).join(classes.select("cid", "n", "first", "sig", "doc"), "cid"))
     chunks = uses.groupBy("node").agg(F.ceil(F.sum("n") / HELD).cast("int").alias("chunks"))
-    sets = full_sets(matching(docs.select("doc_id", "text"), cut(uses.select(F.col("doc").alias("doc_id")).distinct()), "doc_id"), k).dropDuplicates(["cid"])
+    sets = full_sets(matching(docs.select("doc_id", "text"), scratch.cut(uses.select(F.col("doc").alias("doc_id")).distinct()), "doc_id"), k).dropDuplicates(["cid"])
     rows = uses.join(chunks, "node").join(sets, "cid").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("node", "chunk", *columns[1:], "chunks", _chunk_of("items").alias("items"))
     found = rows.repartition("node", "chunk").sortWithinPartitions("node", "chunk").mapInArrow(_by_node(2, confirmed), "a binary, b binary, both long, either long")
     # a pair that met in several nodes is summed as often on both sides, so the comparison holds
-    return _reaching(found, threshold)
+    edges = _reaching(scratch, found, threshold)
+    scratch.drop(uses)
+    return edges
 
 
 def _overlap(own: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -222,9 +224,9 @@ def _chunk_of(items: str):
     return F.when(F.col("chunks") == 1, F.col(items)).otherwise(F.filter(items, lambda h: F.pmod(h, F.col("chunks")) == F.col("chunk")))
 
 
-def _reaching(found: DataFrame, threshold: float) -> DataFrame:
+def _reaching(scratch: Scratch, found: DataFrame, threshold: float) -> DataFrame:
     sums = found.groupBy("a", "b").agg(F.sum("both").alias("both"), F.sum("either").alias("either"))
-    return cut(sums.where(F.lit(100) * F.col("both") >= F.lit(round(threshold * 100)) * F.col("either")).select("a", "b"))
+    return scratch.cut(sums.where(F.lit(100) * F.col("both") >= F.lit(round(threshold * 100)) * F.col("either")).select("a", "b"))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,30 +258,37 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["a", "b", "both", "either"])
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, k: int) -> DataFrame:
+def _verified(scratch: Scratch, pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, k: int) -> DataFrame:
     """The pairs (a, b, block) whose full sets reach the threshold.
 
     A set goes once to each block that has pairs of it, not once to each pair. Blocks of more than HELD shingles are
     cut into chunks by shingle; what two sets share is the sum over the chunks.
     """
-    uses = cut(pairs.select("block", F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "n", "doc"), "cid"))
+    uses = scratch.cut(pairs.select("block", F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "n", "doc"), "cid"))
     chunks = uses.groupBy("block").agg(F.ceil(F.sum("n") / HELD).cast("int").alias("chunks"))
     each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
-    sets = full_sets(matching(docs.select("doc_id", "text"), cut(uses.select(F.col("doc").alias("doc_id")).distinct()), "doc_id"), k)
+    sets = full_sets(matching(docs.select("doc_id", "text"), scratch.cut(uses.select(F.col("doc").alias("doc_id")).distinct()), "doc_id"), k)
     sets = uses.select("block", "cid").join(chunks, "block").join(sets, "cid").select("block", "chunks", each, F.lit(0).alias("kind"), F.col("cid").alias("a"), F.lit(None).cast("binary").alias("b"), "items")
     asked = pairs.join(chunks, "block").select("block", each, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("items"))
     rows = sets.withColumn("items", _chunk_of("items")).drop("chunks").unionByName(asked)
     found = rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "kind", "a").mapInArrow(_shared, "a binary, b binary, both long, either long")
-    return _reaching(found, threshold)
+    edges = _reaching(scratch, found, threshold)
+    scratch.drop(uses)
+    return edges
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """cid and root, the smallest cid that it reaches, of all in edges (a, b): large-star and small-star steps."""
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """cid and root, the smallest cid that it reaches, of all in edges (a, b): large-star and small-star steps.
+
+    Each round is written once and the round before it deleted; the count and digest that tell whether a round changed
+    anything are read from what was written.
+    """
+    scratch = scratch or Scratch(edges.sparkSession, "components")
 
     def state(x: DataFrame):
         return x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
+    e = scratch.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     seen = state(e)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -287,7 +296,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u != v").distinct()
-        e = cut(small)
+        last, e = e, scratch.cut(small)
+        scratch.drop(last)
         release(edges.sparkSession)
         now = state(e)
         if now == seen:
@@ -314,39 +324,45 @@ def _open(rows: DataFrame, *more) -> DataFrame:
     return rows.join(nodes.where("l0 != l1").drop("l0", "l1"), "node")
 
 
-def _stars(rows: DataFrame, attrs: DataFrame, threshold: float) -> DataFrame:
+def _stars(scratch: Scratch, rows: DataFrame, attrs: DataFrame, threshold: float) -> DataFrame:
     """For each set in nodes of more than STAR, the likeliest link to the smallest set of one of them."""
     likely, agree = _similar(threshold)
     pairs = rows.where(f"size > {STAR} and cid != pivot").select("cid", "pivot").distinct()
     pairs = pairs.join(attrs, "cid").join(attrs.toDF("pivot", "n_b", "sig_b"), "pivot").where(likely)
-    best = cut(pairs.groupBy("cid").agg(F.max(F.struct(agree.alias("agree"), "pivot")).alias("best")).select("cid", "best.pivot"))
+    best = scratch.cut(pairs.groupBy("cid").agg(F.max(F.struct(agree.alias("agree"), "pivot")).alias("best")).select("cid", "best.pivot"))
     parts = best.groupBy("pivot").agg(F.ceil(F.count("*") / (LEAF // 2)).alias("parts"))
     block = F.xxhash64("pivot", F.pmod(F.xxhash64("cid"), F.col("parts")))
     return best.join(parts, "pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"), block.alias("block"))
 
 
-def link(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, threshold: float = 0.75, k: int = 5, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(signed, edges): every row's doc_id, cid and n; and the confirmed links between different sets.
 
-    Between the levels rows are narrow (node, tree, cid, label); tokens are joined to what is left of them.
+    Between the levels rows are narrow (node, tree, cid, label); tokens are joined to what is left of them. Both results
+    are tables of scratch, which the caller closes after them.
     """
-    signed = cut(signatures(docs, k))
+    scratch = scratch or Scratch(docs.sparkSession, "links")
+    whole = scratch.cut(signatures(docs, k))
+    signed = scratch.cut(whole.select("doc_id", "cid", "n"))
     firsts = signed.where("n > 0 and doc_id is not null").groupBy("cid", "n").agg(F.min("doc_id").alias("doc"))
-    tokens = signed.select(F.col("cid").alias("own"), "doc_id", "first", "sig")
-    classes = cut(firsts.join(tokens, (F.col("cid") == F.col("own")) & (F.col("doc") == F.col("doc_id"))).select("cid", "n", "doc", "first", "sig").dropDuplicates(["cid"]))
+    tokens = whole.select(F.col("cid").alias("own"), "doc_id", "first", "sig")
+    classes = scratch.cut(firsts.join(tokens, (F.col("cid") == F.col("own")) & (F.col("doc") == F.col("doc_id"))).select("cid", "n", "doc", "first", "sig").dropDuplicates(["cid"]))
+    scratch.drop(whole)
     attrs = classes.select("cid", "n", "sig")
 
     roots = classes.select("cid", F.posexplode("first").alias("tree", "token"))
     rows = roots.select(F.xxhash64("tree", "token").alias("node"), "tree", "cid", F.xxhash64("cid").alias("label"))
-    rows = cut(_open(rows, F.min("cid").alias("pivot")))
+    rows = scratch.cut(_open(rows, F.min("cid").alias("pivot")))
 
     linked = None
-    stars = cut(_stars(rows, attrs, threshold))
+    stars = scratch.cut(_stars(scratch, rows, attrs, threshold))
     if not stars.isEmpty():
-        linked = _verified(stars, classes, docs, threshold, k)
-        known = components(linked)
-        rows = rows.drop("label", "size", "pivot").join(known, "cid", "left").select("node", "tree", "cid", F.xxhash64(F.coalesce("root", "cid")).alias("label"))
-        rows = cut(_open(rows))
+        linked = _verified(scratch, stars, classes, docs, threshold, k)
+        known = components(linked, scratch)
+        renamed = rows.drop("label", "size", "pivot").join(known, "cid", "left").select("node", "tree", "cid", F.xxhash64(F.coalesce("root", "cid")).alias("label"))
+        last, rows = rows, scratch.cut(_open(renamed))
+        scratch.drop(last)
+    scratch.drop(stars)
 
     kept = ["node", "tree", "cid", "label"]
     large = rows.where(F.col("size") > LEAF)
@@ -355,31 +371,36 @@ def link(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> tuple[DataFram
     kept += ["side", "big"]
     leaves = leaves.select(kept)
     deeper = lambda df: df.withColumns({"tree": F.lit(0), "big": F.lit(0).cast("long")})  # noqa: E731  each pair is reported
+    levels = [rows]
     for level in range(1, LEVELS):
         if large.isEmpty():
             break
-        rows = cut(_open(_children(large.join(attrs, "cid"), level)))
+        rows = scratch.cut(_open(_children(large.join(attrs, "cid"), level)))
+        levels.append(rows)
         leaves = leaves.unionByName(deeper(rows.where(F.col("size") <= LEAF).withColumn("side", F.lit(0))).select(kept))
         large = rows.where(F.col("size") > LEAF)
     else:
         leaves = leaves.unionByName(deeper(_blocks(large)).select(kept))
 
-    release(docs.sparkSession)
     # Sets of large groups first follow their likeliest links; only pairs of what those leave apart are compared in full.
-    leaves, tokens = cut(leaves), classes.select("cid", "n", "first", "sig")
+    leaves, tokens = scratch.cut(leaves), classes.select("cid", "n", "first", "sig")
+    scratch.drop(*levels)
+    release(docs.sparkSession)
     for _ in range(ROUNDS):
-        likely = cut(_met(leaves.join(tokens, "cid"), threshold))
+        likely = scratch.cut(_met(leaves.join(tokens, "cid"), threshold))
         if likely.isEmpty():
             break
-        found = _verified(likely, classes, docs, threshold, k)
+        found = _verified(scratch, likely, classes, docs, threshold, k)
+        scratch.drop(likely)
         linked = found if linked is None else linked.union(found)
-        known = components(linked)
-        leaves = leaves.drop("label").join(known, "cid", "left").withColumn("label", F.xxhash64(F.coalesce("root", "cid"))).select(kept)
-        leaves = cut(_open(leaves).select(kept))
+        known = components(linked, scratch)
+        renamed = leaves.drop("label").join(known, "cid", "left").withColumn("label", F.xxhash64(F.coalesce("root", "cid"))).select(kept)
+        last, leaves = leaves, scratch.cut(_open(renamed).select(kept))
+        scratch.drop(last)
         release(docs.sparkSession)
 
-    release(docs.sparkSession)
-    edges = _all_links(leaves, classes, docs, threshold, k)
+    edges = _all_links(scratch, leaves, classes, docs, threshold, k)
+    scratch.drop(leaves, classes)
     return signed, edges if linked is None else edges.union(linked)
 
 
@@ -394,9 +415,14 @@ def _blocks(large: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id of its group), kept."""
-    signed, edges = link(docs, threshold, k)
-    roots = components(edges)
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id of its group), kept.
+
+    doc_id is to be an integer number; other columns, whatever their names, are ignored. The result is written before it
+    is returned, and everything that led to it is deleted.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    signed, edges = link(docs, threshold, k, scratch)
+    roots = components(edges, scratch)
     first = signed.where("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc"))
     found = roots.join(first, "cid")
     lowest = found.groupBy("root").agg(F.min("doc").alias("low"))
@@ -404,4 +430,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> Dat
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     rows = signed.where(~alone).join(grouped, "cid").select("doc_id", "n", F.col("low").alias("component_id"))
     rows = rows.union(signed.where(alone).select("doc_id", "n", F.col("doc_id")))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    rows = cut(rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
+    scratch.close()
+    return rows
