@@ -88,10 +88,11 @@ def test_op3_against_brute_force(spark):
 
 def test_op3_blocks_meet_within_the_radius():
     rng = random.Random(5)
-    blocks = decontam.blocks_of(39)
+    radius = decontam.radius_of(0.75)
+    blocks = decontam.blocks_of(radius)
     assert sorted(64 * w + low + i for parts in blocks for w, low, n in parts for i in range(n)) == list(range(128))
     for _ in range(200):
-        flipped = set(rng.sample(range(128), 39))
+        flipped = set(rng.sample(range(128), radius))
         assert any(all(64 * w + low + i not in flipped for w, low, n in parts for i in range(n)) for parts in blocks)
 
 
