@@ -605,25 +605,29 @@ def form_json(spark, d):
 
 # Languages
 
-_SIGNS = f"""signs as (select doc_id, text, len(list_filter(string_split_regex(lower(text), '[^\\p{{L}}]'), lambda w: list_contains({_IN(C.ENGLISH)}, w))) as en,
-  len(list_filter(string_split_regex(lower(text), '[^\\p{{L}}]'), lambda w: list_contains({_IN(C.GERMAN)}, w))) + len(regexp_extract_all(lower(text), '[äöüß]')) as de,
-  len(regexp_extract_all(text, '[پچژگ]')) as fa, len(regexp_extract_all(text, 'ة')) as ar from (select doc_id, left(text, 3000) as text from documents) where regexp_matches(text, '\\p{{L}}'))"""
+
+def _signs(name: str, text: str) -> str:
+    words = "string_split_regex(lower(text), '[^\\p{L}]')"
+    return f"""{name} as (select doc_id, len(list_filter({words}, lambda w: list_contains({_IN(C.ENGLISH)}, w))) as en, len(list_filter({words}, lambda w: list_contains({_IN(C.GERMAN)}, w))) + len(regexp_extract_all(lower(text), '[äöüß]')) as de,
+  len(regexp_extract_all(text, '[پچژگ]')) as fa, len(regexp_extract_all(text, 'ة')) as ar from (select doc_id, {text} as text from documents) where regexp_matches(text, '\\p{{L}}'))"""
+
+
 _TOP = "case when en >= greatest(de, fa, ar) then 'english' when de >= greatest(fa, ar) then 'german' when fa >= ar then 'persian' else 'arabic' end"
 
 
-@query(f"with {_SIGNS} select doc_id, {_TOP} as document from signs")
+@query(f"with {_signs('signs', 'left(text, 3000)')} select doc_id, {_TOP} as document from signs")
 def document_languages(spark, d):
+    """The rule looks at the first 3,000 characters of a document."""
     return language.document_languages(read(spark, d, "documents"))
 
 
-@query(f"""with {_SIGNS}, top as (select doc_id, {_TOP} as lang, en, de, fa, ar, en + de + fa + ar + 4 as n from signs),
-asked as (select q.doc_id as q_id, t.lang as document, q.lang as question, (case t.lang when 'english' then q.en when 'german' then q.de when 'persian' then q.fa else q.ar end + 1) / q.n as own
-  from top q join top t on t.doc_id = q.doc_id - q.doc_id % 2)
-select q_id, document, question from asked where question <> document and own < 0.2""")
+@query(f"""with {_signs("docs", "left(text, 3000)")}, {_signs("asked", "text")}, own as (select doc_id, {_TOP} as document from docs),
+q as (select doc_id as q_id, doc_id - doc_id % 2 as doc_id, {_TOP} as question, en, de, fa, ar, en + de + fa + ar + 4 as n from asked)
+select q_id, document, question from q join own using (doc_id) where question <> document and (case document when 'english' then en when 'german' then de when 'persian' then fa else ar end + 1) / n < 0.2""")
 def refused_questions(spark, d):
-    """The start of each document, asked of the even document before it."""
+    """Each document, asked of the even document before it."""
     docs = read(spark, d, "documents")
-    asked = docs.select(F.col("doc_id").alias("q_id"), (F.col("doc_id") - F.col("doc_id") % 2).alias("doc_id"), F.left("text", F.lit(3000)).alias("question"))
+    asked = docs.select(F.col("doc_id").alias("q_id"), (F.col("doc_id") - F.col("doc_id") % 2).alias("doc_id"), F.col("text").alias("question"))
     return language.refused(asked, docs)
 
 

@@ -102,13 +102,13 @@ def model_calls(spark, d):
     return forms.calls(answers, answers.select("form_id", F.inline(listed)))
 
 
-@query("""with k as (select doc_id, string_split(left(text, 400), '') as cs from documents where text is not null)
+@query("""with k as (select doc_id, string_split(text, '') as cs from documents where text is not null)
 select doc_id, '"' || array_to_string(list_transform(cs, lambda c: case when c = '"' then '\\"' when c = '\\' then '\\\\' when c = chr(10) then '\\n' when c = chr(13) then '\\r' when c = chr(9) then '\\t' when c = chr(8) then '\\b' when c = chr(12) then '\\f'
   when unicode(c) > 65535 then '\\u' || lower(to_hex(55296 + (unicode(c) - 65536) // 1024)) || '\\u' || lower(to_hex(56320 + (unicode(c) - 65536) % 1024))
   when unicode(c) > 127 or unicode(c) < 32 then '\\u' || lpad(lower(to_hex(unicode(c))), 4, '0') else c end), '') || '"' as json from k""")
 def json_strings(spark, d):
-    """The first 400 characters of every document as a JSON string of ASCII characters, as a label is in a model's tools."""
-    return read(spark, d, "documents").where("text is not null").select("doc_id", forms.json_string(F.left("text", F.lit(400))).alias("json"))
+    """Every document as a JSON string of ASCII characters, as labels are in a model's tools."""
+    return read(spark, d, "documents").where("text is not null").select("doc_id", forms.json_string(F.col("text")).alias("json"))
 
 
 # What stands around fields
