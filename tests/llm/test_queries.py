@@ -105,6 +105,34 @@ def test_op5_columns(spark):
         assert r.media_bytes > 0 and len(r.media_sha256) == 64 and f"sum={sum(padded)}" in r.feature
 
 
+def test_op5_one_row_takes_the_smallest_form():
+    import numpy as np
+
+    from pageloom.llm import webp
+
+    used = Counter()
+    for text in ("", "a", "ab" * 20, "hello world, hello world", "the quick brown fox jumps over the lazy dog", "0123456789" * 6, "x" * 64):
+        payload = media.payload_of(text.encode())
+        stored = media.store(payload)
+        assert media.load(stored) == payload and len(stored) <= len(webp.encode_samples(np.frombuffer(payload, np.uint8), 64))
+        used[stored == webp.encode_samples(np.frombuffer(payload, np.uint8), 64)] += 1
+    assert used[False] >= 3
+    assert media.store(media.payload_of(b"ab" * 20)) == media.store(media.payload_of(b"ab" * 20))
+
+
+@pytest.mark.parametrize("form", [{}, {"cache_bits": 5}, {"matches": True, "green": True}, {"mode": 11, "palette": True}])
+def test_webp_with_several_groups_of_codes(form):
+    import numpy as np
+
+    from pageloom.llm import webp
+
+    rng = np.random.default_rng(4)
+    img = rng.choice(rng.integers(0, 1 << 32, 30, dtype=np.uint64).astype(np.uint32), 33 * 21)
+    for groups in (2, 3, 5):
+        w, h, out = webp.decode(webp.encode(img, 33, groups=groups, **form))
+        assert (w, h) == (33, 21) and (out == img).all()
+
+
 def test_op6_columns(spark):
     texts = _texts(spark)
     rows = queries.op6_hilbert_shards(spark, SF).collect()
