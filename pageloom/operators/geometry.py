@@ -63,14 +63,14 @@ def page_check(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("strong", strong).where(F.col("strong") >= C.CHECK_COUNT).drop("strong")
 
 
-def suppressed(boxes: DataFrame, most: float = C.MAX_OVERLAP) -> DataFrame:
-    """boxes kept by greedy suppression within page and kind, strongest first, then by box_id."""
+def suppressed(boxes: DataFrame, most: float = C.MAX_OVERLAP, keys: tuple[str, ...] = ("page", "kind")) -> DataFrame:
+    """boxes kept by greedy suppression within keys, strongest first, then by box_id."""
     at = [boxes.columns.index(c) for c in ("score", *BOX)]
 
     def fold(rows):
         return [rows[i] for i in folds.nms([tuple(r[i] for i in at) for r in rows], most)]
 
-    return fold_runs(boxes, ["page", "kind"], ["box_id"], fold, boxes.schema)
+    return fold_runs(boxes, list(keys), ["box_id"], fold, boxes.schema)
 
 
 def merged(boxes: DataFrame) -> DataFrame:

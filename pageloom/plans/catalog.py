@@ -512,7 +512,7 @@ def ocr_rows(spark, d):
 
 @query(f"with {_OCR} select page_id, block::int as block, 0 as par, line::int as line, l::int as l, t::int as t, (l + 6 * length(text))::int as r, (t + 12)::int as b, 90.0::double as conf, text from ocr")
 def ocr_words(spark, d):
-    return tsv.parse(ocr_rows(spark, d))
+    return tsv.parse(ocr_rows(spark, d)).drop("ix")
 
 
 def numbered_words(spark, d):

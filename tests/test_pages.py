@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pageloom import models
 from pageloom.functions import folds, grids
-from pageloom.operators import forms, geometry, labels
+from pageloom.operators import detect, forms, geometry, labels, ocr
 from pageloom.operators.pdf import cut_at_lines
 from pageloom.sources import form_input
 
@@ -110,3 +110,37 @@ def test_regions_and_order(spark):
     assert [(r.region, r.y0, r.y1) for r in geometry.regions(pages).collect()] == [(0, 0, 1000), (1, 0, 560), (2, 440, 1000)]
     boxes = spark.createDataFrame([(1, 1, "choice", 0.9, True, 0.0, 0.0, 1.0, 1.0), (1, 2, "text", 0.3, None, 1.0, 2.0, 3.0, 4.0)], "page int, box_id long, kind string, score double, filled boolean, l double, t double, r double, b double")
     assert [round(v, 3) for v in geometry.flattened(boxes).first().v] == [0, 0.3, 1, 2, 3, 4, -1, 1, 0.9, 0, 0, 1, 1, 1]
+
+
+def test_fields_on_page_images(spark):
+    def detector():
+        def run(image):
+            assert image.shape == (3, 640, 640)
+            wide = [[100.0, 50.0 + 60 * i, 80.0, 20.0, 0.9, 0.8, 0.1, 0.0] for i in range(3)]
+            return [*wide, [100.0, 50.0, 80.0, 20.0, 0.9, 0.3, 0.6, 0.0], [300.0, 300.0, 9.0, 9.0, 0.1, 0.9, 0.0, 0.0]]
+
+        return run
+
+    white = bytes([255] * 4 * 640 * 640)
+    pages = spark.createDataFrame([(1, white, 640, 640), (2, b"bad", 640, 640), (3, None, None, None)], "page long, rgba binary, width int, height int")
+    assert {r.page: r.error is None for r in detect.checked(pages).collect()} == {1: True, 2: False, 3: False}
+    one = detect.find_fields(pages, detector, tiles=False).collect()
+    assert [(r.page, r.kind, r.l, r.t, round(r.score, 2), r.filled) for r in one] == [(1, "text", 60.0, 40.0 + 60 * i, 0.72, None) for i in range(3)]
+    assert detect.find_fields(pages, lambda: lambda image: [[100.0, 50.0, 80.0, 20.0, 0.9, 0.8, 0.1, 0.0]], tiles=False).count() == 0
+    tiled = detect.find_fields(pages, detector, lambda: lambda crop: (0.0, float(crop.mean())))
+    assert tiled.where("kind = 'text' and filled").count() >= 6 and geometry.overlapping(tiled).count() == 0
+    prepared = spark.createDataFrame([(7, bytes(3 * 640 * 640), 0.5)], "page long, rgb binary, scale double")
+    assert [(r.l, r.t) for r in detect.find_prepared(prepared, detector).collect()] == [(120.0, 80.0 + 120 * i) for i in range(3)]
+
+
+def test_scanned_pages(spark):
+    row = lambda block, line, left, top, text, conf: "\t".join(map(str, (5, 1, block, 1, line, 1, left, top, 8 * len(text), 12, conf, text)))
+    tsv_text = "\n".join(["level\tpage", *[row(1, i, 0, 20 * i, t, 90) for i, t in enumerate(("der", "und", "mit"))], row(2, 9, 0, 90, "das", 80)])
+    model = lambda: lambda grey, w, h, codes: tsv_text if codes in ("eng", "eng+deu") else ""
+    pages = spark.createDataFrame([(1, bytes(4 * 9), 3, 3, ["english", "german"]), (2, b"bad", 3, 3, ["english"])], "page_id long, rgba binary, width int, height int, languages array<string>")
+    texts, words = ocr.read(pages, model)
+    assert [tuple(r) for r in texts.collect()] == [(1, "der und mit\n\ndas", 0.9)]
+    assert [(r.text, r.line_no, r.confidence) for r in words.orderBy("ix").collect()] == [("der", 0, 0.9), ("und", 1, 0.9), ("mit", 2, 0.9), ("das", 3, 0.8)]
+    found = ocr.languages(pages.drop("languages"), lambda: lambda g, w, h: ("Latin", 2.0), model)
+    assert [tuple(r) for r in found.collect()] == [(1, "Latin", "de")]
+    assert [tuple(r) for r in ocr.languages(pages.drop("languages"), lambda: lambda g, w, h: ("Latin", 1.0), model).collect()] == [(1, None, None)]
