@@ -421,15 +421,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> Dat
     is returned, and everything that led to it is deleted.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    signed, edges = link(docs, threshold, k, scratch)
-    roots = components(edges, scratch)
-    first = signed.where("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc"))
-    found = roots.join(first, "cid")
-    lowest = found.groupBy("root").agg(F.min("doc").alias("low"))
-    grouped = first.join(found.join(lowest, "root").select("cid", "low"), "cid", "left").select("cid", F.coalesce("low", "doc").alias("low"))
-    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    rows = signed.where(~alone).join(grouped, "cid").select("doc_id", "n", F.col("low").alias("component_id"))
-    rows = rows.union(signed.where(alone).select("doc_id", "n", F.col("doc_id")))
-    rows = cut(rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
-    scratch.close()
-    return rows
+    try:
+        signed, edges = link(docs, threshold, k, scratch)
+        roots = components(edges, scratch)
+        first = signed.where("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc"))
+        found = roots.join(first, "cid")
+        lowest = found.groupBy("root").agg(F.min("doc").alias("low"))
+        grouped = first.join(found.join(lowest, "root").select("cid", "low"), "cid", "left").select("cid", F.coalesce("low", "doc").alias("low"))
+        alone = (F.col("n") == 0) | F.col("doc_id").isNull()
+        rows = signed.where(~alone).join(grouped, "cid").select("doc_id", "n", F.col("low").alias("component_id"))
+        rows = rows.union(signed.where(alone).select("doc_id", "n", F.col("doc_id")))
+        return cut(rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
+    finally:
+        scratch.close()
