@@ -81,7 +81,8 @@ def questions_of(spark, d):
     short = b.where("size(ws) < 8")
     if not short.isEmpty():
         pairs = pairs.unionByName(docs.join(short, F.contains("text", "question")).select("doc_id", "item_id", "question"))
-    return pairs.select((F.col("item_id") * 1000000 + F.col("doc_id")).alias("q_id"), "doc_id", "question")
+    # a few rows that a query asks for several times: kept, as a table of questions would be
+    return pairs.select((F.col("item_id") * 1000000 + F.col("doc_id")).alias("q_id"), "doc_id", "question").cache()
 
 
 _TERMS = f"""{_CHUNKS}, toks as (select doc_id, chunk_ix, unnest({_words_sql("text")}) as token from chunks),
