@@ -144,3 +144,17 @@ def test_scanned_pages(spark):
     found = ocr.languages(pages.drop("languages"), lambda: lambda g, w, h: ("Latin", 2.0), model)
     assert [tuple(r) for r in found.collect()] == [(1, "Latin", "de")]
     assert [tuple(r) for r in ocr.languages(pages.drop("languages"), lambda: lambda g, w, h: ("Latin", 1.0), model).collect()] == [(1, None, None)]
+
+
+def test_merged_fields(spark):
+    rows = [
+        (1, 1, "text", 0.9, 0.0, 0.0, 10.0, 10.0),
+        (1, 2, "text", 0.8, 0.0, 0.0, 10.0, 9.0),  # the same place as 1
+        (1, 3, "choice", 0.5, 1.0, 1.0, 9.0, 9.0),  # covered by 1, of another kind
+        (1, 4, "text", 0.1, 50.0, 0.0, 60.0, 10.0),  # too weak
+        (1, 5, "choice", 0.9, 8.0, 0.0, 30.0, 10.0),  # overlaps 1 by little
+        (2, 6, "choice", 0.3, 1.0, 1.0, 9.0, 9.0),
+    ]
+    boxes = spark.createDataFrame(rows, "page int, box_id long, kind string, score double, l double, t double, r double, b double")
+    assert sorted(r.box_id for r in geometry.merged(boxes).collect()) == [1, 5, 6]
+    assert [r.box_id for r in geometry.ordered(geometry.merged(boxes)).where("page = 1").orderBy("place").collect()] == [1, 5]
