@@ -1,13 +1,16 @@
 """Lossless WebP (the VP8L bitstream of RFC 9649): reading, and writing enough to store samples.
 
 decode() handles prefix codes (simple and normal, one group or several), back-references, the colour cache and the
-predictor, cross-colour, subtract-green and palette transforms. Streams of literals whose red, blue and alpha codes
-have one symbol each, as encode_samples() writes them, are read for all bit positions at once.
+predictor, cross-colour, subtract-green and palette transforms. Streams of literals and copies whose red, blue and alpha
+codes have one symbol each, as encode_smallest() mostly writes them, are read for all bit positions at once.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
+import math
+import operator
 import struct
 
 import numpy as np
@@ -28,6 +31,16 @@ NEAR = (
 )
 _HASH = 0x1E35A7BD
 BLACK = 0xFF000000
+MAX_COPY = 4096
+BLOCK = 1920  # bytes whose bit positions are looked at together
+FARTHEST = (1 << 20) - len(NEAR)
+
+# By prefix code of a length or distance: how many extra bits it has, and the least value.
+_EXTRA = np.array([max(0, (k - 2) >> 1) for k in range(40)], np.int32)
+_LEAST = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(40)], np.int64)
+_KIND = np.repeat(np.arange(40, dtype=np.uint8), 1 << _EXTRA)  # of each value from 1
+_ONES = (1 << np.arange(20)) - 1
+_EIGHT = np.arange(8)
 
 
 class BadImage(ValueError):
@@ -78,15 +91,43 @@ def _places(lengths: list[int]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray
 
 def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     """symbol: (bits as they are stored, length)."""
-    width, symbols, sizes, spread = _places(lengths)
-    bits = _reversed_bits(width)[np.cumsum(spread) - spread]
-    return dict(zip(symbols.tolist(), zip(bits.tolist(), sizes.tolist(), strict=True), strict=True))
+    return _canonical([(n, s) for s, n in enumerate(lengths) if n])
+
+
+def _canonical(sizes: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
+    codes, code, before = {}, 0, 0
+    for n, s in sorted(sizes):
+        code <<= n - before
+        codes[s] = (_turned_bits(code, n), n)
+        code, before = code + 1, n
+    return codes
+
+
+def _small_table(lengths: list[int]) -> tuple[int, list[int], list[int]]:
+    """Of a code of code lengths: its width, and symbols and sizes by the next bits."""
+    used = [(n, s) for s, n in enumerate(lengths) if n]
+    if not used:
+        raise BadImage("a prefix code is empty")
+    if len(used) == 1:
+        return 0, [used[0][1]], [0]
+    width = max(used)[0]
+    if sum(1 << (width - n) for n, _ in used) != 1 << width:
+        raise BadImage("a prefix code is not complete")
+    symbols, sizes = [0] * (1 << width), [0] * (1 << width)
+    for s, (code, n) in _canonical(used).items():
+        many = 1 << (width - n)
+        symbols[code :: 1 << n] = [s] * many
+        sizes[code :: 1 << n] = [n] * many
+    return width, symbols, sizes
 
 
 class _Code:
     """A prefix code as a table over the next `width` bits."""
 
-    def __init__(self, lengths: list[int]):
+    def __init__(self, lengths: list[int], only: int | None = None):
+        if only is not None:
+            self.only, self.width, self.symbols, self.sizes = only, 0, [only], [0]
+            return
         used = [s for s, n in enumerate(lengths) if n]
         if not used:
             raise BadImage("a prefix code is empty")
@@ -94,13 +135,12 @@ class _Code:
         if self.only is not None:
             self.width, self.symbols, self.sizes = 0, [self.only], [0]
             return
-        self.width = max(lengths)
+        self.width, symbols, sizes, spread = _places(lengths)
         if self.width > MAX_LENGTH:
             raise BadImage("a prefix code is too long")
-        width, symbols, sizes, spread = _places(lengths)
-        turned = _reversed_bits(width)
-        self.symbols = np.repeat(symbols, spread)[turned]
-        self.sizes = np.repeat(sizes, spread)[turned]
+        turned = _reversed_bits(self.width)
+        self.symbols = np.repeat(symbols, spread).take(turned)
+        self.sizes = np.repeat(sizes, spread).take(turned)
 
     def read(self, bits: _Bits) -> int:
         if self.width == 0:
@@ -113,33 +153,44 @@ class _Code:
 
 
 def _read_code(bits: _Bits, size: int) -> _Code:
-    lengths = [0] * size
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        for s in [bits.read(8 if wide else 1), *([bits.read(8)] if two else [])]:
-            if s >= size:
-                raise BadImage("a symbol is out of range")
-            lengths[s] = 1
-        return _Code(lengths)
+        symbols = [bits.read(8 if wide else 1), *([bits.read(8)] if two else [])]
+        if max(symbols) >= size:
+            raise BadImage("a symbol is out of range")
+        if len(set(symbols)) == 1:
+            return _Code([], symbols[0])
+        return _Code([int(s in symbols) for s in range(max(symbols) + 1)])
+    lengths = [0] * size
     of_lengths = [0] * 19
     for i in range(4 + bits.read(4)):
         of_lengths[CODE_ORDER[i]] = bits.read(3)
-    code = _Code(of_lengths)
+    width, symbols, sizes = _small_table(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     at, before = 0, 8
+    start = bits.pos >> 3
+    coming = int.from_bytes(bits.data[start : start + 2 * size + 2], "little") >> (bits.pos & 7)  # 14 bits a length at most
+    mask = (1 << width) - 1
     while at < size and left:
         left -= 1
-        n = code.read(bits)
+        n, used = symbols[coming & mask], sizes[coming & mask]
+        coming >>= used
         if n < 16:
             lengths[at] = n
             at += 1
             before = n or before
-            continue
-        many, value = (3 + bits.read(2), before) if n == 16 else (3 + bits.read(3), 0) if n == 17 else (11 + bits.read(7), 0)
-        if at + many > size:
-            raise BadImage("a run of code lengths is too long")
-        lengths[at : at + many] = [value] * many
-        at += many
+        else:
+            more = 2 if n == 16 else 3 if n == 17 else 7
+            many = (11 if n == 18 else 3) + (coming & ((1 << more) - 1))
+            coming >>= more
+            used += more
+            if at + many > size:
+                raise BadImage("a run of code lengths is too long")
+            lengths[at : at + many] = [before if n == 16 else 0] * many
+            at += many
+        bits.pos += used
+    if bits.pos > bits.end:
+        raise BadImage("the bitstream ends early")
     return _Code(lengths)
 
 
@@ -150,43 +201,95 @@ def _long(bits: _Bits, code: int) -> int:
     return ((2 + (code & 1)) << extra) + bits.read(extra) + 1
 
 
-def _chain(bits: _Bits, code: _Code, n: int) -> np.ndarray | None:
-    """The next n symbols, if all are literals: successors of all bit positions, and a walk by eight at a time."""
+def _walk(to: np.ndarray, at: int) -> np.ndarray:
+    """Positions from `at` on, as `to` leads from each to the next, by eight at a time; its last entry, the end, leads to itself."""
+    end = len(to) - 1
+    to2 = to.take(to)
+    to4 = to2.take(to2)
+    jump, starts = memoryview(to4.take(to4)), []
+    while at < end:
+        starts.append(at)
+        at = jump[at]
+    p = np.empty((len(starts), 8), np.int64)
+    p[:, 0] = starts
+    p[:, 4] = to4.take(p[:, 0])
+    p[:, 2::4] = to2.take(p[:, 0::4])
+    p[:, 1::2] = to.take(p[:, 0::2])
+    p = p.reshape(-1)
+    return p[: p.searchsorted(end)]
+
+
+_steps_back: dict[int, np.ndarray] = {}
+
+
+def _near(width: int) -> np.ndarray:
+    """By short distance code, from 1: the pixels to go back."""
+    if width not in _steps_back:
+        _steps_back[width] = np.array([0, *(max(1, x + y * width) for x, y in NEAR)])
+    return _steps_back[width]
+
+
+def _chain(bits: _Bits, code: _Code, far_code: _Code, n: int, width: int) -> np.ndarray | None:
+    """The next n green values where literals and copies are all there is: successors of all bit positions, and a walk."""
     if code.width == 0:
         return np.full(n, code.only, np.int32) if code.only < 256 else None
     first = bits.pos >> 3
-    raw = np.frombuffer(bits.data, np.uint8, offset=first)[: (n * code.width + 7) // 8 + 1]
-    b = np.zeros(len(raw) + 2, np.int32)
-    b[:-2] = raw
-    near = b[:-2] | (b[1:-1] << 8) | (b[2:] << 16)
-    ahead = ((near[:, None] >> np.arange(8, dtype=np.int32)) & ((1 << code.width) - 1)).reshape(-1)
-    end = len(ahead)
-    step = code.sizes[ahead]
-    step += np.arange(end, dtype=np.int32)
-    np.minimum(step, end, out=step)
-    to = np.append(step, np.int32(end))
-    to2 = to[to]
-    to4 = to2[to2]
-    to8 = to4[to4]
-    jump, at = memoryview(to8), bits.pos & 7
-    starts = [at]
-    for _ in range((n - 1) // 8):
-        at = jump[at]
-        starts.append(at)
-    p = np.empty((len(starts), 8), np.int32)
-    p[:, 0] = starts
-    p[:, 4] = to4[p[:, 0]]
-    p[:, 2::4] = to2[p[:, 0::4]]
-    p[:, 1::2] = to[p[:, 0::2]]
-    p = p.reshape(-1)[:n]
-    out = code.symbols[ahead[np.minimum(p, end - 1)]]
-    if out[p < end].max(initial=0) >= 256:
-        return None  # what seems to come after the first such symbol means nothing
-    last = int(to[p[-1]])
-    if p[-1] >= end or last + 8 * first > bits.end:
+    raw = bits.data[first : first + (n * (code.width + far_code.width + 28) + 7) // 8 + 1]
+    words = np.ndarray(len(raw) + 9, "<u4", raw + bytes(12), strides=(1,)).astype(np.int64)
+    coming = lambda at: words.take(at >> 3) >> (at & 7)
+    copies = code.symbols >= 256
+    some = copies.any()
+    extra = np.where(copies, _EXTRA[np.maximum(code.symbols - 256, 0)], 0)
+    far_symbols, far_sizes = np.array(far_code.symbols), np.array(far_code.sizes)
+    far_ahead = lambda at: coming(at) & ((1 << far_code.width) - 1)
+    own_steps, far_steps = (code.sizes + extra).astype(np.int64), far_sizes + _EXTRA[far_symbols]
+    parts, at = [], bits.pos & 7
+    for start in range(0, len(raw), BLOCK):
+        end = 8 * min(BLOCK, len(raw) - start)
+        if at - 8 * start >= end:
+            break
+        ahead = ((words[start : start + (end >> 3), None] >> _EIGHT) & ((1 << code.width) - 1)).reshape(-1)
+        step = own_steps.take(ahead)
+        if some:
+            c = copies.take(ahead).nonzero()[0]
+            half = step.take(c)
+            step[c] = half + far_steps.take(far_ahead(c + half + 8 * start))
+        to = np.arange(end + 1)
+        to[:end] += step
+        np.minimum(to[-64:], end, out=to[-64:])  # a token has 58 bits at most
+        p = _walk(to, at - 8 * start)
+        parts.append((p + 8 * start, ahead.take(p), step.take(p)))
+        at = int(parts[-1][0][-1] + parts[-1][2][-1])
+    if not parts:
+        raise BadImage("the bitstream ends early")
+    p, seen, step = parts[0] if len(parts) == 1 else map(np.concatenate, zip(*parts, strict=True))
+    out = code.symbols.take(seen)
+    c = (out >= 256).nonzero()[0]
+    at = p[c] + code.sizes[seen[c]]
+    many = np.ones(len(p), np.int64)
+    many[c] = _LEAST[out[c] - 256] + (coming(at) & _ONES[extra[seen[c]]])
+    after = np.cumsum(many)
+    last = int(np.searchsorted(after, n))
+    if last == len(p) or p[last] + step[last] + 8 * first > bits.end:
         raise BadImage("the bitstream ends early")
-    bits.pos = last + 8 * first
-    return out
+    bits.pos = int(p[last] + step[last]) + 8 * first
+    p, out, many, after = p[: last + 1], out[: last + 1], many[: last + 1], after[: last + 1]
+    c = c[: np.searchsorted(c, last, "right")]
+    if not len(c):
+        return out
+    at = at[: len(c)] + extra[seen[c]]
+    kind = far_ahead(at)
+    at, kind = at + far_sizes[kind], far_symbols[kind]
+    far = _LEAST[kind] + (coming(at) & _ONES[_EXTRA[kind]])
+    far = np.where(far > len(NEAR), far - len(NEAR), _near(width)[np.minimum(far, len(NEAR))])
+    if after[-1] != n or (far > (after - many)[c]).any():
+        raise BadImage("a back-reference is out of range")
+    back = np.zeros(len(p), np.int64)
+    back[c] = far
+    source = np.arange(n) - np.repeat(back, many)
+    while not (source == (older := source.take(source))).all():
+        source = older
+    return np.repeat(out, many).take(source)
 
 
 def _read_pixels(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -206,7 +309,7 @@ def _read_pixels(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray
     n = width * height
     if many == 1 and not cache_bits and all(c.width == 0 for c in groups[0][1:4]):
         at = bits.pos
-        green = _chain(bits, groups[0][0], n)
+        green = _chain(bits, groups[0][0], groups[0][4], n, width)
         if green is not None:
             rest = (groups[0][1].only << 16) | groups[0][2].only | (groups[0][3].only << 24)
             return (green.astype(np.uint32) << np.uint32(8)) | np.uint32(rest)
@@ -416,31 +519,62 @@ class _Out:
         self.n += n
 
 
-def code_lengths(counts: list[int]) -> list[int]:
-    """Lengths of a prefix code of at most MAX_LENGTH bits; a lone symbol gets 1."""
+def _code_sizes(counts: list[int], most: int = MAX_LENGTH) -> list[int]:
+    """Lengths of a prefix code of at most `most` bits for symbols with these counts, all above 0; a lone symbol gets 1."""
+    size = len(counts)
+    if size <= 2:
+        return [1] * size
+    bits = (2 * size).bit_length()
+    low = (1 << bits) - 1
     while True:
-        heap = [(c, s, s) for s, c in enumerate(counts) if c]
-        if len(heap) == 1:
-            return [int(c > 0) for c in counts]
+        heap = [c << bits | s for s, c in enumerate(counts)]
         heapq.heapify(heap)
-        up, new = {}, len(counts)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            up[a[2]] = up[b[2]] = new
-            heapq.heappush(heap, (a[0] + b[0], new, new))
-            new += 1
-        depth = {new - 1: 0}
-        for node in range(new - 2, -1, -1):
-            if node in up:
-                depth[node] = depth[up[node]] + 1
-        lengths = [depth.get(s, 0) if c else 0 for s, c in enumerate(counts)]
-        if max(lengths) <= MAX_LENGTH:
-            return lengths
+        up = [0] * (2 * size - 1)
+        for new in range(size, 2 * size - 1):
+            a = heapq.heappop(heap)
+            b = heap[0]
+            up[a & low] = up[b & low] = new
+            heapq.heapreplace(heap, (a >> bits) + (b >> bits) << bits | new)
+        depth = [0] * (2 * size - 1)
+        for node in range(2 * size - 3, -1, -1):
+            depth[node] = depth[up[node]] + 1
+        if max(depth) <= most:
+            return depth[:size]
         counts = [(c + 1) // 2 for c in counts]
 
 
+def code_lengths(counts: list[int]) -> list[int]:
+    """Lengths of a prefix code of at most MAX_LENGTH bits, by symbol; a lone symbol gets 1."""
+    used = [s for s, c in enumerate(counts) if c]
+    lengths = [0] * len(counts)
+    for s, n in zip(used, _code_sizes([counts[s] for s in used]), strict=True):
+        lengths[s] = n
+    return lengths
+
+
 def _put_code(out: _Out, lengths: list[int]) -> None:
     used = [s for s, n in enumerate(lengths) if n]
+    _put_sizes(out, used, [lengths[s] for s in used])
+
+
+@functools.cache
+def _zeros(gap: int) -> tuple[tuple[int, int, int], ...]:
+    """A gap between used symbols: symbols of the code of lengths, extra bits and their number."""
+    runs = []
+    while gap:
+        n = min(gap, 138)
+        runs += [(0, 0, 0)] * n if n < 3 else [(17, n - 3, 3) if n < 11 else (18, n - 11, 7)]
+        gap -= n
+    return tuple(runs)
+
+
+@functools.cache
+def _turned_bits(code: int, n: int) -> int:
+    return int(f"{code:0{n}b}"[::-1], 2)
+
+
+def _put_sizes(out: _Out, used: list[int], sizes: list[int]) -> None:
+    """The code whose used symbols, in order, have these lengths."""
     if len(used) <= 2 and max(used, default=0) < 256:
         used = used or [0]
         out.put(1 | (len(used) - 1) << 1 | 1 << 2, 3)
@@ -448,37 +582,31 @@ def _put_code(out: _Out, lengths: list[int]) -> None:
             out.put(s, 8)
         return
     runs, before = [], -1
-    for s in used:
-        gap = s - before - 1
-        while gap:
-            n = min(gap, 138)
-            runs += [(0, 0, 0)] * n if n < 3 else [(17, n - 3, 3) if n < 11 else (18, n - 11, 7)]
-            gap -= n
-        runs.append((lengths[s], 0, 0))
+    for s, size in zip(used, sizes, strict=True):
+        if s - before > 1:
+            runs += _zeros(s - before - 1)
+        runs.append((size, 0, 0))
         before = s
     counts = [0] * 19
-    for s, _, _ in runs:
-        counts[s] += 1
-    own = code_lengths(counts)
-    while max(own) > 7:
-        counts = [(c + 1) // 2 for c in counts]
-        own = code_lengths(counts)
-    many = max(i for i, s in enumerate(CODE_ORDER) if own[s]) + 1
-    out.put(0, 1)
-    out.put(max(many, 4) - 4, 4)
-    for s in CODE_ORDER[: max(many, 4)]:
-        out.put(own[s], 3)
-    out.put(1, 1)
+    for run in runs:
+        counts[run[0]] += 1
+    kinds = [s for s in range(19) if counts[s]]
+    own = dict(zip(kinds, _code_sizes([counts[s] for s in kinds], 7), strict=True))
+    many = max(4, 1 + max(map(CODE_ORDER.index, kinds)))
+    value, at = (many - 4) << 1, 5
+    for s in CODE_ORDER[:many]:
+        value |= own.get(s, 0) << at
+        at += 3
     size = len(runs) - 2
     wide = next(k for k in range(8) if size < 1 << (2 + 2 * k))
-    out.put(wide, 3)
-    out.put(size, 2 + 2 * wide)
-    codes = canonical(own)
-    alone = len(codes) == 1
+    value |= (1 | wide << 1 | size << 4) << at
+    at += 6 + 2 * wide
+    codes = _canonical([(n, s) for s, n in own.items()]) if len(own) > 1 else {kinds[0]: (0, 0)}
     for s, extra, n in runs:
-        if not alone:
-            out.put(*codes[s])
-        out.put(extra, n)
+        code, length = codes[s]
+        value |= (code | extra << length) << at
+        at += length + n
+    out.put(value, at)
 
 
 def _wrapped(bits: bytes) -> bytes:
@@ -486,49 +614,6 @@ def _wrapped(bits: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(bits) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(bits)) + bits + pad
 
 
-def _grey() -> tuple[int, int]:
-    """The codes of red, blue, alpha and distance in a grey picture: one symbol each."""
-    out = _Out()
-    for s in (0, 0, 255, 0):
-        _put_code(out, [0] * s + [1])
-    return out.value, out.n
-
-
-_GREY = _grey()
-
-
-def encode_samples(samples: np.ndarray, width: int) -> bytes:
-    """A grey picture of 8-bit samples, row by row: subtract-green leaves them in the green channel alone."""
-    height = len(samples) // width
-    out = _Out()
-    out.put(0x2F | (width - 1) << 8 | (height - 1) << 22, 40)
-    out.put(1 | SUBTRACT_GREEN << 1, 3)
-    out.put(0, 3)  # no more transforms, no colour cache, one group of codes
-    lengths = code_lengths(np.bincount(samples, minlength=280).tolist())
-    _put_code(out, lengths)
-    out.put(*_GREY)
-    used = np.flatnonzero(lengths)
-    if len(used) == 1:
-        return _wrapped(out.value.to_bytes((out.n + 7) // 8, "little"))
-    width, symbols, sizes, spread = _places(lengths)
-    bits_of, size_of = np.zeros(256, np.int32), np.zeros(256, np.int32)
-    bits_of[symbols], size_of[symbols] = _reversed_bits(width)[np.cumsum(spread) - spread], sizes
-    sizes = size_of[samples]
-    ends = np.cumsum(sizes) + (out.n & 7)
-    at = ends - sizes
-    first = at >> 3
-    moved = bits_of[samples] << (at & 7)  # at most 22 bits, over three bytes that no other code's bits share
-    body = np.zeros(int(ends[-1] + 7) // 8 + 2, np.uint8)
-    for k in range(3):
-        part = np.bincount(first, (moved >> (8 * k)) & 255)
-        body[k : k + len(part)] += part.astype(np.uint8)
-    head = out.value.to_bytes((out.n + 7) // 8, "little")
-    whole = out.n >> 3
-    if out.n & 7:
-        body[0] += head[whole]
-    return _wrapped(head[:whole] + body[: int(ends[-1] + 7) // 8].tobytes())
-
-
 def _prefix(v: int) -> tuple[int, int, int]:
     """Prefix code, extra bits and their number of a length or distance from 1."""
     v -= 1
@@ -547,7 +632,7 @@ def _put_pixels(out: _Out, px: list[int], width: int, main: bool, cache_bits: in
     while i < len(px):
         n, far = 0, 0
         if matches and (j := last.get(tuple(px[i : i + 3]))) is not None:
-            while i + n < len(px) and n < 4096 and px[j + n] == px[i + n]:
+            while i - j <= FARTHEST and i + n < len(px) and n < MAX_COPY and px[j + n] == px[i + n]:
                 n += 1
             far = i - j
         if n >= 3:
@@ -599,6 +684,36 @@ def _put_pixels(out: _Out, px: list[int], width: int, main: bool, cache_bits: in
             out.put(extra, n)
 
 
+def _put_palette(out: _Out, colours: list[int]) -> None:
+    out.put(1 | PALETTE << 1 | (len(colours) - 1) << 3, 11)
+    parts = np.array(colours, np.uint32).view(np.uint8).reshape(-1, 4)
+    steps = np.diff(parts, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
+    _put_pixels(out, np.ascontiguousarray(steps).view(np.uint32).reshape(-1).tolist(), len(colours), False)
+
+
+def _packed(index: np.ndarray, width: int, colours: int) -> tuple[np.ndarray, int]:
+    """Indices of a palette, several to a pixel if it is small, and the width in such pixels."""
+    shift = 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
+    across = (width + (1 << shift) - 1) >> shift
+    wide = np.zeros((len(index) // width, across << shift), np.uint32)
+    wide[:, :width] = index.reshape(-1, width)
+    places = np.arange(1 << shift, dtype=np.uint32) * np.uint32(8 >> shift)
+    return (wide.reshape(len(wide), across, 1 << shift) << places).sum(axis=2).astype(np.uint32).reshape(-1), across
+
+
+def _put_predictor(out: _Out, mode: int, width: int, height: int) -> None:
+    """One mode for the whole picture, in tiles as large as they can be."""
+    out.put(1 | PREDICTOR << 1 | 7 << 3, 6)
+    out.put(*_one_mode(mode, (width + 511) >> 9, (height + 511) >> 9))
+
+
+@functools.cache
+def _one_mode(mode: int, across: int, down: int) -> tuple[int, int]:
+    out = _Out()
+    _put_pixels(out, [BLACK | mode << 8] * (across * down), across, False)
+    return out.value, out.n
+
+
 def encode(px: np.ndarray, width: int, mode: int | None = None, cross: tuple[int, int, int] | None = None, palette: bool = False, green: bool = False, cache_bits: int = 0, matches: bool = False, groups: int = 1) -> bytes:
     """A small writer for ARGB pixels that can use each feature that decode() reads; pixel by pixel, so not for bulk."""
     height = len(px) // width
@@ -611,21 +726,11 @@ def encode(px: np.ndarray, width: int, mode: int | None = None, cross: tuple[int
         colours = sorted(set(px.tolist()))
         if len(colours) > 256:
             raise ValueError("more than 256 colours")
-        shift = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
-        out.put(1 | PALETTE << 1 | (len(colours) - 1) << 3, 11)
-        parts = np.array(colours, np.uint32).view(np.uint8).reshape(-1, 4)
-        steps = np.diff(parts, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
-        _put_pixels(out, np.ascontiguousarray(steps).view(np.uint32).reshape(-1).tolist(), len(colours), False)
-        index = np.searchsorted(np.array(colours, np.uint32), px).reshape(height, width)
-        across = (width + (1 << shift) - 1) >> shift
-        wide = np.zeros((height, across << shift), np.uint32)
-        wide[:, :width] = index
-        size = 8 >> shift
-        px = ((wide.reshape(height, across, 1 << shift) << (np.arange(1 << shift, dtype=np.uint32) * np.uint32(size))).sum(axis=2).astype(np.uint32) << np.uint32(8)).reshape(-1) | np.uint32(BLACK)
+        _put_palette(out, colours)
+        index, across = _packed(np.searchsorted(np.array(colours, np.uint32), px), width, len(colours))
+        px = (index << np.uint32(8)) | np.uint32(BLACK)
     if mode is not None:
-        out.put(1 | PREDICTOR << 1 | 7 << 3, 6)
-        w = (across + 511) >> 9
-        _put_pixels(out, [BLACK | mode << 8] * (w * ((height + 511) >> 9)), w, False)
+        _put_predictor(out, mode, across, height)
         v = px.tolist()
         minus = lambda a, b: _join((x - y) & 255 for x, y in zip(_split(a), _split(b), strict=True))
         px = np.array([minus(x, predicted(mode, v, i, across)) for i, x in enumerate(v)], np.uint32)
@@ -644,8 +749,261 @@ def encode(px: np.ndarray, width: int, mode: int | None = None, cross: tuple[int
     return _wrapped(out.value.to_bytes((out.n + 7) // 8, "little"))
 
 
-#: What encode() is asked for when a picture is tried in several forms.
+# Grey pictures, in whole arrays. Red and blue are 0 behind subtract-green or a palette, so one value a pixel is left.
+
+
+def _tokens(v: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Literals only: green symbols; and of the copies among them, none, the place, length and distance."""
+    none = np.empty(0, np.int64)
+    return v.astype(np.int64), none, none, none
+
+
+def _repeats(v: np.ndarray) -> np.ndarray:
+    """By place: where the three samples from there on came last, or -1."""
+    key = np.ndarray(len(v) - 2, "<u4", v.tobytes() + bytes(1), strides=(1,)).astype(np.int64)
+    key &= 0xFFFFFF
+    key <<= 20
+    key |= np.arange(len(key))
+    key.sort()
+    at = key & ((1 << 20) - 1)
+    key >>= 20
+    same = (key[1:] == key[:-1]).nonzero()[0]
+    before = np.full(len(v), -1, np.int32)
+    before[at[1:].take(same)] = at.take(same)
+    if len(v) > FARTHEST:
+        before[np.arange(len(v)) - before > FARTHEST] = -1
+    return before
+
+
+def _matched(v: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The tokens that _put_pixels() makes with matches: the longest copy from where three samples came last, else a literal."""
+    n = len(v)
+    # neighbours with one distance have one end, so the last of them alone is compared with what came before
+    last = before >= 0
+    last[:-1] &= before[1:] != before[:-1] + 1
+    ends = last.nonzero()[0]
+    if not len(ends):
+        return _tokens(v)
+    key = (ends - before.take(ends)) << 20 | ends
+    key.sort()
+    by, at = key >> 20, key & ((1 << 20) - 1)
+    # a copy that gets as far as the next one with its distance has that one's end
+    following = np.append(np.where(by[1:] == by[:-1], at[1:], n), n)
+    words = np.ndarray(n + 1, "<u8", v.tobytes() + bytes(8), strides=(1,)).copy()
+    here, live, end = at + 3, np.arange(len(at)), np.empty(len(at), np.int64)
+    while True:
+        differs = words.take(here) ^ words.take(here - by.take(live))
+        here += np.bitwise_count(~differs & (differs - np.uint64(1))) >> 3
+        end[live] = here
+        left = (differs == 0).nonzero()[0]
+        if not len(left):
+            break
+        live, here = live.take(left), here.take(left)
+        left = ((here < following.take(live)) & (here - at.take(live) < MAX_COPY)).nonzero()[0]
+        live, here = live.take(left), here.take(left)
+    linked = (end >= following) & (following < n)
+    if linked.any():
+        own = np.where(linked, len(at), np.arange(len(at)))
+        end = end.take(np.minimum.accumulate(own[::-1])[::-1])
+    reach = np.zeros(n, np.int64)
+    reach[at] = np.minimum(end, n)
+    end = np.append(reach.take(ends), 0)
+    place = np.arange(n)
+    size = np.minimum(end.take(np.cumsum(last) - last) - place, MAX_COPY)
+    size[before < 0] = 1
+    to = np.empty(n + 1, np.int64)
+    np.add(place, size, out=to[:n])
+    to[n] = n
+    p = _walk(to, 0)
+    many = size.take(p)
+    c = (many > 1).nonzero()[0]
+    return v.take(p).astype(np.int64), c, many[c].astype(np.int64), (p[c] - before[p[c]]).astype(np.int64)
+
+
+_CACHE_BITS = 4
+#: By grey value behind subtract-green: its place in the colour cache.
+_SLOT = (((np.arange(256, dtype=np.uint64) << np.uint64(8) | np.uint64(BLACK)) * np.uint64(_HASH) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - _CACHE_BITS)).astype(np.int64)
+
+
+def _cache_hits(v: np.ndarray) -> np.ndarray:
+    """Places of samples that the colour cache holds when they come: the last one in their slot was the same."""
+    at = _SLOT.take(v) << 20
+    at += np.arange(len(v))
+    at.sort()
+    at &= (1 << 20) - 1
+    by_slot = v.take(at)
+    return at[1:][by_slot[1:] == by_slot[:-1]]
+
+
+def _differences(v: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """What predictors 1 (left) and 11 (left or top) leave of grey samples."""
+    px = v.reshape(-1, width)
+    guess = np.zeros_like(px)
+    guess[:, 1:] = px[:, :-1]
+    guess[1:, 0] = px[:-1, 0]
+    if mode == 11:
+        left, top, corner = px[1:, :-1].astype(np.int16), px[:-1, 1:].astype(np.int16), px[:-1, :-1].astype(np.int16)
+        guess[1:, 1:] = np.where(np.abs(top - corner) < np.abs(left - corner), left, top)
+    return (px - guess).reshape(-1)
+
+
+def _log_prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_prefix() of many values: the codes, and the extra bits."""
+    kind = _KIND.take(v - 1).astype(np.int64)
+    return kind, v - _LEAST.take(kind)
+
+
+@functools.cache
+def _lone_codes(alpha: int) -> tuple[int, int]:
+    """The codes of red, blue and alpha."""
+    out = _Out()
+    for s in (0, 0, alpha):
+        _put_code(out, [0] * s + [1])
+    return out.value, out.n
+
+
+class _Picture:
+    """A grey picture up to its tokens: out ends with the five prefix codes, and bits is the size of the whole."""
+
+    def __init__(self, out: _Out, tokens: tuple[np.ndarray, ...], width: int, alpha: int = 255, cache_bits: int = 0):
+        self.out = out
+        green, self.c, size, far = tokens
+        if cache_bits:
+            out.put(1 | cache_bits << 1, 5)
+        else:
+            out.put(0, 1)
+        out.put(0, 1)
+        self.green, self.far = green, far
+        if len(self.c):
+            kind, self.more = _log_prefix(size)
+            self.more_bits = _EXTRA[kind]
+            self.green = green.copy()
+            self.green[self.c] = 256 + kind
+            near = _near(width)
+            short = np.zeros(near.max() + 1, np.int64)
+            short[near[:0:-1]] = np.arange(len(NEAR), 0, -1)
+            code = short[np.minimum(far, len(short) - 1)]
+            self.far, self.far_more = _log_prefix(np.where((far < len(short)) & (code > 0), code, far + len(NEAR)))
+        at = out.n
+        self.code, self.bits = self._put(self.green)
+        self.green_head = out.n - at
+        out.put(*_lone_codes(alpha))
+        if len(self.c):
+            self.far_code, bits = self._put(self.far)
+            self.bits += bits + int(self.more_bits.sum() + _EXTRA.take(self.far).sum())
+        else:
+            _put_sizes(out, [0], [1])
+        self.bits += out.n
+
+    def _put(self, symbols: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+        """Writes the code of symbols: those used and their lengths; and how many bits all symbols take."""
+        counts = np.bincount(symbols)
+        used = counts.nonzero()[0]
+        counts = counts.take(used).tolist()
+        sizes = _code_sizes(counts)
+        _put_sizes(self.out, used.tolist(), sizes)
+        return (used, np.array(sizes)), sum(map(operator.mul, counts, sizes)) if len(sizes) > 1 else 0
+
+    def __len__(self) -> int:
+        return _file_size(self.bits)
+
+    def write(self) -> bytes:
+        values, sizes = _codes_of(self.green, *self.code)
+        if len(self.c):
+            far, far_sizes = _codes_of(self.far, *self.far_code)
+            far |= self.far_more << far_sizes
+            far_sizes += _EXTRA.take(self.far)
+            values[self.c] |= self.more << sizes.take(self.c)
+            sizes[self.c] += self.more_bits + far_sizes
+        ends = sizes.cumsum()
+        ends += self.out.n & 31
+        total = int(ends[-1])
+        at = ends - sizes
+        if len(self.c):
+            at, values = np.concatenate([at, ends.take(self.c) - far_sizes]), np.concatenate([values, far])
+        # words of 32 bits: at most 33 bits are moved by 31, and no two tokens share a bit
+        moved = values.astype(np.uint64) << (at & 31).astype(np.uint64)
+        first = at >> 5
+        body = np.zeros((total >> 5) + 3, np.uint64)
+        for k, half in enumerate((moved & np.uint64(0xFFFFFFFF), moved >> np.uint64(32))):
+            part = np.bincount(first, half)
+            body[k : k + len(part)] += part.astype(np.uint64)
+        whole = self.out.n >> 5 << 2
+        head = self.out.value.to_bytes(whole + 4, "little")
+        body[0] += int.from_bytes(head[whole:], "little")
+        return _wrapped(head[:whole] + body.astype("<u4").tobytes()[: (total + 7) // 8])
+
+
+def _file_size(bits: float) -> int:
+    n = (int(bits) + 7) // 8
+    return 20 + n + (n & 1)
+
+
+def _codes_of(symbols: np.ndarray, used: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits and sizes of the codes of symbols, by the lengths of those used; a lone symbol takes none."""
+    if len(used) == 1:
+        return np.zeros(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
+    order = sizes.argsort(kind="stable")
+    bits_of, size_of = np.zeros(used[-1] + 1, np.int64), np.zeros(used[-1] + 1, np.int64)
+    size_of[used] = sizes
+    used, sizes = used.take(order), sizes.take(order)
+    width = int(sizes[-1])
+    spread = 1 << (width - sizes)
+    bits_of[used] = _reversed_bits(width).take(spread.cumsum() - spread)
+    return bits_of.take(symbols), size_of.take(symbols)
+
+
+def _grey(samples: np.ndarray, width: int) -> _Picture:
+    out = _Out()
+    out.put(0x2F | (width - 1) << 8 | (len(samples) // width - 1) << 22, 40)
+    out.put(1 | SUBTRACT_GREEN << 1, 3)
+    out.put(0, 1)
+    return _Picture(out, _tokens(samples), width)
+
+
+def encode_samples(samples: np.ndarray, width: int) -> bytes:
+    """A grey picture of 8-bit samples, row by row: subtract-green leaves them in the green channel alone."""
+    return _grey(samples, width).write()
+
+
+def _least(counts: np.ndarray) -> float:
+    """Bits that no prefix code of symbols with these counts gets below, and that its lengths take."""
+    used = counts.nonzero()[0]
+    if len(used) <= 2:
+        return 0.0
+    c = counts.take(used)
+    total = int(c.sum())
+    gaps = used[-1] >= len(used)  # two kinds of runs at least, so a bit for each symbol's length
+    return total * (math.log2(total) - 1e-6) - float(c @ np.log2(c)) + _HEAD_OF_CODE + (len(used) if gaps else 0)
+
+
+def _alone(v: np.ndarray, before: np.ndarray) -> float:
+    """Bits that samples which no copy reaches take at least; other symbols may fill the gaps between them."""
+    new = before < 0
+    lone = new.copy()
+    lone[1:] &= new[:-1]
+    lone[2:] &= new[:-2]
+    return _least(np.sort(np.bincount(v[lone]))[::-1])
+
+
+def _of_tokens(n: int, tokens: tuple[np.ndarray, ...], width: int) -> float:
+    """Bits that these tokens of the first n samples take at least, whatever follows; copies count as one symbol."""
+    green, c, size, far = tokens
+    many = np.ones(len(green), np.int64)
+    many[c] = size
+    kinds = green.copy()
+    kinds[c] = 256
+    sure = kinds[: np.searchsorted(many.cumsum() - many, n - 2)]  # the last two samples may begin copies of what follows
+    far = far[(c < len(sure)) & (far > _near(width).max())]
+    return _least(np.bincount(sure)) + float(_EXTRA.take(_log_prefix(far + len(NEAR))[0]).sum())
+
+
+# Bits that a form takes at least: header, no transform, no cache, one group, codes of one symbol; and a code's lengths.
+_HEAD, _HEAD_OF_CODE = 87, 23
+
+#: The forms that encode_smallest() chooses from, as encode() takes them; the first is encode_samples().
 FORMS = (
+    None,
     {"palette": True},
     {"palette": True, "matches": True},
     {"green": True, "matches": True},
@@ -656,9 +1014,76 @@ FORMS = (
 )
 
 
-def smallest(samples: np.ndarray, width: int) -> bytes:
-    """The smallest of encode_samples() and of FORMS, the first of equals; pixel by pixel, so for small pictures."""
-    v = samples.astype(np.uint32)
-    px = np.uint32(BLACK) | v << np.uint32(16) | v << np.uint32(8) | v
-    found = [encode_samples(samples, width), *(encode(px, width, **form) for form in FORMS)]
-    return min(found, key=len)
+def encode_smallest(samples: np.ndarray, width: int) -> bytes:
+    """The smallest of FORMS for a grey picture of any size, the first of equals, without writing the others.
+
+    A form is left out only if a bound on its size, by the entropy of symbols that it must have, is no better than what
+    is there already. The cross-colour form never wins: it has the copies of subtract-green with matches, and red and
+    blue codes that are no smaller than the single symbols there.
+    """
+    height = len(samples) // width
+
+    def start(mode: int | None = None, colours: np.ndarray | None = None, green: bool = True) -> _Out:
+        out = _Out()
+        out.put(0x2F | (width - 1) << 8 | (height - 1) << 22, 36)
+        out.put(1, 4)
+        if colours is not None:
+            _put_palette(out, [BLACK | v << 16 | v << 8 | v for v in colours.tolist()])
+        if mode is not None:
+            _put_predictor(out, mode, width, height)
+        if green:
+            out.put(1 | SUBTRACT_GREEN << 1, 3)
+        out.put(0, 1)
+        return out
+
+    counts = np.bincount(samples)
+    colours = counts.nonzero()[0]
+    before = _repeats(samples)
+    copied = _Picture(start(), _matched(samples, before), width)
+    best = (len(copied), 3, copied)
+
+    def better(form: int, bits: float) -> bool:
+        return (_file_size(bits), form) < best[:2]
+
+    def offer(form: int, picture: _Picture) -> None:
+        nonlocal best
+        if (len(picture), form) < best[:2]:
+            best = (len(picture), form, picture)
+
+    plain = better(0, _HEAD + _least(counts))
+    if plain:
+        offer(0, _grey(samples, width))
+    if len(colours) <= 16:
+        index, across = _packed(np.searchsorted(colours, samples), width, len(colours))
+        index = index.astype(np.uint8)
+        offer(1, _Picture(start(colours=colours, green=False), _tokens(index), across))
+        offer(2, _Picture(start(colours=colours, green=False), _matched(index, _repeats(index)), across))
+    else:  # indices are in the order of the samples, so codes and copies have the same lengths
+        palette = 14 + len(colours) + 3 * _least(np.bincount(colours[1:] - colours[:-1]))
+        if better(2, copied.bits - copied.green_head - 3 + _HEAD_OF_CODE + palette):
+            index = np.searchsorted(colours, samples).astype(np.uint8)
+            offer(2, _Picture(start(colours=colours, green=False), _matched(index, before), width))
+        if plain and better(1, _HEAD + _least(counts[colours]) + palette):
+            index = np.searchsorted(colours, samples).astype(np.uint8)
+            offer(1, _Picture(start(colours=colours, green=False), _tokens(index), width))
+    hits = _cache_hits(samples)
+    held = np.bincount(samples.take(hits), minlength=len(counts))
+    if better(4, _HEAD + _least(np.concatenate([counts - held, np.bincount(_SLOT[: len(held)], held)]))):
+        tokens = _tokens(samples)
+        tokens[0][hits] = 280 + _SLOT[samples[hits]]
+        offer(4, _Picture(start(), tokens, width, cache_bits=_CACHE_BITS))
+    steps = _differences(samples, width, 1)
+    if better(5, _HEAD + _least(np.bincount(steps))):
+        offer(5, _Picture(start(mode=1), _tokens(steps), width, alpha=0))
+    steps = _differences(samples, width, 11)
+    # over five bits a sample are usual, so a part mostly shows that the whole is larger
+    for n in sorted({min(len(steps), max(64, best[0] * 3 // 2)), len(steps)}):
+        before = _repeats(steps[:n])
+        if not better(6, _HEAD + _alone(steps[:n], before)):
+            break
+        tokens = _matched(steps[:n], before)
+        if not better(6, _HEAD + _of_tokens(n, tokens, width)):
+            break
+    else:
+        offer(6, _Picture(start(mode=11), tokens, width, alpha=0))
+    return best[2].write()

@@ -120,6 +120,55 @@ def test_op5_one_row_takes_the_smallest_form():
     assert media.store(media.payload_of(b"ab" * 20)) == media.store(media.payload_of(b"ab" * 20))
 
 
+def test_op5_every_size_takes_the_smallest_form():
+    import numpy as np
+
+    from pageloom.llm import webp
+
+    rng = np.random.default_rng(8)
+    words = [bytes(rng.integers(97, 123, int(n)).astype(np.uint8)) for n in rng.integers(2, 10, 60)]
+    row = rng.integers(0, 256, 64)
+    texts = [b" ".join(words[i] for i in rng.integers(0, 60, n)) for n in (1, 5, 11, 12, 30, 120, 300)]
+    texts += [b"x" * 65, b"ab" * 400, bytes(rng.integers(0, 13, 500).astype(np.uint8)), bytes(range(256)) * 3, rng.bytes(900)]
+    texts += [bytes((np.cumsum(rng.integers(-2, 3, n)) & 255).astype(np.uint8)) for n in (40, 700)]
+    texts += [b"".join(bytes(((row + rng.integers(0, 2, 64) + 3 * y) & 255).astype(np.uint8)) for y in range(9)), b"a line of its own\n" * 300]
+    best = Counter()
+    for text in texts:
+        payload = media.payload_of(text)
+        v = np.frombuffer(payload, np.uint8)
+        px = np.uint32(webp.BLACK) | v * np.uint32(0x010101)
+        forms = [webp.encode_samples(v, 64), *(webp.encode(px, 64, **form) for form in webp.FORMS[1:])]
+        smallest = min(range(len(forms)), key=lambda i: len(forms[i]))
+        best[smallest, len(v) > 64] += 1
+        assert media.store(payload) == forms[smallest] and media.load(forms[smallest]) == payload
+    assert len({form for form, more_rows in best if more_rows}) >= 4
+
+
+def test_op5_copies_at_the_ends_of_what_they_may_be():
+    import numpy as np
+
+    from pageloom.llm import webp
+
+    rng = np.random.default_rng(9)
+    noise = rng.integers(0, 200, media.PART, dtype=np.int64).astype(np.uint8)
+    for at in (webp.FARTHEST, webp.FARTHEST + 1):
+        v = noise.copy()
+        v[:5] = v[at : at + 5] = range(250, 255)
+        data = v.tobytes() + b"a" * 20_000
+        assert media.load(media.store(media.payload_of(data))) == media.payload_of(data)
+    stored = media.store(media.payload_of(b"copies of copies, " * 500))
+    for n in range(len(stored) - 30, len(stored) - 1):
+        with pytest.raises(webp.BadImage):
+            webp.decode(stored[:n])
+    for at in range(8 * 30, 8 * len(stored)):  # a bit turned: an error or other samples, nothing else
+        turned = bytearray(stored)
+        turned[at >> 3] ^= 1 << (at & 7)
+        try:
+            assert len(webp.decode(bytes(turned))[2])
+        except webp.BadImage:
+            pass
+
+
 @pytest.mark.parametrize("form", [{}, {"cache_bits": 5}, {"matches": True, "green": True}, {"mode": 11, "palette": True}])
 def test_webp_with_several_groups_of_codes(form):
     import numpy as np
