@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Generator, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +22,40 @@ from .common import small_batches
 
 WIDTH = 64
 PART = WIDTH * webp.MAX_SIDE
+TOGETHER, SAMPLES_TOGETHER = 32, 1 << 17  # pictures that are written or read in step, and what they hold
 
 
 def payload_of(text: bytes) -> bytes:
     return text + b"\0" * (-len(text) % WIDTH if text else WIDTH)
 
 
+def _groups(whole: Iterable[bytes], samples: Callable[[bytes], int]) -> Iterator[list[bytes]]:
+    """Neighbours with SAMPLES_TOGETHER at most, or one alone if it has more."""
+    group, size = [], 0
+    for x in whole:
+        more = samples(x)
+        if group and (size + more > SAMPLES_TOGETHER or len(group) == TOGETHER):
+            yield group
+            group, size = [], 0
+        group.append(x)
+        size += more
+    if group:
+        yield group
+
+
 def store(payload: bytes) -> bytes:
     """Each picture is stored in the smallest of several forms, whatever its size."""
-    data = np.frombuffer(payload, np.uint8)
-    return b"".join(webp.encode_smallest(data[at : at + PART], WIDTH) for at in range(0, len(data), PART))
+    return next(stored_all([payload]))
+
+
+def stored_all(payloads: Iterable[bytes]) -> Iterator[bytes]:
+    """store() of each."""
+    for group in _groups(payloads, len):
+        if len(group) > 1:
+            yield from webp.in_step(webp.encoding_smallest(np.frombuffer(x, np.uint8), WIDTH) for x in group)
+        else:
+            data = np.frombuffer(group[0], np.uint8)
+            yield b"".join(webp.encode_smallest(data[at : at + PART], WIDTH) for at in range(0, len(data), PART))
 
 
 def files_of(stored: bytes) -> Iterator[bytes]:
@@ -44,8 +68,34 @@ def files_of(stored: bytes) -> Iterator[bytes]:
         at += size
 
 
+def _samples(px: np.ndarray) -> bytes:
+    return px.view(np.uint8)[::4].tobytes()
+
+
 def load(stored: bytes) -> bytes:
-    return b"".join((webp.decode(f)[2] & np.uint32(255)).astype(np.uint8).tobytes() for f in files_of(stored))
+    return b"".join(_samples(webp.decode(f)[2]) for f in files_of(stored))
+
+
+def _loading(stored: bytes) -> Generator:
+    """load() for in_step()."""
+    parts = []
+    for f in files_of(stored):
+        parts.append(_samples((yield from webp.decoding(f))[2]))
+    return b"".join(parts)
+
+
+def _said_samples(stored: bytes) -> int:
+    """How many samples one picture's header says it has; what is no single picture as store() writes it stays alone."""
+    if len(stored) < 25 or stored[12:16] != b"VP8L" or struct.unpack_from("<I", stored, 4)[0] + 8 != len(stored):
+        return SAMPLES_TOGETHER
+    sides = struct.unpack_from("<I", stored, 21)[0]
+    return ((sides & 0x3FFF) + 1) * ((sides >> 14 & 0x3FFF) + 1)
+
+
+def loaded_all(stored: Iterable[bytes]) -> Iterator[bytes | webp.BadImage]:
+    """load() of each, or why it fails."""
+    for group in _groups(stored, _said_samples):
+        yield from webp.in_step(map(_loading, group))
 
 
 def stored_texts(docs: DataFrame) -> DataFrame:
@@ -56,7 +106,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column(1)]
-                media = [store(payload_of(t)) for t in texts]
+                media = list(stored_all(map(payload_of, texts)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
@@ -73,17 +123,15 @@ def features(media: DataFrame) -> DataFrame:
 
     def feature(data: bytes) -> str:
         v = np.frombuffer(data, np.uint8)
-        return f"rows={len(v) // WIDTH};distinct={np.count_nonzero(np.bincount(v))};sum={int(v.sum(dtype=np.int64))};max={int(v.max())};changes={int((v[1:] != v[:-1]).sum())}"
+        counts = np.bincount(v)
+        return f"rows={len(v) // WIDTH};distinct={np.count_nonzero(counts)};sum={int(counts @ np.arange(len(counts)))};max={len(counts) - 1};changes={np.count_nonzero(v[1:] != v[:-1])}"
 
-    def one(x: pa.BinaryScalar) -> tuple:
-        if not x.is_valid:
+    def one(stored: bytes | None, data: bytes | webp.BadImage) -> tuple:
+        if stored is None:
             return (None, None, None, None, None, None, "no bytes")
-        stored = x.as_buffer().to_pybytes()
         own = (len(stored), hashlib.sha256(stored).hexdigest())
-        try:
-            data = load(stored)
-        except webp.BadImage as e:
-            return (None, None, None, *own, None, str(e))
+        if isinstance(data, webp.BadImage):
+            return (None, None, None, *own, None, str(data))
         if not data:
             return (None, None, None, *own, None, "no samples")
         return (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), *own, feature(data), None)
@@ -91,7 +139,8 @@ def features(media: DataFrame) -> DataFrame:
     def run(batches):
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
-            cols = list(zip(*map(one, batch.column(2)), strict=True)) or [()] * len(kinds)
+            stored = [x.as_buffer().to_pybytes() if x.is_valid else None for x in batch.column(2)]
+            cols = list(zip(*map(one, stored, loaded_all(x or b"" for x in stored)), strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", *FEATURES])
 
     rows = media.select(F.col("doc_id").cast("long"), F.col("n_bytes").cast("long"), F.col("media").cast("binary"))

@@ -8,10 +8,11 @@ codes have one symbol each, as encode_smallest() mostly writes them, are read fo
 from __future__ import annotations
 
 import functools
-import heapq
 import math
 import operator
 import struct
+from collections import Counter
+from collections.abc import Generator, Iterable
 
 import numpy as np
 
@@ -29,6 +30,7 @@ NEAR = (
     (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4),
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
+_PLACE = [CODE_ORDER.index(s) for s in range(19)]
 _HASH = 0x1E35A7BD
 BLACK = 0xFF000000
 MAX_COPY = 4096
@@ -40,13 +42,42 @@ _EXTRA = np.array([max(0, (k - 2) >> 1) for k in range(40)], np.int32)
 _LEAST = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(40)], np.int64)
 _KIND = np.repeat(np.arange(40, dtype=np.uint8), 1 << _EXTRA)  # of each value from 1
 _ONES = (1 << np.arange(20)) - 1
-_EIGHT = np.arange(8)
+_SHIFTS = np.tile(np.arange(8), BLOCK + 8)
 
 
 class BadImage(ValueError):
     """The bytes are no lossless WebP image."""
 
 
+def in_step(runs: Iterable[Generator]) -> list:
+    """What generators return, or the BadImage that one raises, run by turns from yield to yield.
+
+    One part of the work on picture after picture runs faster than all parts on one picture and then on the next.
+    """
+    live = list(enumerate(runs))
+    found = [None] * len(live)
+    while live:
+        left = []
+        for at, run in live:
+            try:
+                next(run)
+                left.append((at, run))
+            except StopIteration as e:
+                found[at] = e.value
+            except BadImage as e:
+                found[at] = e
+        live = left
+    return found
+
+
+def _at_once(run: Generator):
+    try:
+        while True:
+            next(run)
+    except StopIteration as e:
+        return e.value
+
+
 class _Bits:
     def __init__(self, data: bytes):
         self.data, self.pos, self.end = data, 0, 8 * len(data)
@@ -76,19 +107,6 @@ def _reversed_bits(width: int) -> np.ndarray:
     return _turned[width]
 
 
-def _places(lengths: list[int]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Longest length; symbols by length; their lengths; and how many of the longest codes stand for each."""
-    n = np.array(lengths, np.int32)
-    symbols = np.flatnonzero(n).astype(np.int32)
-    symbols = symbols[np.argsort(n[symbols], kind="stable")]
-    sizes = n[symbols]
-    width = int(sizes[-1])
-    spread = np.left_shift(1, width - sizes)
-    if len(symbols) > 1 and spread.sum() != 1 << width:
-        raise BadImage("a prefix code is not complete")
-    return width, symbols, sizes, spread
-
-
 def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     """symbol: (bits as they are stored, length)."""
     return _canonical([(n, s) for s, n in enumerate(lengths) if n])
@@ -103,95 +121,107 @@ def _canonical(sizes: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
     return codes
 
 
-def _small_table(lengths: list[int]) -> tuple[int, list[int], list[int]]:
+def _small_table(lengths: list[int]) -> tuple[int, list[tuple[int, int]]]:
     """Of a code of code lengths: its width, and symbols and sizes by the next bits."""
     used = [(n, s) for s, n in enumerate(lengths) if n]
     if not used:
         raise BadImage("a prefix code is empty")
     if len(used) == 1:
-        return 0, [used[0][1]], [0]
+        return 0, [(used[0][1], 0)]
     width = max(used)[0]
-    if sum(1 << (width - n) for n, _ in used) != 1 << width:
+    if sum([1 << (width - n) for n, _ in used]) != 1 << width:
         raise BadImage("a prefix code is not complete")
-    symbols, sizes = [0] * (1 << width), [0] * (1 << width)
+    table = [(0, 0)] * (1 << width)
     for s, (code, n) in _canonical(used).items():
-        many = 1 << (width - n)
-        symbols[code :: 1 << n] = [s] * many
-        sizes[code :: 1 << n] = [n] * many
-    return width, symbols, sizes
+        table[code :: 1 << n] = [(s, n)] * (1 << (width - n))
+    return width, table
 
 
 class _Code:
-    """A prefix code as a table over the next `width` bits."""
+    """A prefix code; symbols from `first` on are prefixes of lengths or distances, with extra bits behind them."""
 
-    def __init__(self, lengths: list[int], only: int | None = None):
-        if only is not None:
-            self.only, self.width, self.symbols, self.sizes = only, 0, [only], [0]
-            return
-        used = [s for s, n in enumerate(lengths) if n]
-        if not used:
+    def __init__(self, lengths: bytes, only: int | None = None, first: int = 256):
+        n = np.frombuffer(lengths, np.uint8)
+        used = n.nonzero()[0] if only is None else np.array([only])
+        if not len(used):
             raise BadImage("a prefix code is empty")
-        self.only = used[0] if len(used) == 1 else None
+        self.only = int(used[0]) if len(used) == 1 else None
+        self.width, self.by_size, self.first = 0, used, first
         if self.only is not None:
-            self.width, self.symbols, self.sizes = 0, [self.only], [0]
+            self.sizes, self.spread = np.zeros(1, np.int64), np.ones(1, np.int64)
             return
-        self.width, symbols, sizes, spread = _places(lengths)
+        sizes = n.take(used)
+        order = sizes.argsort(kind="stable")
+        self.by_size, self.sizes = used.take(order), sizes.take(order).astype(np.int64)
+        self.width = int(self.sizes[-1])
         if self.width > MAX_LENGTH:
             raise BadImage("a prefix code is too long")
-        turned = _reversed_bits(self.width)
-        self.symbols = np.repeat(symbols, spread).take(turned)
-        self.sizes = np.repeat(sizes, spread).take(turned)
+        self.spread = 1 << (self.width - self.sizes)
+        if self.spread.sum() != 1 << self.width:
+            raise BadImage("a prefix code is not complete")
+
+    @functools.cached_property
+    def table(self) -> np.ndarray:
+        """By the next `width` bits: the symbol, its length from bit 16 on, and from bit 24 on that length with the extra bits."""
+        kind = self.by_size - self.first
+        steps = self.sizes + _EXTRA.take(kind, mode="clip") * (kind >= 0)
+        return (steps << 24 | self.sizes << 16 | self.by_size).repeat(self.spread).take(_reversed_bits(self.width))
 
     def read(self, bits: _Bits) -> int:
         if self.width == 0:
             return self.only
-        at = bits.peek(self.width)
-        bits.pos += int(self.sizes[at])
+        found = int(self.table[bits.peek(self.width)])
+        bits.pos += found >> 16 & 255
         if bits.pos > bits.end:
             raise BadImage("the bitstream ends early")
-        return int(self.symbols[at])
+        return found & 0xFFFF
 
 
 def _read_code(bits: _Bits, size: int) -> _Code:
+    first = 256 if size > 40 else 0
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         symbols = [bits.read(8 if wide else 1), *([bits.read(8)] if two else [])]
         if max(symbols) >= size:
             raise BadImage("a symbol is out of range")
         if len(set(symbols)) == 1:
-            return _Code([], symbols[0])
-        return _Code([int(s in symbols) for s in range(max(symbols) + 1)])
-    lengths = [0] * size
+            return _Code(b"", symbols[0], first)
+        return _Code(bytes([int(s in symbols) for s in range(max(symbols) + 1)]), None, first)
+    lengths = bytearray(size)
     of_lengths = [0] * 19
-    for i in range(4 + bits.read(4)):
-        of_lengths[CODE_ORDER[i]] = bits.read(3)
-    width, symbols, sizes = _small_table(of_lengths)
+    many = 4 + bits.read(4)
+    coming = bits.read(3 * many)
+    for i in range(many):
+        of_lengths[CODE_ORDER[i]] = coming >> 3 * i & 7
+    width, table = _small_table(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, before = 0, 8
-    start = bits.pos >> 3
-    coming = int.from_bytes(bits.data[start : start + 2 * size + 2], "little") >> (bits.pos & 7)  # 14 bits a length at most
+    at, before, pos = 0, 8, bits.pos
+    start = pos >> 3
+    coming = int.from_bytes(bits.data[start : start + 2 * size + 2], "little") >> (pos & 7)  # 14 bits a length at most
     mask = (1 << width) - 1
     while at < size and left:
         left -= 1
-        n, used = symbols[coming & mask], sizes[coming & mask]
+        n, used = table[coming & mask]
         coming >>= used
+        pos += used
         if n < 16:
-            lengths[at] = n
+            if n:
+                lengths[at] = before = n
             at += 1
-            before = n or before
         else:
             more = 2 if n == 16 else 3 if n == 17 else 7
             many = (11 if n == 18 else 3) + (coming & ((1 << more) - 1))
             coming >>= more
-            used += more
+            pos += more
             if at + many > size:
                 raise BadImage("a run of code lengths is too long")
-            lengths[at : at + many] = [before if n == 16 else 0] * many
+            if n == 16:
+                lengths[at : at + many] = bytes((before,)) * many
             at += many
-        bits.pos += used
-    if bits.pos > bits.end:
+    bits.pos = pos
+    if pos > bits.end:
         raise BadImage("the bitstream ends early")
-    return _Code(lengths)
+    return _Code(lengths, None, first)
 
 
 def _long(bits: _Bits, code: int) -> int:
@@ -229,7 +259,16 @@ def _near(width: int) -> np.ndarray:
     return _steps_back[width]
 
 
-def _chain(bits: _Bits, code: _Code, far_code: _Code, n: int, width: int) -> np.ndarray | None:
+@functools.cache
+def _short(width: int) -> np.ndarray:
+    """By distance: its short code, or 0; the last entry stands for all that are farther."""
+    near = _near(width)
+    short = np.zeros(near.max() + 2, np.int64)
+    short[near[:0:-1]] = np.arange(len(NEAR), 0, -1)
+    return short
+
+
+def _chain(bits: _Bits, code: _Code, far_code: _Code, n: int, width: int) -> Generator:
     """The next n green values where literals and copies are all there is: successors of all bit positions, and a walk."""
     if code.width == 0:
         return np.full(n, code.only, np.int32) if code.only < 256 else None
@@ -237,37 +276,41 @@ def _chain(bits: _Bits, code: _Code, far_code: _Code, n: int, width: int) -> np.
     raw = bits.data[first : first + (n * (code.width + far_code.width + 28) + 7) // 8 + 1]
     words = np.ndarray(len(raw) + 9, "<u4", raw + bytes(12), strides=(1,)).astype(np.int64)
     coming = lambda at: words.take(at >> 3) >> (at & 7)
-    copies = code.symbols >= 256
-    some = copies.any()
-    extra = np.where(copies, _EXTRA[np.maximum(code.symbols - 256, 0)], 0)
-    far_symbols, far_sizes = np.array(far_code.symbols), np.array(far_code.sizes)
-    far_ahead = lambda at: coming(at) & ((1 << far_code.width) - 1)
-    own_steps, far_steps = (code.sizes + extra).astype(np.int64), far_sizes + _EXTRA[far_symbols]
+    table, far_table = code.table, far_code.table
+    mask, far_mask = (1 << code.width) - 1, (1 << far_code.width) - 1
+    some = code.by_size.max() >= 256
     parts, at = [], bits.pos & 7
+    yield
     for start in range(0, len(raw), BLOCK):
         end = 8 * min(BLOCK, len(raw) - start)
         if at - 8 * start >= end:
             break
-        ahead = ((words[start : start + (end >> 3), None] >> _EIGHT) & ((1 << code.width) - 1)).reshape(-1)
-        step = own_steps.take(ahead)
+        ahead = words[start : start + (end >> 3) + 8].repeat(8)  # a distance begins 29 bits behind its token at most
+        ahead >>= _SHIFTS[: len(ahead)]
+        found = table.take(ahead[:end] & mask)
+        step = found >> 24
         if some:
-            c = copies.take(ahead).nonzero()[0]
+            c = (found & 256).astype(bool).nonzero()[0]
             half = step.take(c)
-            step[c] = half + far_steps.take(far_ahead(c + half + 8 * start))
+            step[c] = half + (far_table.take(ahead.take(c + half) & far_mask) >> 24)
         to = np.arange(end + 1)
         to[:end] += step
         np.minimum(to[-64:], end, out=to[-64:])  # a token has 58 bits at most
         p = _walk(to, at - 8 * start)
-        parts.append((p + 8 * start, ahead.take(p), step.take(p)))
+        parts.append((p + 8 * start, found.take(p), step.take(p)))
         at = int(parts[-1][0][-1] + parts[-1][2][-1])
     if not parts:
         raise BadImage("the bitstream ends early")
+    yield
     p, seen, step = parts[0] if len(parts) == 1 else map(np.concatenate, zip(*parts, strict=True))
-    out = code.symbols.take(seen)
+    out = seen & 0xFFFF
     c = (out >= 256).nonzero()[0]
-    at = p[c] + code.sizes[seen[c]]
+    own = seen.take(c)
+    sizes = own >> 16 & 255
+    at = p.take(c) + sizes
+    extra = (own >> 24) - sizes
     many = np.ones(len(p), np.int64)
-    many[c] = _LEAST[out[c] - 256] + (coming(at) & _ONES[extra[seen[c]]])
+    many[c] = _LEAST.take((own & 0xFFFF) - 256) + (coming(at) & _ONES.take(extra))
     after = np.cumsum(many)
     last = int(np.searchsorted(after, n))
     if last == len(p) or p[last] + step[last] + 8 * first > bits.end:
@@ -277,22 +320,26 @@ def _chain(bits: _Bits, code: _Code, far_code: _Code, n: int, width: int) -> np.
     c = c[: np.searchsorted(c, last, "right")]
     if not len(c):
         return out
-    at = at[: len(c)] + extra[seen[c]]
-    kind = far_ahead(at)
-    at, kind = at + far_sizes[kind], far_symbols[kind]
-    far = _LEAST[kind] + (coming(at) & _ONES[_EXTRA[kind]])
-    far = np.where(far > len(NEAR), far - len(NEAR), _near(width)[np.minimum(far, len(NEAR))])
+    at = at[: len(c)] + extra[: len(c)]
+    found = far_table.take(coming(at) & far_mask)
+    sizes = found >> 16 & 255
+    far = _LEAST.take(found & 0xFFFF) + (coming(at + sizes) & _ONES.take((found >> 24) - sizes))
+    far = np.where(far > len(NEAR), far - len(NEAR), _near(width).take(np.minimum(far, len(NEAR))))
     if after[-1] != n or (far > (after - many)[c]).any():
         raise BadImage("a back-reference is out of range")
+    yield
     back = np.zeros(len(p), np.int64)
     back[c] = far
     source = np.arange(n) - np.repeat(back, many)
-    while not (source == (older := source.take(source))).all():
-        source = older
+    while True:
+        older = source.take(source)
+        source = older.take(older)
+        if (source == older).all():
+            break
     return np.repeat(out, many).take(source)
 
 
-def _read_pixels(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
+def _read_pixels(bits: _Bits, width: int, height: int, main: bool) -> Generator:
     """ARGB of one entropy-coded image."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
@@ -301,15 +348,21 @@ def _read_pixels(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray
     if main and bits.read(1):
         shift = bits.read(3) + 2
         w = (width + (1 << shift) - 1) >> shift
-        meta = _read_pixels(bits, w, (height + (1 << shift) - 1) >> shift, False)
+        meta = _at_once(_read_pixels(bits, w, (height + (1 << shift) - 1) >> shift, False))
         groups_of = ((meta >> np.uint32(8)) & np.uint32(0xFFFF)).reshape(-1, w).astype(np.int64)
         many = int(groups_of.max()) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
-    groups = [[_read_code(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(many)]
+    groups = []
+    for _ in range(many):
+        groups.append([])
+        for size in (280 + cache_size, 256, 256, 256, 40):
+            groups[-1].append(_read_code(bits, size))
+            if size in (256 + 24, 40):
+                yield
     n = width * height
     if many == 1 and not cache_bits and all(c.width == 0 for c in groups[0][1:4]):
         at = bits.pos
-        green = _chain(bits, groups[0][0], groups[0][4], n, width)
+        green = yield from _chain(bits, groups[0][0], groups[0][4], n, width)
         if green is not None:
             rest = (groups[0][1].only << 16) | groups[0][2].only | (groups[0][3].only << 24)
             return (green.astype(np.uint32) << np.uint32(8)) | np.uint32(rest)
@@ -453,8 +506,10 @@ def _undo_palette(px: np.ndarray, width: int, packed: int, shift: int, colours:
 
 
 def _add_green(px: np.ndarray) -> np.ndarray:
-    green = (px >> np.uint32(8)) & np.uint32(255)
-    return (px & np.uint32(0xFF00FF00)) | (((px & np.uint32(0x00FF00FF)) + (green * np.uint32(0x00010001))) & np.uint32(0x00FF00FF))
+    parts = px.copy().view(np.uint8)
+    parts[0::4] += parts[1::4]
+    parts[2::4] += parts[1::4]
+    return parts.view(np.uint32)
 
 
 def chunk_of(data: bytes) -> bytes:
@@ -473,6 +528,11 @@ def chunk_of(data: bytes) -> bytes:
 
 def decode(data: bytes) -> tuple[int, int, np.ndarray]:
     """width, height and the ARGB pixels, row by row, of a lossless WebP file."""
+    return _at_once(decoding(data))
+
+
+def decoding(data: bytes) -> Generator:
+    """decode() for in_step()."""
     bits = _Bits(chunk_of(data))
     if bits.read(8) != 0x2F:
         raise BadImage("not VP8L")
@@ -489,19 +549,19 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
         if kind in (PREDICTOR, CROSS_COLOR):
             shift = bits.read(3) + 2
             across = (across_now + (1 << shift) - 1) >> shift
-            part = _read_pixels(bits, across, (height + (1 << shift) - 1) >> shift, False)
+            part = _at_once(_read_pixels(bits, across, (height + (1 << shift) - 1) >> shift, False))
             undo.append((_undo_predictor if kind == PREDICTOR else _undo_cross, (across_now, shift, part, across)))
         elif kind == SUBTRACT_GREEN:
             undo.append((_add_green, ()))
         else:
             size = bits.read(8) + 1
-            steps = _read_pixels(bits, size, 1, False)
+            steps = _at_once(_read_pixels(bits, size, 1, False))
             colours = np.ascontiguousarray(np.cumsum(steps.view(np.uint8).reshape(-1, 4), axis=0, dtype=np.uint8)).view(np.uint32).reshape(-1)
             shift = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
             packed = (across_now + (1 << shift) - 1) >> shift
             undo.append((_undo_palette, (across_now, packed, shift, colours)))
             across_now = packed
-    px = _read_pixels(bits, across_now, height, True)
+    px = yield from _read_pixels(bits, across_now, height, True)
     for f, args in reversed(undo):
         px = f(px, *args)
     return width, height, px
@@ -524,22 +584,40 @@ def _code_sizes(counts: list[int], most: int = MAX_LENGTH) -> list[int]:
     size = len(counts)
     if size <= 2:
         return [1] * size
-    bits = (2 * size).bit_length()
-    low = (1 << bits) - 1
     while True:
-        heap = [c << bits | s for s, c in enumerate(counts)]
-        heapq.heapify(heap)
-        up = [0] * (2 * size - 1)
-        for new in range(size, 2 * size - 1):
-            a = heapq.heappop(heap)
-            b = heap[0]
-            up[a & low] = up[b & low] = new
-            heapq.heapreplace(heap, (a >> bits) + (b >> bits) << bits | new)
-        depth = [0] * (2 * size - 1)
-        for node in range(2 * size - 3, -1, -1):
-            depth[node] = depth[up[node]] + 1
+        # the two least weights are always the first ones left of the symbols, by weight, or of the nodes, as they were made
+        order = sorted(range(size), key=counts.__getitem__)
+        leaves = [counts[s] for s in order]
+        above = sum(leaves) + 1
+        leaves += (above, above)
+        nodes = [above] * (size + 1)
+        leaf_up, node_up, i, j = [], [], 0, 0
+        for new in range(size - 1):
+            a = leaves[i]
+            if nodes[j] < a:
+                a = nodes[j]
+                j += 1
+                node_up.append(new)
+            else:
+                i += 1
+                leaf_up.append(new)
+            b = leaves[i]
+            if nodes[j] < b:
+                b = nodes[j]
+                j += 1
+                node_up.append(new)
+            else:
+                i += 1
+                leaf_up.append(new)
+            nodes[new] = a + b
+        depth = [1] * (size - 1)
+        for node in range(size - 3, -1, -1):
+            depth[node] = depth[node_up[node]] + 1
         if max(depth) <= most:
-            return depth[:size]
+            lengths = [0] * size
+            for s, up in zip(order, leaf_up, strict=True):
+                lengths[s] = depth[up]
+            return lengths
         counts = [(c + 1) // 2 for c in counts]
 
 
@@ -558,12 +636,12 @@ def _put_code(out: _Out, lengths: list[int]) -> None:
 
 
 @functools.cache
-def _zeros(gap: int) -> tuple[tuple[int, int, int], ...]:
-    """A gap between used symbols: symbols of the code of lengths, extra bits and their number."""
+def _zeros(gap: int) -> tuple[int, ...]:
+    """A gap between used symbols: symbols of the code of lengths, and extra bits from the sixth bit on."""
     runs = []
     while gap:
         n = min(gap, 138)
-        runs += [(0, 0, 0)] * n if n < 3 else [(17, n - 3, 3) if n < 11 else (18, n - 11, 7)]
+        runs += [0] * n if n < 3 else [17 | (n - 3) << 5 if n < 11 else 18 | (n - 11) << 5]
         gap -= n
     return tuple(runs)
 
@@ -585,28 +663,29 @@ def _put_sizes(out: _Out, used: list[int], sizes: list[int]) -> None:
     for s, size in zip(used, sizes, strict=True):
         if s - before > 1:
             runs += _zeros(s - before - 1)
-        runs.append((size, 0, 0))
+        runs.append(size)
         before = s
-    counts = [0] * 19
-    for run in runs:
-        counts[run[0]] += 1
+    distinct, counts = Counter(runs), [0] * 19
+    for run, n in distinct.items():
+        counts[run & 31] += n
     kinds = [s for s in range(19) if counts[s]]
-    own = dict(zip(kinds, _code_sizes([counts[s] for s in kinds], 7), strict=True))
-    many = max(4, 1 + max(map(CODE_ORDER.index, kinds)))
-    value, at = (many - 4) << 1, 5
-    for s in CODE_ORDER[:many]:
-        value |= own.get(s, 0) << at
-        at += 3
+    own = _code_sizes([counts[s] for s in kinds], 7)
+    many = max(4, 1 + max([_PLACE[s] for s in kinds]))
+    value, at = (many - 4) << 1, 5 + 3 * many
+    for s, n in zip(kinds, own, strict=True):
+        value |= n << (5 + 3 * _PLACE[s])
     size = len(runs) - 2
-    wide = next(k for k in range(8) if size < 1 << (2 + 2 * k))
+    wide = max(0, size.bit_length() - 1) >> 1
     value |= (1 | wide << 1 | size << 4) << at
     at += 6 + 2 * wide
-    codes = _canonical([(n, s) for s, n in own.items()]) if len(own) > 1 else {kinds[0]: (0, 0)}
-    for s, extra, n in runs:
-        code, length = codes[s]
-        value |= (code | extra << length) << at
-        at += length + n
-    out.put(value, at)
+    codes = _canonical(list(zip(own, kinds, strict=True))) if len(own) > 1 else {kinds[0]: (0, 0)}
+    digits = {}  # of each run, the last bit first
+    for run in distinct:
+        code, n = codes[run & 31]
+        size = n + (0, 3, 7)[max(0, (run & 31) - 16)]
+        digits[run] = f"{code | (run >> 5) << n:0{size}b}" if size else ""
+    body = "".join([digits[run] for run in reversed(runs)])
+    out.put(value | int(body or "0", 2) << at, at + len(body))
 
 
 def _wrapped(bits: bytes) -> bytes:
@@ -765,31 +844,37 @@ def _repeats(v: np.ndarray) -> np.ndarray:
     key <<= 20
     key |= np.arange(len(key))
     key.sort()
-    at = key & ((1 << 20) - 1)
-    key >>= 20
-    same = (key[1:] == key[:-1]).nonzero()[0]
-    before = np.full(len(v), -1, np.int32)
-    before[at[1:].take(same)] = at.take(same)
+    same = ((key[1:] ^ key[:-1]) < 1 << 20).nonzero()[0]
+    key &= (1 << 20) - 1
+    before = np.full(len(v), -1, np.int64)
+    before[key[1:].take(same)] = key.take(same)
     if len(v) > FARTHEST:
         before[np.arange(len(v)) - before > FARTHEST] = -1
     return before
 
 
-def _matched(v: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+def _matching(v: np.ndarray, before: np.ndarray) -> Generator:
     """The tokens that _put_pixels() makes with matches: the longest copy from where three samples came last, else a literal."""
     n = len(v)
     # neighbours with one distance have one end, so the last of them alone is compared with what came before
-    last = before >= 0
-    last[:-1] &= before[1:] != before[:-1] + 1
+    back = np.arange(n)
+    back -= before
+    back *= before >= 0
+    last = back > 0
+    last[:-1] &= back[1:] != back[:-1]
     ends = last.nonzero()[0]
     if not len(ends):
         return _tokens(v)
-    key = (ends - before.take(ends)) << 20 | ends
+    key = back.take(ends)
+    key <<= 20
+    key |= ends
     key.sort()
     by, at = key >> 20, key & ((1 << 20) - 1)
     # a copy that gets as far as the next one with its distance has that one's end
-    following = np.append(np.where(by[1:] == by[:-1], at[1:], n), n)
+    following = np.full(len(at), n)
+    following[:-1] += (at[1:] - n) * (by[1:] == by[:-1])
     words = np.ndarray(n + 1, "<u8", v.tobytes() + bytes(8), strides=(1,)).copy()
+    yield
     here, live, end = at + 3, np.arange(len(at)), np.empty(len(at), np.int64)
     while True:
         differs = words.take(here) ^ words.take(here - by.take(live))
@@ -801,50 +886,70 @@ def _matched(v: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
         live, here = live.take(left), here.take(left)
         left = ((here < following.take(live)) & (here - at.take(live) < MAX_COPY)).nonzero()[0]
         live, here = live.take(left), here.take(left)
+    yield
     linked = (end >= following) & (following < n)
     if linked.any():
         own = np.where(linked, len(at), np.arange(len(at)))
         end = end.take(np.minimum.accumulate(own[::-1])[::-1])
     reach = np.zeros(n, np.int64)
     reach[at] = np.minimum(end, n)
-    end = np.append(reach.take(ends), 0)
-    place = np.arange(n)
-    size = np.minimum(end.take(np.cumsum(last) - last) - place, MAX_COPY)
-    size[before < 0] = 1
-    to = np.empty(n + 1, np.int64)
-    np.add(place, size, out=to[:n])
-    to[n] = n
+    group = last.astype(np.int64)  # how many groups of places with one distance end before
+    np.cumsum(group, out=group)
+    group -= last
+    size = np.append(reach.take(ends), 0).take(group)
+    to = np.arange(n + 1)
+    size -= to[:n]
+    np.minimum(size, MAX_COPY, out=size)
+    size -= 1
+    size *= back > 0
+    size += 1
+    to[:n] += size
+    yield
     p = _walk(to, 0)
-    many = size.take(p)
-    c = (many > 1).nonzero()[0]
-    return v.take(p).astype(np.int64), c, many[c].astype(np.int64), (p[c] - before[p[c]]).astype(np.int64)
+    far = back.take(p)
+    c = far.nonzero()[0]
+    at = p.take(c)
+    return v.take(p).astype(np.int64), c, to.take(at) - at, far.take(c)
+
+
+def _matched(v: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+    return _at_once(_matching(v, before))
 
 
 _CACHE_BITS = 4
 #: By grey value behind subtract-green: its place in the colour cache.
 _SLOT = (((np.arange(256, dtype=np.uint64) << np.uint64(8) | np.uint64(BLACK)) * np.uint64(_HASH) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - _CACHE_BITS)).astype(np.int64)
 
+_SLOT_FIRST = (_SLOT << 20).astype(np.int32)
 
-def _cache_hits(v: np.ndarray) -> np.ndarray:
-    """Places of samples that the colour cache holds when they come: the last one in their slot was the same."""
-    at = _SLOT.take(v) << 20
-    at += np.arange(len(v))
+
+def _cache_hits(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of samples by slot of the colour cache; whether it holds each when it comes, as the last one in its slot
+    was the same; and how many of each value it holds."""
+    at = _SLOT_FIRST.take(v)
+    at |= np.arange(len(v), dtype=np.int32)
     at.sort()
     at &= (1 << 20) - 1
-    by_slot = v.take(at)
-    return at[1:][by_slot[1:] == by_slot[:-1]]
+    by_slot = v.take(at).astype(np.int64)
+    hit = np.zeros(len(v), bool)
+    np.equal(by_slot[1:], by_slot[:-1], out=hit[1:])
+    by_slot *= hit  # in place of those that it does not hold: 0, taken away below
+    held = np.bincount(by_slot)
+    held[0] -= len(v) - np.count_nonzero(hit)
+    return at, hit, held
 
 
 def _differences(v: np.ndarray, width: int, mode: int) -> np.ndarray:
     """What predictors 1 (left) and 11 (left or top) leave of grey samples."""
-    px = v.reshape(-1, width)
-    guess = np.zeros_like(px)
-    guess[:, 1:] = px[:, :-1]
-    guess[1:, 0] = px[:-1, 0]
+    guess = np.zeros_like(v)
+    guess[1:] = v[:-1]
     if mode == 11:
-        left, top, corner = px[1:, :-1].astype(np.int16), px[:-1, 1:].astype(np.int16), px[:-1, :-1].astype(np.int16)
-        guess[1:, 1:] = np.where(np.abs(top - corner) < np.abs(left - corner), left, top)
-    return (px - guess).reshape(-1)
+        left, top, corner = v[width:-1], v[1:-width], v[: -width - 1]
+        by_left = np.maximum(top, corner) - np.minimum(top, corner)
+        by_top = np.maximum(left, corner) - np.minimum(left, corner)
+        guess[width + 1 :] ^= (left ^ top) & -(by_left >= by_top).view(np.uint8)
+    guess[width::width] = v[:-width:width]
+    return v - guess
 
 
 def _log_prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -866,6 +971,16 @@ class _Picture:
     """A grey picture up to its tokens: out ends with the five prefix codes, and bits is the size of the whole."""
 
     def __init__(self, out: _Out, tokens: tuple[np.ndarray, ...], width: int, alpha: int = 255, cache_bits: int = 0):
+        _at_once(self.begin(out, tokens, width, alpha, cache_bits))
+
+    @classmethod
+    def beginning(cls, *args) -> Generator:
+        """The picture, for in_step()."""
+        own = cls.__new__(cls)
+        yield from own.begin(*args)
+        return own
+
+    def begin(self, out: _Out, tokens: tuple[np.ndarray, ...], width: int, alpha: int = 255, cache_bits: int = 0) -> Generator:
         self.out = out
         green, self.c, size, far = tokens
         if cache_bits:
@@ -876,31 +991,31 @@ class _Picture:
         self.green, self.far = green, far
         if len(self.c):
             kind, self.more = _log_prefix(size)
-            self.more_bits = _EXTRA[kind]
+            self.more_bits = _EXTRA.take(kind)
             self.green = green.copy()
             self.green[self.c] = 256 + kind
-            near = _near(width)
-            short = np.zeros(near.max() + 1, np.int64)
-            short[near[:0:-1]] = np.arange(len(NEAR), 0, -1)
-            code = short[np.minimum(far, len(short) - 1)]
-            self.far, self.far_more = _log_prefix(np.where((far < len(short)) & (code > 0), code, far + len(NEAR)))
+            short = _short(width)
+            code = short.take(far, mode="clip")
+            self.far, self.far_more = _log_prefix(np.where(code > 0, code, far + len(NEAR)))
         at = out.n
-        self.code, self.bits = self._put(self.green)
+        self.code, self.bits = yield from self._put(self.green)
         self.green_head = out.n - at
         out.put(*_lone_codes(alpha))
         if len(self.c):
-            self.far_code, bits = self._put(self.far)
+            self.far_code, bits = yield from self._put(self.far)
             self.bits += bits + int(self.more_bits.sum() + _EXTRA.take(self.far).sum())
         else:
             _put_sizes(out, [0], [1])
         self.bits += out.n
 
-    def _put(self, symbols: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    def _put(self, symbols: np.ndarray) -> Generator:
         """Writes the code of symbols: those used and their lengths; and how many bits all symbols take."""
         counts = np.bincount(symbols)
         used = counts.nonzero()[0]
         counts = counts.take(used).tolist()
+        yield
         sizes = _code_sizes(counts)
+        yield
         _put_sizes(self.out, used.tolist(), sizes)
         return (used, np.array(sizes)), sum(map(operator.mul, counts, sizes)) if len(sizes) > 1 else 0
 
@@ -972,18 +1087,37 @@ def _least(counts: np.ndarray) -> float:
     if len(used) <= 2:
         return 0.0
     c = counts.take(used)
-    total = int(c.sum())
     gaps = used[-1] >= len(used)  # two kinds of runs at least, so a bit for each symbol's length
-    return total * (math.log2(total) - 1e-6) - float(c @ np.log2(c)) + _HEAD_OF_CODE + (len(used) if gaps else 0)
+    return _entropy(c) + _HEAD_OF_CODE + (len(used) if gaps else 0)
+
+
+def _entropy(counts: np.ndarray) -> float:
+    """Bits that no prefix code of symbols with these counts, all above 0, gets below."""
+    total = int(counts.sum())
+    return total * (math.log2(total) - 1e-6) - float(counts @ np.log2(counts)) if total else 0.0
+
 
+def _far_bits(far: np.ndarray, width: int) -> float:
+    """Bits that these distances take at least; those that may have a short code count as nothing."""
+    kinds = np.bincount(_log_prefix(far[far > _near(width).max()] + len(NEAR))[0])
+    return _entropy(kinds[kinds > 0]) + int(kinds @ _EXTRA[: len(kinds)])
 
-def _alone(v: np.ndarray, before: np.ndarray) -> float:
-    """Bits that samples which no copy reaches take at least; other symbols may fill the gaps between them."""
-    new = before < 0
+
+def _alone(v: np.ndarray, before: np.ndarray, width: int, enough: float) -> float:
+    """Bits that these tokens take at least, whatever follows: samples that no copy reaches, and copies that begin
+    where none before them reaches. Copies count as one symbol; other symbols may fill the gaps between them all.
+    Distances are left out if the rest is more than `enough`.
+    """
+    n = len(v) - 2  # the last two samples may begin copies of what follows
+    new = before[:n] < 0
     lone = new.copy()
     lone[1:] &= new[:-1]
+    begins = (lone[:-1] & ~new[1:]).nonzero()[0] + 1
     lone[2:] &= new[:-2]
-    return _least(np.sort(np.bincount(v[lone]))[::-1])
+    counts = np.bincount(v[:n].compress(lone), minlength=257)
+    counts[256] = len(begins)
+    bits = _least(np.sort(counts[counts > 0])[::-1])
+    return bits if bits > enough else bits + _far_bits(begins - before.take(begins), width)
 
 
 def _of_tokens(n: int, tokens: tuple[np.ndarray, ...], width: int) -> float:
@@ -994,8 +1128,7 @@ def _of_tokens(n: int, tokens: tuple[np.ndarray, ...], width: int) -> float:
     kinds = green.copy()
     kinds[c] = 256
     sure = kinds[: np.searchsorted(many.cumsum() - many, n - 2)]  # the last two samples may begin copies of what follows
-    far = far[(c < len(sure)) & (far > _near(width).max())]
-    return _least(np.bincount(sure)) + float(_EXTRA.take(_log_prefix(far + len(NEAR))[0]).sum())
+    return _least(np.bincount(sure)) + _far_bits(far[c < len(sure)], width)
 
 
 # Bits that a form takes at least: header, no transform, no cache, one group, codes of one symbol; and a code's lengths.
@@ -1015,6 +1148,10 @@ FORMS = (
 
 
 def encode_smallest(samples: np.ndarray, width: int) -> bytes:
+    return _at_once(encoding_smallest(samples, width))
+
+
+def encoding_smallest(samples: np.ndarray, width: int) -> Generator:
     """The smallest of FORMS for a grey picture of any size, the first of equals, without writing the others.
 
     A form is left out only if a bound on its size, by the entropy of symbols that it must have, is no better than what
@@ -1039,7 +1176,11 @@ def encode_smallest(samples: np.ndarray, width: int) -> bytes:
     counts = np.bincount(samples)
     colours = counts.nonzero()[0]
     before = _repeats(samples)
-    copied = _Picture(start(), _matched(samples, before), width)
+    yield
+    tokens = yield from _matching(samples, before)
+    yield
+    copied = yield from _Picture.beginning(start(), tokens, width)
+    yield
     best = (len(copied), 3, copied)
 
     def better(form: int, bits: float) -> bool:
@@ -1066,24 +1207,30 @@ def encode_smallest(samples: np.ndarray, width: int) -> bytes:
         if plain and better(1, _HEAD + _least(counts[colours]) + palette):
             index = np.searchsorted(colours, samples).astype(np.uint8)
             offer(1, _Picture(start(colours=colours, green=False), _tokens(index), width))
-    hits = _cache_hits(samples)
-    held = np.bincount(samples.take(hits), minlength=len(counts))
-    if better(4, _HEAD + _least(np.concatenate([counts - held, np.bincount(_SLOT[: len(held)], held)]))):
+    yield
+    places, hit, held = _cache_hits(samples)
+    missed = counts.copy()
+    missed[: len(held)] -= held
+    if better(4, _HEAD + _least(np.concatenate([missed, np.bincount(_SLOT[: len(held)], held).astype(np.int64)]))):
+        hits = places[hit]
         tokens = _tokens(samples)
         tokens[0][hits] = 280 + _SLOT[samples[hits]]
         offer(4, _Picture(start(), tokens, width, cache_bits=_CACHE_BITS))
     steps = _differences(samples, width, 1)
     if better(5, _HEAD + _least(np.bincount(steps))):
         offer(5, _Picture(start(mode=1), _tokens(steps), width, alpha=0))
+    yield
     steps = _differences(samples, width, 11)
+    yield
     # over five bits a sample are usual, so a part mostly shows that the whole is larger
-    for n in sorted({min(len(steps), max(64, best[0] * 3 // 2)), len(steps)}):
+    for n in sorted({min(len(steps), max(64, best[0] * 7 // 4)), len(steps)}):
         before = _repeats(steps[:n])
-        if not better(6, _HEAD + _alone(steps[:n], before)):
+        if not better(6, _HEAD + _alone(steps[:n], before, width, 8 * best[0])):
             break
         tokens = _matched(steps[:n], before)
         if not better(6, _HEAD + _of_tokens(n, tokens, width)):
             break
     else:
         offer(6, _Picture(start(mode=11), tokens, width, alpha=0))
+    yield
     return best[2].write()

@@ -1,6 +1,7 @@
 """The registered queries against brute force on the smallest tables, and the cases that once crashed."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -169,6 +170,48 @@ def test_op5_copies_at_the_ends_of_what_they_may_be():
             pass
 
 
+def test_op5_pictures_in_step_are_those_stored_one_by_one():
+    import numpy as np
+
+    from pageloom.llm import webp
+
+    rng = np.random.default_rng(10)
+    texts = [rng.choice(list(b"etaoin shrdlu"), int(n)).astype(np.uint8).tobytes() for n in rng.integers(0, 3000, 70)]
+    payloads = [media.payload_of(t) for t in [*texts, b"", b"x" * 300_000, b"ab" * media.PART, rng.bytes(9000), b"end"]]
+    stored = list(media.stored_all(payloads))
+    assert stored == [media.store(p) for p in payloads]
+    assert list(media.loaded_all(stored)) == payloads
+    broken = [stored[0], b"", stored[1][:-5], b"bad", stored[2][:30], stored[2]]
+    got = list(media.loaded_all(broken))
+    assert [got[0], got[1], got[5]] == [payloads[0], b"", payloads[2]] and all(isinstance(x, webp.BadImage) for x in got[2:5])
+    flat = [media.store(media.payload_of(b"x" * 60_000))] * 9  # few bytes, but many samples: not all of them together
+    assert max(len(g) for g in media._groups(flat, media._said_samples)) <= 2
+
+
+def test_op5_bounds_hold_and_spare_most_of_the_work(spark, monkeypatch):
+    import numpy as np
+
+    from pageloom.llm import webp
+
+    rng = np.random.default_rng(11)
+    texts = [t.encode() for t in _texts(spark).values() if t]
+    rows = [bytes(np.tile(rng.integers(0, 256, 64), 8)[: int(n)].astype(np.uint8)) + rng.bytes(int(m)) for n, m in rng.integers(1, 500, (60, 2))]
+    for text in [*texts[:40], *rows]:
+        samples = np.frombuffer(media.payload_of(text), np.uint8)
+        size = len(webp.encode(np.uint32(webp.BLACK) | samples * np.uint32(0x010101), 64, **webp.FORMS[6]))
+        v = webp._differences(samples, 64, 11)
+        for n in sorted({*rng.integers(3, len(v), 12).tolist(), len(v)}):
+            before = webp._repeats(v[:n])
+            assert webp._file_size(webp._HEAD + webp._alone(v[:n], before, 64, math.inf)) <= size
+            assert webp._file_size(webp._HEAD + webp._of_tokens(n, webp._matched(v[:n], before), 64)) <= size
+    made = []
+    matching = webp._matching
+    monkeypatch.setattr(webp, "_matching", lambda *a: made.append(1) or matching(*a))
+    for text in texts:
+        media.store(media.payload_of(text))
+    assert len(made) < 1.3 * len(texts)  # one for the copies of the grey picture; 1.6 before distances counted
+
+
 @pytest.mark.parametrize("form", [{}, {"cache_bits": 5}, {"matches": True, "green": True}, {"mode": 11, "palette": True}])
 def test_webp_with_several_groups_of_codes(form):
     import numpy as np
