@@ -177,6 +177,11 @@ class _Code:
         return found & 0xFFFF
 
 
+@functools.cache
+def _lone(symbol: int, first: int) -> _Code:
+    return _Code(b"", symbol, first)
+
+
 def _read_code(bits: _Bits, size: int) -> _Code:
     first = 256 if size > 40 else 0
     if bits.read(1):
@@ -185,7 +190,7 @@ def _read_code(bits: _Bits, size: int) -> _Code:
         if max(symbols) >= size:
             raise BadImage("a symbol is out of range")
         if len(set(symbols)) == 1:
-            return _Code(b"", symbols[0], first)
+            return _lone(symbols[0], first)
         return _Code(bytes([int(s in symbols) for s in range(max(symbols) + 1)]), None, first)
     lengths = bytearray(size)
     of_lengths = [0] * 19
@@ -651,6 +656,17 @@ def _turned_bits(code: int, n: int) -> int:
     return int(f"{code:0{n}b}"[::-1], 2)
 
 
+@functools.cache
+def _digits(code: int, n: int) -> str:
+    return f"{code:0{n}b}"
+
+
+@functools.cache
+def _extra_digits(run: int) -> str:
+    """The extra bits of a run of zeros, the lowest first."""
+    return f"{run >> 5:0{3 if run & 31 == 17 else 7}b}"[::-1]
+
+
 def _put_sizes(out: _Out, used: list[int], sizes: list[int]) -> None:
     """The code whose used symbols, in order, have these lengths."""
     if len(used) <= 2 and max(used, default=0) < 256:
@@ -678,14 +694,15 @@ def _put_sizes(out: _Out, used: list[int], sizes: list[int]) -> None:
     wide = max(0, size.bit_length() - 1) >> 1
     value |= (1 | wide << 1 | size << 4) << at
     at += 6 + 2 * wide
-    codes = _canonical(list(zip(own, kinds, strict=True))) if len(own) > 1 else {kinds[0]: (0, 0)}
-    digits = {}  # of each run, the last bit first
-    for run in distinct:
-        code, n = codes[run & 31]
-        size = n + (0, 3, 7)[max(0, (run & 31) - 16)]
-        digits[run] = f"{code | (run >> 5) << n:0{size}b}" if size else ""
-    body = "".join([digits[run] for run in reversed(runs)])
-    out.put(value | int(body or "0", 2) << at, at + len(body))
+    digits, code, before = {kinds[0]: ""}, 0, 0  # in the order that they are stored in
+    if len(own) > 1:
+        for n, s in sorted(zip(own, kinds, strict=True)):
+            code <<= n - before
+            digits[s] = _digits(code, n)
+            code, before = code + 1, n
+    coded = {run: digits[run] if run < 16 else digits[run & 31] + _extra_digits(run) for run in distinct}
+    body = "".join([coded[run] for run in runs])
+    out.put(value | int(body[::-1] or "0", 2) << at, at + len(body))
 
 
 def _wrapped(bits: bytes) -> bytes:
